@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +66,17 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
             if "/plinth/" in parent:
                 path = hadoop(parent)
                 path.getFileSystem(conf).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_plinth_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="plinth-code-")) / "plinth_code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, f"plinth/{source.relative_to(root)}")
+    context.addPyFile(str(archive))
+    context._plinth_shipped = True
