@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plinth.llm import decontaminate, langid, quality, simhash
+from plinth.llm import decontaminate, langid, quality, simhash, tokens
 from plinth.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file, from the installed package of them."""
+    return import_module("public_tokenizers").path(name)
+
+
 def _query(function):
     QUERIES[function.__name__] = function
     return function
@@ -28,6 +34,13 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokens.write_ids(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    found = tokens.read_ids(spark, manifest)
+    return found.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 @_query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
