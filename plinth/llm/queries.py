@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plinth.llm import decontaminate, langid, quality, sharding, simhash, tokens, warc
+from plinth.llm import decontaminate, langid, pieces, quality, sharding, simhash, tokens, warc
 from plinth.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_report(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_pieces", F.crc32("pieces").alias("pieces_crc32"), "lossless")
+
+
 @_query
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
