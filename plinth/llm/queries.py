@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plinth.llm import decontaminate, langid, pieces, quality, sharding, simhash, tokens, warc
+from plinth.llm import decontaminate, langid, pieces, quality, sharding, simhash, tokens, urls, warc
 from plinth.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_report(table(spark, sf_dir, "documents"))
 
 
+#: The contract's curated list.
+URL_RULES = [
+    urls.ListRule(urls.BLOCK, "com", "/en/"),
+    urls.ListRule(urls.ALLOW, "example.com", "/en/7"),
+    urls.ListRule(urls.ALLOW, "net", "/de/"),
+    urls.ListRule(urls.BLOCK, "example.net", "/de/8"),
+    urls.ListRule(urls.BLOCK, "org", "/es/"),
+]
+
+
+@_query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @_query
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
