@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plinth.llm.common import prepare
+from plinth.llm.common import groups, prepare, span_hashes, utf8
 from plinth.llm.files import new_file, old_file
 from plinth.llm.huffman import BLOCK, Code, code_lengths
 from plinth.session import scratch_path, staged
@@ -27,6 +26,8 @@ from plinth.session import scratch_path, staged
 MAGIC = b"PLNTHUF1"
 #: Ids of a file, about.
 SHARD_IDS = 16_000_000
+#: Bytes of text that are encoded together.
+RUN_BYTES = 4 << 20
 #: Ids that are coded or decoded at once.
 PIECE = BLOCK * 2048
 
@@ -36,11 +37,13 @@ class ChunkEncoder:
 
     A byte-level BPE first cuts a text by a pattern in which a run of letters, digits or signs takes one space before it
     along. So wherever one space stands between two characters that aren't white space, a cut is certain, and what is
-    left and right of it is encoded as if it stood alone.
+    left and right of it is encoded as if it stood alone. (Cuts are made only where neighbouring bytes rule white space
+    beyond ASCII out, too; fewer cuts do no harm.) Chunks are known by a 64-bit hash, so that millions of them, and their
+    ids, take little room; what a batch brings that isn't known is encoded as one text, whose ids fall to the chunks by
+    their bytes.
     """
 
-    CUT = re.compile(r"(?<=\S) (?=\S)")
-    MOST = 300_000
+    MOST = 2_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,50 +51,91 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(names.values()) + 1, np.int64)  # bytes of each id; a character of its name stands for a byte
+        for name, i in names.items():
+            self.size[i] = len(name)
         self.clear()
 
     def clear(self) -> None:
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
-        self.ids, self.edge = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
-        self.known = self.used = 0
-
-    def learn(self, chunks: list[str], prefix: str, table: dict[str, int]) -> None:
-        own = [x.ids for x in self.tokenizer.encode_batch_fast([prefix + c for c in chunks], add_special_tokens=False)]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter((i for x in own for i in x), np.int32, int(size.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.known + len(own) + 1 > len(self.edge):
-            self.edge = np.concatenate([self.edge, np.zeros_like(self.edge)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.edge[self.known + 1 : self.known + len(own) + 1] = self.used + np.cumsum(size)
-        table.update(zip(chunks, range(self.known, self.known + len(own))))
-        self.known += len(own)
-        self.used += len(flat)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and where each ends."""
-        if self.known > self.MOST:
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes, ascending, and the chunk's number
+        self.edge, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint16 if len(self.size) <= 1 << 16 else np.int32)
+
+    #: Bytes that are no white space by themselves; and those that may begin or end white space beyond ASCII.
+    PLAIN = np.zeros(256, bool)
+    PLAIN[33:127] = True
+    LEAD = np.zeros(256, bool)
+    LEAD[0xC3:0xE0] = True
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Places of spaces at which a chunk begins."""
+        at = np.flatnonzero(data == 32)
+        at = at[(at > 1) & (at < len(data) - 1)]
+        before, after = data[at - 1], data[at + 1]
+        left = self.PLAIN[before] | ((before >= 0x80) & (before < 0xC0) & self.LEAD[data[at - 2]])
+        return at[left & (self.PLAIN[after] | self.LEAD[after])]
+
+    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, alone: np.ndarray) -> None:
+        raw = data.tobytes()
+        chunks = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        join = np.flatnonzero(~alone)
+        text = b"".join([chunks[i] for i in join.tolist()]).decode()
+        own = self.tokenizer.encode_batch_fast([text, *(chunks[i].decode() for i in np.flatnonzero(alone).tolist())], add_special_tokens=False)
+        parts = [np.array(x.ids, np.int32) for x in own]
+        stops = np.cumsum(ends[join] - starts[join])
+        count = np.zeros(len(chunks), np.int64)
+        reach = np.cumsum(self.size[parts[0]])
+        last = np.searchsorted(reach, stops)
+        if len(stops) and not (reach[last] == stops).all():
+            raise ValueError("an id reaches over a certain cut")
+        count[join] = np.diff(last + 1, prepend=0)
+        count[alone] = [len(x) for x in parts[1:]]
+        order = np.concatenate([join, np.flatnonzero(alone)])
+        known = len(self.edge) - 1
+        number = np.empty(len(chunks), np.int32)
+        number[order] = np.arange(known, known + len(chunks), dtype=np.int32)
+        self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(count[order])])
+        self.ids = np.concatenate([self.ids, *(x.astype(self.ids.dtype) for x in parts)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, number)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each ends. Texts are bytes between offsets."""
+        if len(self.keys) > self.MOST:
             self.clear()
-        parts = [self.CUT.split(t or "") for t in texts]
-        heads = [p[0] for p in parts]
-        tails = [c for p in parts for c in p[1:]]
-        for chunks, prefix, table in ((heads, "", self.first), (tails, " ", self.later)):
-            if new := list(set(chunks).difference(table)):
-                self.learn(new, prefix, table)
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        edge = np.cumsum(count)
-        codes = np.empty(int(edge[-1]) if len(edge) else 0, np.int64)
-        head = edge - count
-        rest = np.ones(len(codes), bool)
-        rest[head] = False
-        codes[head] = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
-        codes[rest] = np.fromiter(map(self.later.__getitem__, tails), np.int64, len(tails))
-        size = self.edge[codes + 1] - self.edge[codes]
+        if not len(data):
+            return self.ids[:0], np.zeros(len(offsets) - 1, np.int64)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[self.cuts(data)] = True
+        # A space that is a text's first or last byte stands next to another text's end: no cut.
+        begins[offsets] = begins[np.maximum(offsets - 1, 0)] = False
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        begins[heads] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        own = span_hashes(data, starts, ends)
+        order = np.argsort(own, kind="stable")
+        fresh = np.diff(own[order], prepend=~own[order[:1]]) != 0
+        first = order[fresh]
+        hashes = own[first]
+        inverse = np.empty(len(own), np.int64)
+        inverse[order] = np.cumsum(fresh) - 1
+        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+        new = np.ones(len(hashes), bool) if not len(self.keys) else self.keys[at] != hashes
+        if new.any():
+            pick = first[new]
+            a, b = starts[pick], ends[pick]
+            begins[:] = False
+            begins[heads] = True
+            alone = begins[a] | ~(self.PLAIN[data[b - 1]] | ((data[b - 1] >= 0x80) & self.LEAD[data[np.maximum(b - 2, 0)]]))
+            self.learn(data, a, b, hashes[new], alone)
+            at = np.searchsorted(self.keys, hashes)
+        codes = self.place[at].astype(np.int64)[inverse]
+        begin = self.edge[codes]
+        size = self.edge[codes + 1] - begin
         total = np.cumsum(size)
-        pick = np.repeat(self.edge[codes] - (total - size), size) + np.arange(total[-1] if len(total) else 0)
-        return self.ids[pick], total[edge - 1] if len(edge) else edge
+        pick = np.repeat(begin - (total - size), size) + np.arange(total[-1])
+        return self.ids[pick], np.concatenate([[0], total])[np.searchsorted(starts, offsets[1:])]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -112,8 +156,16 @@ def encoded(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            ids, ends = own.encode(batch.column(1).to_pylist())
-            ids = np.insert(ids, ends, end_id).astype(f"<u{width}")
+            if not batch.num_rows:
+                continue
+            data, offsets = utf8(batch.column(1))
+            runs = [own.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in groups(offsets, RUN_BYTES)]
+            ids, ends = np.concatenate([x for x, _ in runs]), np.cumsum(np.concatenate([np.diff(e, prepend=0) for _, e in runs]))
+            where = np.ones(len(ids) + len(ends), bool)
+            where[ends + np.arange(len(ends))] = False
+            out = np.full(len(where), end_id, f"<u{width}")
+            out[where] = ids
+            ids = out
             ends = width * (ends + np.arange(1, len(ends) + 1))
             offsets = np.concatenate([[0], ends]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])], ["id", "ids"])

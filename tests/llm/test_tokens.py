@@ -28,13 +28,16 @@ def plain():
 
 def test_chunks_encode_as_whole_texts_do():
     own, given = ChunkEncoder(FILE), texts()
+    raw = [(t or "").encode() for t in given]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, raw)))])
+    want = [x.ids for x in plain().encode_batch([t or "" for t in given], add_special_tokens=False)]
     for _ in range(2):
-        ids, ends = own.encode(given)
-        got = [x.tolist() for x in np.split(ids, ends[:-1])]
-        assert got == [x.ids for x in plain().encode_batch([t or "" for t in given], add_special_tokens=False)]
+        ids, ends = own.encode(data, offsets)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
     own.MOST = 1
-    assert own.encode(given)[0].tolist() == ids.tolist()
-    assert own.encode([])[0].tolist() == []
+    assert own.encode(data, offsets)[0].tolist() == ids.tolist()
+    for i in range(len(raw)):
+        assert own.encode(np.frombuffer(raw[i], np.uint8), np.array([0, len(raw[i])]))[0].tolist() == want[i]
 
 
 @pytest.mark.parametrize("shard_ids", [16_000_000, 40_000])
