@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plinth.llm import decontaminate, langid, pieces, quality, sharding, simhash, tokens, urls, warc
+from plinth.llm import decontaminate, langid, licenses, pieces, quality, sharding, simhash, tokens, urls, warc
 from plinth.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,14 @@ def _query(function):
     return function
 
 
+@_query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents")))
+
+
+ORACLE_SQL["op1_license_scan"] = licenses.oracle()
+
+
 @_query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_report(table(spark, sf_dir, "documents"))
