@@ -1,37 +1,8 @@
-"""The queries of the library's relational and drawing operators, by name."""
+"""All queries of the library's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from plinth.plans import cluster_queries, event_queries, relational_queries, signal_queries, spatial_queries  # noqa: F401
+from plinth.plans.catalog import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from plinth.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL of its oracle."""
-
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return register
-
-
-@query("""
-SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS count_order
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY 1, 2
-""")
-def q_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "lineitem")
-        .filter("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("count_order"))
-    )
+__all__ = ["ORACLE_SQL", "QUERIES"]
