@@ -2,9 +2,9 @@
 
 Everything is DataFrame and SQL functions. A text's units are its lines and its paragraphs of several lines, over the whole
 text. The weight of a token is its count times an inverse document frequency over the templates; tokens in no template are
-the rarest. A unit can only reach the threshold if it holds one of a template's heaviest tokens (the rest of the template
-has too small a norm), so one regular expression, without losing any match, spares all other texts and units. Each distinct
-unit is scored once, however many files carry it.
+the rarest. Two bounds, exact both, spare most units: one that reaches the threshold holds one of a template's telling tokens
+(the rest of the template has too small a norm), which one regular expression finds; and what it shares with that template
+has a norm of the threshold or more. Each distinct unit that is left is scored once, however many files carry it.
 
 A file without a notice of its own inherits from the deepest directory above it that has a licence file: each distinct
 directory's ancestors are joined to the directories of licence files by path.
@@ -58,19 +58,31 @@ class Weights:
             norm = sqrt(sum((n * self.idf[t]) ** 2 for t, n in counts.items()))
             self.vectors.append({t: n * self.idf[t] / norm for t, n in counts.items()})
 
-    def heaviest(self, threshold: float) -> list[str]:
-        """Tokens of which every unit at the threshold holds one: of each template, the heaviest ones, down to where the norm
-        of the rest is below the threshold."""
+    def telling(self, threshold: float) -> list[str]:
+        """Tokens of which every unit at the threshold holds one: of each template enough that the norm of the rest is below
+        the threshold. Any such choice is exact; the longest tokens are taken first, as they are rare in other texts."""
         out = set()
         for vector in self.vectors:
             rest = 1.0
-            for token, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+            for token, w in sorted(vector.items(), key=lambda x: (-len(x[0]), -x[1], x[0])):
                 if rest < threshold**2 - 1e-9:
                     break
                 out.add(token)
                 rest -= w * w
         return sorted(out)
 
+    def may_match(self, tokens: Column, threshold: float) -> Column:
+        """Whether the tokens cover enough of one template: the cosine is at most the norm of the template's part that a unit
+        shares, whatever else the unit holds."""
+        parts: dict[str, list[Column]] = {}
+        for i, vector in enumerate(self.vectors):
+            for t, w in vector.items():
+                parts.setdefault(t, []).append(F.struct(F.lit(i).alias("i"), F.lit(w * w).alias("m")))
+        table = F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*(F.array(*x) for x in parts.values())))
+        met = F.flatten(F.filter(F.transform(F.array_distinct(tokens), lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull()))
+        mass = lambda i: F.aggregate(F.filter(met, lambda s: s["i"] == i), F.lit(0.0), lambda a, s: a + s["m"])
+        return F.exists(F.sequence(F.lit(0), F.lit(len(self.vectors) - 1)), lambda i: mass(i) >= threshold**2 - 1e-6)
+
 
 def _tokens(unit: Column) -> Column:
     return F.regexp_extract_all(F.translate(unit, UPPER, UPPER.lower()), F.lit(f"({TOKEN})"), F.lit(1))
@@ -92,12 +104,13 @@ def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col
     """
     weights, spark = Weights(templates), df.sparkSession
     files = df.select(df[id_col].alias("id"), df[path_col].cast("string").alias("path"), df[text_col].cast("string").alias("text"))
-    heavy = sorted(weights.heaviest(threshold), key=lambda t: (-len(t), t))
+    telling = sorted(weights.telling(threshold), key=lambda t: (-len(t), t))
     # A token may begin after a digit and a dotted one end before a letter: 1.0mit is 1.0 and mit.
-    ends = [f"{re.escape(t)}(?![0-9])" if "." in t else f"{re.escape(t)}(?![A-Za-z0-9])" for t in heavy]
+    ends = [f"{re.escape(t)}(?![0-9])" if "." in t else f"{re.escape(t)}(?![A-Za-z0-9])" for t in telling]
     probe = f"(?i)(?<![A-Za-z])(?:{'|'.join(ends)})"
     units = F.concat(F.split("text", "\n"), F.filter(F.split("text", PARAGRAPH), lambda p: p.contains("\n")))
     found = files.filter(F.col("text").rlike(probe)).select("id", "path", F.explode(units).alias("unit")).filter(F.col("unit").rlike(probe))
+    found = found.filter(weights.may_match(_tokens(F.col("unit")), threshold))
     found = staged(found.withColumn("key", F.sha2("unit", 256)), "license-units")
 
     idf = spark.createDataFrame([(t, w) for t, w in weights.idf.items()], "token string, idf double")
