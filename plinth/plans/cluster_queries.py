@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plinth.functions import numbers as N
-from plinth.operators import clusters as C
+from plinth.operators import clusters as C, columns, layout, schedules
 from plinth.plans import views as V
 from plinth.plans.catalog import query
+from plinth.session import table
 
 LEADERS = f"""
 RECURSIVE d AS ({V.TEXTS}), o AS (SELECT *, row_number() OVER (PARTITION BY commit_id ORDER BY -y, x, id, text) AS rn FROM d),
@@ -106,3 +107,46 @@ SELECT commit_id, CAST(max(n) AS INT) AS levels FROM r GROUP BY 1
 """)
 def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.points(spark, sf_dir).groupBy("commit_id").agg(N.level_count(F.collect_list("x"), 10.0).alias("levels"))
+
+
+@query(f"""
+WITH {LEADERS} SELECT commit_id, row_index, list(text ORDER BY x, id, text) AS cells, CAST(arg_max(regexp_extract(text, 'D(\\d+)', 1), (x, id, text)) AS INT) AS rebar_d, CAST(arg_max(regexp_extract(text, '@(\\d+)', 1), (x, id, text)) AS INT) AS spacing,
+    CASE WHEN count(*) = 1 AND NOT regexp_matches(any_value(text), '\\d{{4,}}') THEN 'section_like' WHEN count(*) >= 2 AND NOT bool_and(true) THEN 'header_like' ELSE 'data' END AS role FROM rows_ GROUP BY 1, 2
+""")
+def wall_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedules.row_table(V.texts(spark, sf_dir), "wall").select("commit_id", "row_index", "cells", "rebar_d", "spacing", "role")
+
+
+KIND_OF = {1: "부호", 2: "주근", 3: "형태", 4: "대근(중앙)"}
+
+
+@query("""
+WITH r AS (SELECT l_suppkey, l_linenumber AS k, 'C' || CAST(l_partkey AS VARCHAR) AS c, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_partkey, l_orderkey, l_extendedprice) - 1 AS j FROM lineitem WHERE l_linenumber <= 4),
+f AS (SELECT * FROM r WHERE j < 3)
+SELECT l_suppkey AS commit_id, CAST(j AS INT) AS "column", max(c) FILTER (k = 1) AS mark, coalesce(max(c) FILTER (k = 2), '') AS bars, coalesce(max(c) FILTER (k = 3), '') AS shape, coalesce(max(c) FILTER (k = 4), '') AS hoop
+FROM f GROUP BY 1, 2 HAVING max(c) FILTER (k = 1) IS NOT NULL
+""")
+def column_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_linenumber")
+    own = table(spark, sf_dir, "lineitem").filter(k <= 4)
+    order = F.struct("l_partkey", "l_orderkey", "l_extendedprice")
+    rows = own.groupBy("l_suppkey", k.alias("k")).agg(F.slice(F.array_sort(F.collect_list(order)), 1, 3).alias("parts"))
+    label = F.element_at(F.array(*map(F.lit, KIND_OF.values())), F.col("k"))
+    cells = F.concat(F.array(label), F.transform("parts", lambda p: F.concat(F.lit("C"), p["l_partkey"].cast("string"))))
+    out = schedules.column_pivot(rows.select(F.col("l_suppkey").alias("commit_id"), (-F.col("k")).cast("double").alias("y_mean"), cells.alias("cells")))
+    return out.select("commit_id", "column", "mark", F.col("주근").alias("bars"), F.col("형태").alias("shape"), F.col("대근_중앙").alias("hoop"))
+
+
+@query()
+def beam_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.beam_schedule(V.texts(spark, sf_dir))
+
+
+@query()
+def column_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.column_schedule(V.texts(spark, sf_dir))
+
+
+@query()
+def member_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.strip_table(V.texts(spark, sf_dir))

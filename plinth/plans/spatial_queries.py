@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plinth.functions import geometry as G
-from plinth.operators import clusters as C, spatial as P
+from plinth.operators import clusters as C, sections, spatial as P
 from plinth.plans import views as V
 from plinth.plans.catalog import query
 from plinth.session import table
@@ -101,3 +101,42 @@ SELECT commit_id, total, CASE WHEN total >= 4 THEN top END AS top, CASE WHEN tot
 """)
 def bar_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.bar_census(V.points(spark, sf_dir), ["commit_id"])
+
+
+@query(f"""
+WITH w AS ({V.WINDOWS}) SELECT a.window_id AS a, b.window_id AS b, greatest(a.x0, b.x0 - 2000) AS minx, least(a.x1, b.x1 - 2000) AS maxx, greatest(a.y0, b.y0) AS miny, least(a.y1, b.y1) AS maxy
+FROM w a JOIN w b ON b.window_id = a.window_id + 1 WHERE greatest(a.x0, b.x0 - 2000) <= least(a.x1, b.x1 - 2000) AND greatest(a.y0, b.y0) <= least(a.y1, b.y1)
+""")
+def box_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = V.windows(spark, sf_dir)
+    pairs = w.alias("p").join(w.alias("q"), F.col("q.window_id") == F.col("p.window_id") + 1)
+    box = P.common_box([F.col("p.x0"), F.col("p.y0"), F.col("p.x1"), F.col("p.y1")], [F.col("q.x0") - 2000, F.col("q.y0"), F.col("q.x1") - 2000, F.col("q.y1")])
+    return pairs.select(F.col("p.window_id").alias("a"), F.col("q.window_id").alias("b"), box.alias("box")).filter("box is not null").select("a", "b", "box.minx", "box.maxx", "box.miny", "box.maxy")
+
+
+@query(f"""
+WITH s AS (SELECT * FROM ({V.SHAPES}) WHERE entity_type = 'LWPOLYLINE'), w AS ({V.WINDOWS}) SELECT window_id, round(max((maxx - minx) * (maxy - miny)), 4) AS area, count(*) AS n
+FROM s JOIN w ON minx >= x0 AND maxx <= x1 AND miny >= y0 AND maxy <= y1 WHERE maxx - minx >= 8 AND maxy - miny >= 8 AND (maxx - minx) / (maxy - miny) BETWEEN 0.05 AND 22 GROUP BY 1
+""")
+def outline_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ring = F.array(corner("minx", "miny"), corner("maxx", "miny"), corner("maxx", "maxy"), corner("minx", "maxy"), corner("minx", "miny"))
+    shapes = V.shapes(spark, sf_dir).filter("entity_type = 'LWPOLYLINE'").withColumn("box", G.as_rectangle(ring)).filter("box is not null")
+    inside = P.window_join(V.windows(spark, sf_dir), shapes, 1000.0).filter("minx >= x0 and maxx <= x1 and miny >= y0 and maxy <= y1")
+    area = (F.col("box.maxx") - F.col("box.minx")) * (F.col("box.maxy") - F.col("box.miny"))
+    return inside.groupBy("window_id").agg(F.round(F.max(area), 4).alias("area"), F.count("*").alias("n"))
+
+
+@query(f"""
+WITH d AS ({V.POINTS}) SELECT commit_id, count(DISTINCT (CAST(floor(x / 5) AS BIGINT), CAST(floor(y / 5) AS BIGINT))) AS cells FROM d GROUP BY 1
+""")
+def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = lambda c: F.floor(F.col(c) / 5).cast("long")
+    return V.points(spark, sf_dir).groupBy("commit_id").agg(F.countDistinct(cell("x"), cell("y")).alias("cells"))
+
+
+@query()
+def section_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    shapes = V.shapes(spark, sf_dir).withColumn("points", F.array(corner("minx", "miny"), corner("maxx", "maxy")))
+    return sections.analyzed(V.windows(spark, sf_dir), shapes, 1000.0)

@@ -23,7 +23,7 @@ SELECT l_suppkey AS commit_id, l_orderkey * 10 + l_linenumber AS id, l_returnfla
 FROM lineitem
 """
 
-WINDOWS = "SELECT n_nationkey AS window_id, n_nationkey * 3000.0 AS x0, n_nationkey * 3000.0 + 2500.0 AS x1, 10.0 AS y0, 60.0 + n_nationkey AS y1 FROM nation"
+WINDOWS = "SELECT n_nationkey AS window_id, n_nationkey * 3000e0 AS x0, n_nationkey * 3000e0 + 2500e0 AS x1, 10e0 AS y0, 60e0 + n_nationkey AS y1 FROM nation"
 
 POINTS = "SELECT user_id AS commit_id, event_id AS id, value AS x, CAST(event_id % 100 AS DOUBLE) AS y, event_type AS entity_type FROM events"
 
