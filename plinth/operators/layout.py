@@ -444,32 +444,20 @@ def two_tiers(text: str) -> str:
     return re.sub(java(P.TWO_TIERS), r"\1/\2-\3", text.strip())
 
 
-def beam_records(items: Sequence[Item], tolerance: float = 2.5) -> list[dict]:
-    """A sheet of beams: rows are clustered, joined and bridged, then read as a wide table, as one with locations, or row
-    by row. Each record has beam_layout, mark, the keys of ``BEAM_KEYS`` that it has, row_y_mean and cells."""
-    rows = bridged_rows(joined_rows(leader_rows(items, tolerance), tolerance), max(3.5 * tolerance, 10.0))
+def horizontal_records(rows: Sequence[Row]) -> tuple[list[dict], str]:
+    """Members of a wide table, else of one with locations, and which it was."""
     cells, ys = [[i.text.strip() for i in r] for r in rows], [mean_y(r) for r in rows]
-    out, layout = [], "flat"
     if wide := wide_header(cells):
         out = [r | {"row_y_mean": ys[i], "cells": cells[i]} for i in range(wide[0] + 1, len(rows)) if (r := wide_record(wide[1], cells[i]))]
-        layout = "horizontal_wide"
-    if not out and (narrow := narrow_header(cells)):
-        out = located_records(narrow[1], list(zip(ys, cells))[narrow[0] + 1 :])
-        layout = "horizontal_location_tree"
-    if not out:
-        layout = "flat"
-        out = [{"name": next((c for c in own if MARK.match(c)), ""), "row_y_mean": y, "cells": own} for y, own in zip(ys, cells)]
-    for r in out:
-        r |= {k: two_tiers(v) for k, v in r.items() if isinstance(v, str) and k.endswith("_bar")}
-        r |= {"beam_layout": layout, "mark": r.get("name", ""), "cells": r.get("cells") or [str(r.get(k, "")) for k in BEAM_KEYS]}
-    return out
+        if out:
+            return out, "horizontal_wide"
+    if narrow := narrow_header(cells):
+        return located_records(narrow[1], list(zip(ys, cells))[narrow[0] + 1 :]), "horizontal_location_tree"
+    return [], ""
 
 
 # --- Driver ----------------------------------------------------------------------------------------------------------
 
-BEAM_SCHEMA = "commit_id bigint, row int, beam_layout string, mark string, " + ", ".join(f"{k} string" for k in BEAM_KEYS[1:]) + ", row_y_mean double, cells array<string>"
-
-
 def per_drawing(texts: DataFrame, kernel: Callable[[list[Item]], list[dict]], schema: str, fields: Sequence[str]) -> DataFrame:
     """Apply a kernel to the items of each drawing; its records become rows with the drawing's id and their number."""
     ship(texts.sparkSession)
@@ -488,12 +476,6 @@ def per_drawing(texts: DataFrame, kernel: Callable[[list[Item]], list[dict]], sc
     return texts.select("commit_id", "id", "x", "y", "text").groupBy("commit_id").applyInArrow(run, schema)
 
 
-def beam_schedule(texts: DataFrame, tolerance: float = 2.5) -> DataFrame:
-    """R8 for each drawing. Items without a place are left out; null texts are empty."""
-    fields = ["beam_layout", "mark", *BEAM_KEYS[1:], "row_y_mean", "cells"]
-    return per_drawing(texts, lambda items: beam_records(items, tolerance), BEAM_SCHEMA, fields)
-
-
 STRIP_SCHEMA = "commit_id bigint, row int, x_center double, n bigint, merged bigint"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plinth.functions import numbers as N
-from plinth.operators import clusters as C, columns, layout, schedules
+from plinth.operators import beams, clusters as C, columns, layout, schedules
 from plinth.plans import views as V
 from plinth.plans.catalog import query
 from plinth.session import table
@@ -139,7 +139,7 @@ def column_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def beam_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.beam_schedule(V.texts(spark, sf_dir))
+    return beams.beam_schedule(V.texts(spark, sf_dir))
 
 
 @query()

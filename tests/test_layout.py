@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.operators import clusters, layout as L, schedules
+from plinth.operators import beams as B, clusters, layout as L, schedules
 
 I = L.Item  # noqa: E741
 
@@ -60,7 +60,7 @@ def wide_sheet():
 
 def test_wide_beam_table():
     assert [L.wide_key(i.text) for i in wide_sheet()[:15]] == L.BEAM_KEYS
-    (row,) = L.beam_records(wide_sheet())
+    (row,) = B.beam_records(wide_sheet())
     assert (row["beam_layout"], row["mark"], row["width_mm"], row["depth_mm"], row["int_top_bar"]) == ("horizontal_wide", "G21", "500", "600", "11/11-D16")
 
 
@@ -70,7 +70,7 @@ def location_sheet():
 
 
 def test_location_tree():
-    rows = L.beam_records(location_sheet())
+    rows = B.beam_records(location_sheet())
     assert [r["mark"] for r in rows] == ["RG11", "RG12"]
     assert (rows[0]["int_top_bar"], rows[0]["cen_top_bar"]) == ("4-D16", "2-D16")
     assert rows[1]["int_top_bar"] == rows[1]["cen_top_bar"] == rows[1]["ext_top_bar"] == "6-D16"
@@ -78,14 +78,14 @@ def test_location_tree():
 
 
 def test_flat_fallback():
-    (row,) = L.beam_records([I(0, 0, "noise")])
+    (row,) = B.beam_records([I(0, 0, "noise")])
     assert row["beam_layout"] == "flat"
 
 
 def test_beams_of_drawings(spark):
     rows = [(1, k, i.x, float(i.y), i.text) for k, i in enumerate(wide_sheet())] + [(2, k, float(i.x), float(i.y), i.text) for k, i in enumerate(location_sheet())] + [(3, 1, None, 1.0, "x"), (3, 2, 1.0, 1.0, None)]
     df = spark.createDataFrame([(a, b, None if x is None else float(x), y, t) for a, b, x, y, t in rows], "commit_id long, id long, x double, y double, text string")
-    got = {(r.commit_id, r.mark): r.beam_layout for r in L.beam_schedule(df).collect()}
+    got = {(r.commit_id, r.mark): r.beam_layout for r in B.beam_schedule(df).collect()}
     assert got == {(1, "G21"): "horizontal_wide", (2, "RG11"): "horizontal_location_tree", (2, "RG12"): "horizontal_location_tree", (3, ""): "flat"}
 
 
@@ -115,3 +115,32 @@ def test_streamed_leaders_agree_with_the_kernel(spark, seed):
         for n, row in enumerate(L.leader_rows([I(x, y, t, i) for c, i, x, y, t in rows if c == key and y is not None], 2.5)):
             assert {got[i.id] for i in row} == {n}
     assert all(got[i] is None for c, i, x, y, t in rows if y is None)
+
+
+def row(*parts):
+    return [I(x, y, t) for x, y, t in parts]
+
+
+def test_bundle():
+    items = row((10, 3000, "Name"), (10, 2910, "Width"), (10, 2820, "Int. TopBar"), (200, 3000, "BX1"), (200, 2910, "400"), (200, 2820, "5-D22"))
+    (got,) = B.beam_records(items, 5.0, gap=12.0)
+    assert (got["beam_layout"], got["mark"], got["width_mm"], got["int_top_bar"]) == ("row_cluster_bundle", "BX1", "400", "5-D22")
+
+
+def test_bundle_zones():
+    lines = [("부호", "RG13C (1000x900)"), ("END(INT)", "-"), ("상부근", "4-4-D16"), ("양단부", "-"), ("하부근", "6-D16"), ("스트럽", "D10@200")]
+    items = [I(x, 1000 - 100 * k, t) for k, pair in enumerate(lines) for x, t in zip((0, 500), pair) if t]
+    (got,) = B.beam_records(items)
+    assert (got["mark"], got["width_mm"], got["depth_mm"], got["int_top_bar"]) == ("RG13C", "1000", "900", "4/4-D16")
+    assert got["int_bot_bar"] == got["ext_bot_bar"] == "6-D16" and "cen_bot_bar" not in got
+
+
+def test_zone_slabs_and_windows():
+    zones = row((1000, 5000, "INT (BOTH)"), (2000, 5000, "28-UHD19"), (6000, 5000, "END (INT)"), (7000, 5000, "4-UHD19"))
+    assert [len(s) for s in B.zone_slabs(zones)] == [2, 2]
+    assert len(B.zone_slabs(zones[:2])) == 1 and len(B.zone_slabs(row((1000, 0, "INT"), (1050, 0, "CENTER")))) == 1
+    low, high = B.focus_window(row((0, 1000, "RG11"), (200, 1100, "INT"), (400, 1120, "900"), (200, 2600, "28-UHD19")))
+    assert (low, high) == (1055, 2645)
+    assert B.focus_window(row((0, 1000, "RG11"), (200, 1000, "INT"), (400, 1000, "28-UHD19"))) is None
+    assert B.is_mark("RG11 (1000x900)") and not B.is_mark("28-UHD19") and B.is_zone("  CENTER  ")
+    assert B.tight_window(row((0, 0, "INT"), (0, 100, "D10@200"))) == (-50, 150)
