@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plinth.functions import patterns as P
 
 SPACES = r"[\s　]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def stripped(c: Column) -> Column:
     """Without white space at either end, wide spaces included; null is empty."""
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^[\s　]+|[\s　]+$", "")
@@ -46,24 +53,51 @@ def story_text(c: Column) -> Column:
 
 def without_dimension(c: Column) -> tuple[Column, Column]:
     """(text, mm): a last lone 200..4000 goes where the rest has a letter or a tilde."""
-    body, n = F.rtrim(F.regexp_extract(c, P.TRAILING_DIMENSION, 1)), number(c, P.TRAILING_DIMENSION, 2)
-    cut = n.between(200, 4000) & body.rlike("[A-Za-z가-힣~～]")
-    cut = F.coalesce(cut, F.lit(False))
-    return F.when(cut, body).otherwise(c), F.when(cut, n)
+    cut = let(number(c, P.TRAILING_DIMENSION, 2), lambda n: F.when(n.between(200, 4000) & F.regexp_extract(c, P.TRAILING_DIMENSION, 1).rlike("[A-Za-z가-힣~～]"), n))
+    return F.when(cut.isNotNull(), F.rtrim(F.regexp_extract(c, P.TRAILING_DIMENSION, 1))).otherwise(c), cut
 
 
-def story_and_mark(cell: Column) -> Column:
-    """struct(story, mark, floor_range array<string>, trailing_mm) of a member's name."""
-    text, mm = without_dimension(story_text(cell))
-    mark = lambda p, i: F.nullif(F.trim(F.coalesce(found(text, p, i), found(text, p, i + 1))), F.lit(""))
+MEMBER = "struct<story:string,mark:string,floor_range:array<string>>"
+
+
+def _member(text: Column) -> Column:
+    """X5 of a text in plain signs, without a trailing dimension."""
     get = lambda p, i: F.regexp_extract(text, p, i)
-    whole = F.when(text.rlike(P.STORY_RANGE), F.struct(F.concat(get(P.STORY_RANGE, 1), F.lit("~"), get(P.STORY_RANGE, 2)).alias("story"), mark(P.STORY_RANGE, 3).alias("mark"), F.array(get(P.STORY_RANGE, 1), get(P.STORY_RANGE, 2)).alias("floor_range")))
-    open_ = F.when(text.rlike(P.STORY_OPEN), F.struct(F.concat(F.lit("~"), get(P.STORY_OPEN, 1)).alias("story"), mark(P.STORY_OPEN, 2).alias("mark"), F.array(F.lit("~"), get(P.STORY_OPEN, 1)).alias("floor_range")))
-    none = F.lit(None).cast("array<string>").alias("floor_range")
-    joined = F.when(text.rlike(P.STORY_JOINED), F.struct(get(P.STORY_JOINED, 1).alias("story"), get(P.STORY_JOINED, 2).alias("mark"), none))
-    apart = F.when(text.rlike(P.STORY_APART), F.struct(get(P.STORY_APART, 1).alias("story"), F.trim(get(P.STORY_APART, 2)).alias("mark"), none))
-    s = F.coalesce(whole, open_, joined, apart)
-    return F.struct(s["story"].alias("story"), s["mark"].alias("mark"), s["floor_range"].alias("floor_range"), mm.alias("trailing_mm"))
+    mark = lambda p, i: F.nullif(F.trim(F.coalesce(F.nullif(get(p, i), F.lit("")), get(p, i + 1))), F.lit(""))
+    of = lambda story, mark, floors=None: F.struct(story.alias("story"), mark.alias("mark"), (F.lit(None) if floors is None else floors).cast("array<string>").alias("floor_range"))
+    tilde = lambda a, b: F.concat(a, F.lit("~"), b)
+    read = (
+        F.when(text.rlike(P.STORY_RANGE), of(tilde(get(P.STORY_RANGE, 1), get(P.STORY_RANGE, 2)), mark(P.STORY_RANGE, 3), F.array(get(P.STORY_RANGE, 1), get(P.STORY_RANGE, 2))))
+        .when(text.rlike(P.STORY_OPEN), of(tilde(F.lit(""), get(P.STORY_OPEN, 1)), mark(P.STORY_OPEN, 2), F.array(F.lit("~"), get(P.STORY_OPEN, 1))))
+        .when(text.rlike(P.STORY_JOINED), of(get(P.STORY_JOINED, 1), get(P.STORY_JOINED, 2)))
+        .when(text.rlike(P.STORY_APART), of(get(P.STORY_APART, 1), F.trim(get(P.STORY_APART, 2))))
+    )
+    # All four begin with a number or a tilde.
+    return F.when(text.rlike(r"^\s*(?:[~～]|-?\d)"), read).otherwise(F.lit(None).cast(MEMBER))
+
+
+def _with_mm(m: Column, mm: Column) -> Column:
+    return F.struct(m["story"].alias("story"), m["mark"].alias("mark"), m["floor_range"].alias("floor_range"), mm.alias("trailing_mm"))
+
+
+def story_and_mark(cell: Column) -> Column:
+    """struct(story, mark, floor_range array<string>, trailing_mm) of a member's name. For a table's column,
+    ``with_member`` is faster."""
+
+    def whole(text: Column) -> Column:
+        body, mm = without_dimension(text)
+        return let(F.struct(body.alias("body"), mm.alias("mm")), lambda b: let(_member(b["body"]), lambda m: _with_mm(m, b["mm"])))
+
+    return let(story_text(cell), whole)
+
+
+def with_member(df: DataFrame, cell: str, name: str) -> DataFrame:
+    """``df`` and ``story_and_mark`` of a column. Steps are projections of their own, so each regular expression runs once,
+    compiled."""
+    out = df.withColumn("_text", story_text(F.col(cell)))
+    body, mm = without_dimension(F.col("_text"))
+    out = out.withColumn("_mm", mm).withColumn("_body", body).withColumn("_member", _member(F.col("_body")))
+    return out.withColumn(name, _with_mm(F.col("_member"), F.col("_mm"))).drop("_text", "_mm", "_body", "_member")
 
 
 def story_label(floor_range: Column) -> Column:
@@ -72,25 +106,40 @@ def story_label(floor_range: Column) -> Column:
     return F.when((a == "~") & (b != ""), F.concat(a, b)).when((a != "") & (b != ""), F.concat(a, F.lit("~"), b))
 
 
-def text_signals(c: Column) -> Column:
-    """struct(main_bar_bars, rebar_d, spacing, size_mm, thickness_pair, floor_range, floor_tokens) of one text; the first
-    match of each pattern counts."""
-    s = stripped(c)
-    bars = s.rlike(P.BARS)
-    named = F.when(s.rlike(P.FLOOR_RANGE), F.array(F.regexp_extract(s, P.FLOOR_RANGE, 1), F.regexp_extract(s, P.FLOOR_RANGE, 2)))
-    floors = F.coalesce(named, story_and_mark(s)["floor_range"])
-    tokens = F.regexp_extract_all(s, F.lit(P.FLOOR_TOKEN), F.lit(1))
+def _named_floors(s: Column) -> Column:
+    return F.when(s.rlike(P.FLOOR_RANGE), F.array(F.regexp_extract(s, P.FLOOR_RANGE, 1), F.regexp_extract(s, P.FLOOR_RANGE, 2)))
+
+
+def _floor_tokens(s: Column, floors: Column) -> Column:
+    return F.when(floors.isNull() & s.rlike(P.FLOOR_TOKEN), F.regexp_extract_all(s, F.lit(P.FLOOR_TOKEN), F.lit(1)))
+
+
+def _signals(s: Column, floors: Column) -> Column:
     return F.struct(
-        F.when(bars, number(s, P.BARS, 1)).alias("main_bar_bars"),
-        F.coalesce(F.when(bars, number(s, P.BARS, 2)), number(s, P.DIAMETER), number(s, P.HIGH_STRENGTH)).alias("rebar_d"),
+        number(s, P.BARS, 1).alias("main_bar_bars"),
+        F.coalesce(number(s, P.BARS, 2), number(s, P.DIAMETER), number(s, P.HIGH_STRENGTH)).alias("rebar_d"),
         number(s, P.SPACING).alias("spacing"),
         pair(s, P.SIZE).alias("size_mm"),
         F.coalesce(pair(s, P.THICKNESS_PAREN), pair(s, P.THICKNESS_SLASH)).alias("thickness_pair"),
         floors.alias("floor_range"),
-        F.when(floors.isNull() & (F.size(tokens) > 0), tokens).alias("floor_tokens"),
+        _floor_tokens(s, floors).alias("floor_tokens"),
     )
 
 
+def text_signals(c: Column) -> Column:
+    """struct(main_bar_bars, rebar_d, spacing, size_mm, thickness_pair, floor_range, floor_tokens) of one text; the first
+    match of each pattern counts. For a table's column, ``with_signals`` is faster."""
+    floors = lambda s: F.coalesce(_named_floors(s), story_and_mark(s)["floor_range"])
+    return let(stripped(c), lambda s: let(floors(s), lambda f: _signals(s, f)))
+
+
+def with_signals(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` and ``text_signals`` of a column, in projections of their own."""
+    out = with_member(df.withColumn("_sig_text", stripped(F.col(text))), "_sig_text", "_sig_member")
+    out = out.withColumn("_sig_floors", F.coalesce(_named_floors(F.col("_sig_text")), F.col("_sig_member.floor_range")))
+    return out.withColumn(name, _signals(F.col("_sig_text"), F.col("_sig_floors"))).drop("_sig_text", "_sig_member", "_sig_floors")
+
+
 SIGNALS = ["main_bar_bars", "rebar_d", "spacing", "size_mm", "thickness_pair", "floor_range", "floor_tokens"]
 
 
@@ -115,10 +164,13 @@ def two_tiers(c: Column) -> Column:
 
 def mark_and_size(c: Column) -> Column:
     """struct(mark, width, depth) of ``RG13C (1000x900)``; sizes must be 200..4000."""
-    s = stripped(c)
-    w, h = number(s, P.MARK_SIZE, 2), number(s, P.MARK_SIZE, 3)
-    ok = F.coalesce(w.between(200, 4000) & h.between(200, 4000), F.lit(False))
-    return F.struct(F.when(ok, F.trim(F.regexp_extract(s, P.MARK_SIZE, 1))).otherwise(s).alias("mark"), F.when(ok, w).alias("width"), F.when(ok, h).alias("depth"))
+
+    def read(s: Column) -> Column:
+        size = F.struct(number(s, P.MARK_SIZE, 2).alias("w"), number(s, P.MARK_SIZE, 3).alias("h"))
+        whole = F.struct(s.alias("mark"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("depth"))
+        return let(size, lambda z: F.when(z["w"].between(200, 4000) & z["h"].between(200, 4000), F.struct(F.trim(F.regexp_extract(s, P.MARK_SIZE, 1)).alias("mark"), z["w"].alias("width"), z["h"].alias("depth"))).otherwise(whole))
+
+    return let(stripped(c), read)
 
 
 def millimetres(c: Column) -> Column:

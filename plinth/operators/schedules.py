@@ -13,10 +13,10 @@ KINDS = ["주근", "형태", "대근_중앙", "대근_상하단"]
 def row_table(texts: DataFrame, category: str, tolerance: float = 2.5, min_texts: int = 1) -> DataFrame:
     """R2: a record for each row of texts with enough of them: cells from left to right, signals merged over the cells (the
     last that has one counts), role and, for slabs, the order of X and Y."""
-    rows = row_summaries(leader_rows(texts, "commit_id", -F.col("y"), [F.col("x"), F.col("id"), F.col("text")], tolerance))
-    rows = rows.filter(F.size("cells") >= min_texts)
-    merged = S.merged_signals(F.transform("cells", S.text_signals))
-    out = rows.withColumn("_s", merged).select("*", *(F.col("_s")[f].alias(f) for f in S.SIGNALS)).drop("_s")
+    items = S.with_signals(leader_rows(texts, "commit_id", -F.col("y"), [F.col("x"), F.col("id"), F.col("text")], tolerance), "text", "signals")
+    rows = row_summaries(items, "signals").filter(F.size("cells") >= min_texts)
+    merged = S.let(F.col("signals"), S.merged_signals)
+    out = rows.withColumn("_m", merged).select(*(c for c in rows.columns if c != "signals"), *(F.col("_m")[f].alias(f) for f in S.SIGNALS))
     out = out.withColumn("category", F.lit(category)).withColumn("role", S.row_role(F.col("cells")))
     return out.withColumn("xy_variant", S.slab_variant(F.col("cells"))) if category == "slab" else out
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plinth.functions import colors, fingerprints, signals as S
 from plinth.plans import views as V
 from plinth.plans.catalog import query
-from plinth.session import table
+from plinth.session import spread, table
 
 
 @query(f"""
@@ -16,7 +16,7 @@ WITH d AS ({V.TEXTS}) SELECT id, commit_id, x, text, CAST(nullif(regexp_extract(
     CAST(nullif(regexp_extract(text, '(\\d+)\\s*[xX]\\s*(\\d+)', 1), '') AS INT) AS width, CAST(nullif(regexp_extract(text, '(\\d+)\\s*[xX]\\s*(\\d+)', 2), '') AS INT) AS depth FROM d
 """)
 def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = V.texts(spark, sf_dir).select("id", "commit_id", "x", "text", S.text_signals(F.col("text")).alias("s"))
+    out = S.with_signals(spread(V.texts(spark, sf_dir)), "text", "s")
     return out.select("id", "commit_id", "x", "text", "s.main_bar_bars", "s.rebar_d", "s.spacing", F.col("s.size_mm")[0].alias("width"), F.col("s.size_mm")[1].alias("depth"))
 
 
@@ -54,7 +54,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, name,
 FROM m
 """)
 def story_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _names(spark, sf_dir).withColumn("s", S.story_and_mark(F.col("name")))
+    out = S.with_member(spread(_names(spark, sf_dir)), "name", "s")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "name", "s.story", "s.mark")
 
 
@@ -99,9 +99,9 @@ def strength_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH d AS ({V.TEXTS}) SELECT commit_id, count(*) AS n, CAST(arg_max(regexp_extract(text, 'D(\\d+)', 1), (x, id, text)) AS INT) AS rebar_d, CAST(arg_max(regexp_extract(text, '@(\\d+)', 1), (x, id, text)) AS INT) AS spacing FROM d GROUP BY 1
 """)
 def signal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.texts(spark, sf_dir).withColumn("s", S.text_signals(F.col("text")))
+    rows = S.with_signals(spread(V.texts(spark, sf_dir)), "text", "s")
     items = F.transform(F.array_sort(F.collect_list(F.struct("x", "id", "text", "s"))), lambda i: i["s"])
-    out = rows.groupBy("commit_id").agg(F.count("*").alias("n"), S.merged_signals(items).alias("m"))
+    out = rows.groupBy("commit_id").agg(F.count("*").alias("n"), S.let(items, S.merged_signals).alias("m"))
     return out.select("commit_id", "n", "m.rebar_d", "m.spacing")
 
 

@@ -80,3 +80,10 @@ def ship(spark: SparkSession) -> None:
             out.write(source, f"plinth/{source.relative_to(root)}")
     context.addPyFile(str(archive))
     context._plinth_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy on each row: a table of fewer files than cores is dealt out over all of them, as a file may be
+    one row group, hence one task. A larger one stays as it is read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
