@@ -1,10 +1,11 @@
 """Sharding by Karmarkar-Karp differencing: rows of equal text stay together, and shards' bytes come out nearly equal.
 
-A partial partition is a list of ``shards`` bins with sizes. Differencing takes the two partial partitions of largest spread
-and joins them oppositely ordered, the fullest bin of one with the emptiest of the other, until one is left. A join is
-itself a partial partition, so the work splits: each task differences bounded runs of its groups, and the partial
-partitions that are left, one for each run, are differenced once more. Only those last ones, 16 sizes for each run of up to
-65,536 groups, meet in one place.
+A partial partition is a list of bins with sizes. Differencing takes the two partial partitions of largest spread and joins
+them oppositely ordered, the fullest bin of one with the emptiest of the other, until one is left.
+
+Up to ``DIRECT`` groups are differenced into shards at once. More are first bundled: each task differences runs of ``RUN``
+groups into ``BUNDLES`` bins, whose bins are the groups of the next round, 16 times fewer, until few enough are left. Bundles
+are small against a shard, so whatever a large group unbalances, bundles enough are there to even it out.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from plinth.llm.common import prepare
 from plinth.session import staged
 
 SHARDS = 16
-#: Groups that are differenced together.
-RUN = 1 << 16
+#: Groups that the driver differences, an id and a size each.
+DIRECT = 1 << 16
+#: Groups that a task differences together, and into how many bundles.
+RUN, BUNDLES = 4096, 256
 #: Rows of a window that numbers slots.
 SLOTS = 50_000
 
@@ -72,7 +75,48 @@ def singles(sizes: list[int], bins: int) -> tuple[list[int], list[int]]:
     return joint, [w[-1] for w in where]
 
 
-def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, run: int = RUN) -> DataFrame:
+def bundled(groups: DataFrame, run: int, bundles: int) -> DataFrame:
+    """(id, bundle, bytes) of groups (id, bytes): runs of groups differenced into bundles."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, run):
+                part = batch.slice(low, run)
+                if n and n + part.num_rows > run:
+                    yield joined(waiting)
+                    waiting, n = [], 0
+                waiting.append(part)
+                n += part.num_rows
+        if n:
+            yield joined(waiting)
+
+    def joined(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        ids, sizes = table.column("id").to_pylist(), table.column("bytes").to_pylist()
+        _, where = singles(sizes, min(bundles, len(sizes)))
+        first = min(ids)  # an id is in one run only
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([f"{first}:{w}" for w in where]), pa.array(sizes, pa.int64())], ["id", "bundle", "bytes"])
+
+    return groups.mapInArrow(kernel, "id string, bundle string, bytes bigint")
+
+
+def placed(groups: DataFrame, shards: int, direct: int = DIRECT, run: int = RUN, bundles: int = BUNDLES) -> DataFrame:
+    """(id, shard) of groups (id, bytes)."""
+    spark, levels = groups.sparkSession, []
+    while groups.count() > direct:
+        level = staged(bundled(groups, run, bundles), "shard-bundles")
+        levels.append(level.select("id", "bundle"))
+        groups = staged(level.groupBy(F.col("bundle").alias("id")).agg(F.sum("bytes").alias("bytes")), "shard-groups")
+    last = sorted((r["id"], r["bytes"]) for r in groups.collect())  # at most ``direct``
+    where = singles([s for _, s in last], shards)[1] if last else []
+    out = spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in last], pa.string()), "shard": pa.array(where, pa.int32())}))
+    for level in reversed(levels):
+        out = level.join(out.withColumnRenamed("id", "bundle"), "bundle").select("id", "shard")
+    return out
+
+
+def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, direct: int = DIRECT, run: int = RUN, bundles: int = BUNDLES) -> DataFrame:
     """One row for each row of ``df``: its id, size (UTF-8 bytes of the text and 1), text_crc32, law ``bytes``, shard,
     slot (0, 1, ... within the shard, by a hash of the id and the id) and grown_shard (null under this law).
 
@@ -86,35 +130,8 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards
         df.select(df[id_col].alias("id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.sha2(text, 256), F.lit("")).alias("digest")),
         "shard-rows",
     )
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, n = [], 0
-        for batch in batches:
-            waiting.append(batch)
-            n += batch.num_rows
-            if n >= run:
-                yield joined(waiting)
-                waiting, n = [], 0
-        if n:
-            yield joined(waiting)
-
-    def joined(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(waiting).combine_chunks().sort_by("digest")
-        sizes = table.column("bytes").to_pylist()
-        _, where = singles(sizes, shards)
-        first = table.column("digest")[0].as_py()  # names the run: a digest belongs to one group
-        return pa.RecordBatch.from_arrays([table.column("digest").combine_chunks(), pa.array([first] * len(where)), table.column("bytes").combine_chunks(), pa.array(where, pa.int32())], ["digest", "run", "bytes", "bin"])
-
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    placed = staged(groups.mapInArrow(kernel, "digest string, run string, bytes bigint, bin int"), "shard-runs")
-    sums: dict[str, list[int]] = {}
-    for r in placed.groupBy("run", "bin").agg(F.sum("bytes").alias("s")).collect():  # 16 sizes for each run
-        sums.setdefault(r["run"], [0] * shards)[r["bin"]] = r["s"]
-    names = sorted(sums)
-    final = difference([sums[x] for x in names])[1] if names else []
-    spark = df.sparkSession
-    where = spark.createDataFrame([(x, i, s) for x, to in zip(names, final) for i, s in enumerate(to)], "run string, bin int, shard int")
-    places = placed.join(where, ["run", "bin"]).select("digest", "shard")
+    groups = staged(rows.groupBy(F.col("digest").alias("id")).agg(F.sum("size").alias("bytes")), "shard-groups")
+    places = placed(groups, shards, direct, run, bundles).withColumnRenamed("id", "digest")
     sharded = staged(rows.join(places, "digest").drop("digest"), "sharded")
     return numbered(sharded, shards).select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

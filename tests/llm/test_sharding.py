@@ -42,14 +42,14 @@ def test_two_bins_as_in_the_textbook():
         assert joint[1] - joint[0] == left[0]
 
 
-@pytest.mark.parametrize("run", [1 << 16, 40])
-def test_assign(spark, run):
+@pytest.mark.parametrize("direct,run,bundles", [(1 << 16, 4096, 256), (100, 40, 20), (60, 20, 10)])
+def test_assign(spark, direct, run, bundles):
     rng = random.Random(1)
     texts = [None, "", "é"] + [("w" * rng.randrange(1, 900)) + str(i) for i in range(600)]
     rows = [(i, rng.choice(texts), 7) for i in range(1500)] + [(None, texts[5], 1), (None, None, 1), (3, texts[5], 1), (3, texts[5], 1)]
     rows += [(5000 + i, "copy", 1) for i in range(800)]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
-    got = assign(df, run=run).collect()
+    got = assign(df, direct=direct, run=run, bundles=bundles).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
     home, slots, load = defaultdict(set), defaultdict(list), Counter()
     for r in got:
@@ -58,10 +58,23 @@ def test_assign(spark, run):
         load[r.shard] += r.size
     assert all(len(x) == 1 for k, x in home.items() if k[0] > 1)  # null and empty look alike
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
-    assert len(load) == 16 and max(load.values()) - min(load.values()) <= 1000 * (1 if run > 100 else 2)
+    assert len(load) == 16 and max(load.values()) - min(load.values()) <= (20 if direct > 10_000 else 3 * sum(load.values()) // direct)  # a few bundles
     assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
 
 
+def test_a_large_group_is_evened_out(spark):
+    # One group of nine tenths of a shard; the rest must make up for it, bundled or not.
+    rows = [(i, f"{i} " + "x" * (i * 37 % 200)) for i in range(6000)]
+    total = sum(len(t) + 1 for _, t in rows)
+    copies = int(0.9 * total / 15.1 / 101)
+    df = spark.createDataFrame(rows + [(10_000 + i, "h" * 100) for i in range(copies)], "doc_id long, text string")
+    for direct, most in ((1 << 16, 1.001), (2000, 1.01)):
+        load = Counter()
+        for r in assign(df, direct=direct, run=1000, bundles=250).collect():
+            load[r.shard] += r.size
+        assert max(load.values()) / min(load.values()) < most
+
+
 def test_hot_group_stays_whole(spark):
     df = spark.createDataFrame([(i, "hot " * 50 if i % 2 else f"t{i}") for i in range(2000)], "doc_id long, text string")
     got = assign(df).collect()
