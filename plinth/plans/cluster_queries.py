@@ -28,11 +28,12 @@ def leader_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {LEADERS} SELECT commit_id, row_index, list(id ORDER BY x, id, text) AS ids, list(text ORDER BY x, id, text) AS cells, round_even(avg(y), 4) AS y_mean, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy,
+WITH {LEADERS} SELECT commit_id, row_index, string_agg(CAST(id AS VARCHAR), ',' ORDER BY x, id, text) AS ids, string_agg(text, '|' ORDER BY x, id, text) AS cells, round_even(avg(y), 4) AS y_mean, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy,
     count(*) AS non_empty_text_count, false AS empty_only FROM rows_ GROUP BY 1, 2
 """)
 def row_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.row_summaries(_rows(spark, sf_dir))
+    out = C.row_summaries(_rows(spark, sf_dir))
+    return out.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).withColumn("cells", F.array_join("cells", "|"))
 
 
 CHAIN = f"""
@@ -110,11 +111,11 @@ def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {LEADERS} SELECT commit_id, row_index, list(text ORDER BY x, id, text) AS cells, CAST(arg_max(regexp_extract(text, 'D(\\d+)', 1), (x, id, text)) AS INT) AS rebar_d, CAST(arg_max(regexp_extract(text, '@(\\d+)', 1), (x, id, text)) AS INT) AS spacing,
+WITH {LEADERS} SELECT commit_id, row_index, string_agg(text, '|' ORDER BY x, id, text) AS cells, CAST(arg_max(regexp_extract(text, 'D(\\d+)', 1), (x, id, text)) AS INT) AS rebar_d, CAST(arg_max(regexp_extract(text, '@(\\d+)', 1), (x, id, text)) AS INT) AS spacing,
     CASE WHEN count(*) = 1 AND NOT regexp_matches(any_value(text), '\\d{{4,}}') THEN 'section_like' WHEN count(*) >= 2 AND NOT bool_and(true) THEN 'header_like' ELSE 'data' END AS role FROM rows_ GROUP BY 1, 2
 """)
 def wall_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedules.row_table(V.texts(spark, sf_dir), "wall").select("commit_id", "row_index", "cells", "rebar_d", "spacing", "role")
+    return schedules.row_table(V.texts(spark, sf_dir), "wall").select("commit_id", "row_index", F.array_join("cells", "|").alias("cells"), "rebar_d", "spacing", "role")
 
 
 KIND_OF = {1: "부호", 2: "주근", 3: "형태", 4: "대근(중앙)"}
