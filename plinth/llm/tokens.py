@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plinth.llm.common import groups, prepare, span_hashes, utf8
 from plinth.llm.files import new_file, old_file
@@ -28,6 +28,8 @@ MAGIC = b"PLNTHUF1"
 SHARD_IDS = 16_000_000
 #: Bytes of text that are encoded together.
 RUN_BYTES = 4 << 20
+#: Tasks that read files; each reads its share.
+MOST_TASKS = 10_000
 #: Ids that are coded or decoded at once.
 PIECE = BLOCK * 2048
 
@@ -324,20 +326,21 @@ def write_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     return staged(dealt.mapInArrow(kernel, "shard bigint, path string, docs bigint, ids bigint, bytes bigint"), "manifest")
 
 
-def read_ids(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+def read_ids(manifest: DataFrame) -> DataFrame:
     """(id, start, ids) of every document in the files of a manifest: start is the number of ids of all documents before
     it, ids are little-endian unsigned 32-bit numbers."""
-    shards = [(r["path"], r["ids"]) for r in manifest.orderBy("shard").collect()]  # one row for each file
-    starts = np.concatenate([[0], np.cumsum([n for _, n in shards])]).tolist() if shards else []
+    files = manifest.count()
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    placed = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start")).repartition(min(max(files, 1), MOST_TASKS))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number in batch.column(0).to_pylist():
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs, begin, own, size = [], [], [], 0
-                with old_file(shards[number][0]) as source:
+                with old_file(path) as source:
                     for doc, a, ids in ShardReader(source).documents():
                         docs.append(doc)
-                        begin.append(starts[number] + a)
+                        begin.append(start + a)
                         own.append(ids.astype("<u4").tobytes())
                         size += len(ids)
                         if size >= PIECE:
@@ -348,4 +351,4 @@ def read_ids(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def out(docs: list, begin: list, own: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begin, pa.int64()), pa.array(own, pa.binary())], ["id", "start", "ids"])
 
-    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(kernel, "id bigint, start bigint, ids binary")
+    return placed.mapInArrow(kernel, "id bigint, start bigint, ids binary")

@@ -49,7 +49,7 @@ def test_files_round_trip(spark, shard_ids):
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     manifest = write_ids(df, FILE, shard_ids=shard_ids)
     assert manifest.count() > (1 if shard_ids < 10**6 else 0)
-    got = read_ids(spark, manifest).orderBy("start").collect()
+    got = read_ids(manifest).orderBy("start").collect()
     assert len(got) == len(rows)
     tokenizer, start = plain(), 0
     own = {}
@@ -70,6 +70,6 @@ def test_files_round_trip(spark, shard_ids):
 
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert read_ids(spark, write_ids(none, FILE)).collect() == []
+    assert read_ids(write_ids(none, FILE)).collect() == []
     null = spark.createDataFrame([(None, None)], "doc_id long, text string")
-    assert [(r.id, r.start, bytes(r.ids)) for r in read_ids(spark, write_ids(null, FILE)).collect()] == [(None, 0, b"\0\0\0\0")]
+    assert [(r.id, r.start, bytes(r.ids)) for r in read_ids(write_ids(null, FILE)).collect()] == [(None, 0, b"\0\0\0\0")]
