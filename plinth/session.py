@@ -82,8 +82,17 @@ def ship(spark: SparkSession) -> None:
     context._plinth_shipped = True
 
 
+#: Bytes a core of a table that is worth dealing out.
+SMALL = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy on each row: a table of fewer files than cores is dealt out over all of them, as a file may be
-    one row group, hence one task. A larger one stays as it is read, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """For work that is heavy on each row: a small table of fewer files than cores is dealt out over all of them, as a file may
+    be one row group, hence one task. Any other stays as it is read, without a shuffle."""
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if len(files) >= cores:
+        return df
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, files))
+    return df.repartition(cores) if size <= cores * SMALL else df
