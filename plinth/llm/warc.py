@@ -17,7 +17,7 @@ from contextlib import ExitStack
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plinth.llm.common import prepare
 from plinth.llm.files import new_file, old_file
@@ -28,6 +28,8 @@ LEAST_BYTES = 1000
 #: Bytes after which a task begins another archive.
 ARCHIVE_BYTES = 1 << 30
 LEVEL = 4
+#: Tasks that read archives; each reads its share.
+MOST_TASKS = 10_000
 #: Pages carry no date of their own.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -128,11 +130,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return staged(resolved.mapInArrow(kernel, "path string, records bigint, revisits bigint, bytes bigint"), "warc-manifest")
 
 
-def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     """A row for each record of the manifest's archives: page_id, url, record_type, payload_bytes, payload_digest (SHA-1 in
     hex), refers_to (page id of a revisit's response) and, if asked, payload (null for revisits). A response's length and
     digest are taken from its payload, and must agree with its headers."""
-    paths = [r["path"] for r in manifest.select("path").orderBy("path").toLocalIterator()]  # one for each archive
+    paths = manifest.select("path").repartition(min(max(manifest.count(), 1), MOST_TASKS))
 
     def parse(fields: dict[str, str], block: bytes) -> tuple:
         page = fields["WARC-Record-ID"].strip("<>").split(":")[3]
@@ -151,8 +153,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number in batch.column(0).to_pylist():
-                with old_file(paths[number]) as source:
+            for path in batch.column(0).to_pylist():
+                with old_file(path) as source:
                     rows, size = [], 0
                     for fields, block in records(source):
                         rows.append(parse(fields, block)[:take])
@@ -167,4 +169,4 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names[:take])
 
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint" + ", payload binary" * with_payload
-    return spark.range(0, len(paths), 1, max(1, len(paths))).mapInArrow(kernel, schema)
+    return paths.mapInArrow(kernel, schema)

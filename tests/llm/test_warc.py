@@ -37,7 +37,7 @@ def test_round_trip(spark, size):
     rows = cases()
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
     manifest = write_archives(df, archive_bytes=size)
-    got = read_archives(spark, manifest).collect()
+    got = read_archives(manifest).collect()
     assert Counter((r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to, r.payload and bytes(r.payload)) for r in got) == Counter(
         (*x[:5], x[5] or x[5]) for x in brute(rows)
     )
@@ -60,5 +60,5 @@ def test_archives_are_plain_gzip(spark):
 @pytest.mark.parametrize("rows", [[], [(None, None, None)]])
 def test_empty(spark, rows):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = read_archives(spark, write_archives(df), with_payload=False).collect()
+    got = read_archives(write_archives(df), with_payload=False).collect()
     assert [(r.page_id, r.payload_bytes, r.record_type) for r in got] == [(None, 0, "response")] * len(rows)
