@@ -105,7 +105,7 @@ def bar_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH w AS ({V.WINDOWS}) SELECT a.window_id AS a, b.window_id AS b, greatest(a.x0, b.x0 - 2000) AS minx, least(a.x1, b.x1 - 2000) AS maxx, greatest(a.y0, b.y0) AS miny, least(a.y1, b.y1) AS maxy
-FROM w a JOIN w b ON b.window_id = a.window_id + 1 WHERE greatest(a.x0, b.x0 - 2000) <= least(a.x1, b.x1 - 2000) AND greatest(a.y0, b.y0) <= least(a.y1, b.y1)
+FROM w a JOIN w b ON b.window_id = a.window_id + 1 WHERE greatest(a.x0, b.x0 - 2000) < least(a.x1, b.x1 - 2000) AND greatest(a.y0, b.y0) < least(a.y1, b.y1)
 """)
 def box_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = V.windows(spark, sf_dir)
