@@ -7,6 +7,7 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 from statistics import fmean, median
 from typing import NamedTuple
 
@@ -55,9 +56,15 @@ def leader_rows(items: Sequence[Item], tolerance: float) -> list[Row]:
     return [sorted(r, key=lambda i: i.x) for r in out]
 
 
+@lru_cache(1 << 16)
+def word(text: str) -> str:
+    """A text in NFKC, single-spaced."""
+    return ALL_SPACES.sub(" ", unicodedata.normalize("NFKC", text)).strip()
+
+
 def words(row: Row) -> list[str]:
-    """A row's texts in NFKC, single-spaced, without empty ones."""
-    return [t for i in row if (t := ALL_SPACES.sub(" ", unicodedata.normalize("NFKC", i.text)).strip())]
+    """A row's texts, without empty ones."""
+    return [t for i in row if (t := word(i.text))]
 
 
 def has_header(row: Row) -> bool:
@@ -80,13 +87,17 @@ def joined_rows(rows: Sequence[Row], tolerance: float, gap: float | None = None,
     glue = max(1, glue)
     most = max(2 * glue, most)
     out: list[Row] = []
+    headed = marked = False  # of the last row
     for row in sorted((list(r) for r in rows if r), key=mean_y, reverse=True):
+        header, mark = has_header(row), has_mark(row)
         above = out[-1] if out else None
-        apart = above is None or has_header(above) and has_mark(row) or has_header(row) and has_mark(above)
+        apart = above is None or headed and mark or header and marked
         if not apart and len(row) <= glue and len(above) + len(row) <= most and abs(mean_y(above) - mean_y(row)) <= gap:
             out[-1] = sorted([*above, *row], key=lambda i: i.x)
+            headed, marked = headed or header, marked or mark
         else:
             out.append(row)
+            headed, marked = header, mark
     return out
 
 
@@ -328,13 +339,17 @@ def compact(text: str) -> str:
     return re.sub(r"[\s　_\-./－–]+", "", text.strip().lower())
 
 
+SHORT = {key: [compact(a) for a in aliases] for key, aliases in HEADER_WORDS.items()}
+
+
+@lru_cache(1 << 16)
 def wide_key(cell: str) -> str | None:
     """The key of a wide table's column."""
     c, plain = compact(cell), ALL_SPACES.sub(" ", cell.lower())
     if not c:
         return None
-    for key, aliases in HEADER_WORDS.items():
-        if any(c.startswith(compact(a)) or c.endswith(compact(a)) for a in aliases):
+    for key, aliases in SHORT.items():
+        if any(c.startswith(a) or c.endswith(a) for a in aliases):
             return key
     if "side" in c and ("bar" in c or "철근" in cell):
         return "side_bar"
@@ -344,6 +359,7 @@ def wide_key(cell: str) -> str | None:
     return f"{zone}_{bar}" if zone and bar else None
 
 
+@lru_cache(1 << 16)
 def narrow_key(cell: str) -> str | None:
     """The key of a column in a table with a location column; any part of the word ``name`` is the name."""
     c = compact(cell)
