@@ -8,12 +8,16 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plinth.llm import decontaminate, langid, licenses, pieces, quality, sharding, simhash, tokens, urls, warc
-from plinth.session import table
+from plinth.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_file(name: str) -> str:
     """A public tokenizer's file, from the installed package of them."""
     return import_module("public_tokenizers").path(name)
@@ -26,7 +30,7 @@ def _query(function):
 
 @_query
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents")))
+    return licenses.scan(licenses.document_paths(documents(spark, sf_dir)))
 
 
 ORACLE_SQL["op1_license_scan"] = licenses.oracle()
@@ -34,7 +38,7 @@ ORACLE_SQL["op1_license_scan"] = licenses.oracle()
 
 @_query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.repetition_report(table(spark, sf_dir, "documents"))
+    return quality.repetition_report(documents(spark, sf_dir))
 
 
 #: The contract's curated list.
@@ -54,42 +58,42 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    found = pieces.encode(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
     return found.select("doc_id", "n_pieces", F.crc32("pieces").alias("pieces_crc32"), "lossless")
 
 
 @_query
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 @_query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = tokens.write_ids(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
-    found = tokens.read_ids(spark, manifest)
+    manifest = tokens.write_ids(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+    found = tokens.read_ids(manifest)
     return found.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 @_query
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    return sharding.assign(documents(spark, sf_dir))
 
 
 @_query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("items")
 
 
 @_query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return langid.identify(documents, langid.train(documents))
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.train(docs))
 
 
 @_query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
-    return warc.read_archives(spark, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL["op9_warc"] = """
