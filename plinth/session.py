@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -33,11 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset, the context's own checkpoint folder. A
+    local session without either gets one; a cluster must name one, as its machines see no folder of the driver's."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="plinth-checkpoints-"))
         found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
@@ -82,6 +86,12 @@ def ship(spark: SparkSession) -> None:
     context._plinth_shipped = True
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that no column of ``df`` has; case doesn't tell names apart."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if x.lower() not in taken)
+
+
 #: Bytes a core of a table that is worth dealing out.
 SMALL = 32 << 20
 
