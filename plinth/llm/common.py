@@ -1,35 +1,35 @@
 """What several operators share: texts as byte buffers, words as spans of them, and 64-bit hashes of spans, all in numpy.
 
-Every kernel below takes whole texts. Byte-level work runs over segments of 1 MiB with a carry, so a text of any length
-needs eight-byte arrays of that size only, besides one byte a byte for masks and a few words a word.
+Every kernel below takes whole texts. Byte-level work is masks of a byte a byte; all else is a few numbers a word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from plinth.session import ship
 
 #: Rows in an Arrow batch: texts average a few KB, and a batch is held whole by each Python worker.
 BATCH_ROWS = 1000
+#: Bytes in one, about: long texts come in smaller batches.
+BATCH_BYTES = 64 << 20
 #: Bytes of text that a kernel works on at once (a longer text goes alone).
 GROUP_BYTES = 1 << 20
-SEGMENT = 1 << 20
-
-BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 
 
 def prepare(df: DataFrame) -> SparkSession:
-    """The frame's session, with the package shipped and Arrow batches of a bounded number of rows."""
+    """The frame's session, with the package shipped and Arrow batches of a bounded number of rows and bytes (settings
+    of the session, which stay)."""
     spark = df.sparkSession
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -67,51 +67,78 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    if not _TABLES:
-        _TABLES["pow"] = _powers(BASE, SEGMENT)
-        _TABLES["inv"] = _powers(pow(BASE, -1, 1 << 64), SEGMENT)
-    return _TABLES["pow"], _TABLES["inv"]
+#: A-Z to a-z, all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
-
-#: A random-looking 64-bit value for each byte, and the same with A-Z as a-z.
+#: A random-looking 64-bit value for each byte.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-FOLDED_VALUES = BYTE_VALUES.copy()
-FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of ``data``; both arrays ascend. Equal bytes give equal hashes wherever
-    they stand: a prefix sum of byte values times powers of an odd base, differenced and divided by the start's power."""
-    power, inverse = _tables()
-    at_start, at_end = np.empty(len(starts), np.uint64), np.empty(len(ends), np.uint64)
-    scale, unscale, carry = 1, 1, np.uint64(0)
-    step, unstep = pow(BASE, SEGMENT, 1 << 64), pow(BASE, -SEGMENT, 1 << 64)
-    undo = np.empty(len(starts), np.uint64)
-    for low in range(0, len(data) + 1, SEGMENT):
-        part = data[low : low + SEGMENT]
-        prefix = np.empty(len(part) + 1, np.uint64)
-        prefix[0] = 0
-        np.cumsum(values[part] * power[: len(part)], out=prefix[1:])
-        prefix *= np.uint64(scale)
-        prefix += carry
-        for where, out in ((starts, at_start), (ends, at_end)):
-            a, b = np.searchsorted(where, (low, low + SEGMENT))
-            out[a:b] = prefix[where[a:b] - low]
-        a, b = np.searchsorted(starts, (low, low + SEGMENT))
-        undo[a:b] = inverse[starts[a:b] - low] * np.uint64(unscale)
-        carry = prefix[-1]
-        scale, unscale = scale * step & _MASK, unscale * unstep & _MASK
-    return mix((at_end - at_start) * undo + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+#: Spans of up to so many bytes are hashed and compared eight bytes at a time, all spans at once; longer ones one by one.
+SHORT = 32
+#: Keeps the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of ``data``: equal bytes give equal hashes wherever they stand. Unlike bytes may
+    share one, so whoever decides by equality compares bytes as well (``repeats``, ``distinct_spans``)."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    eights, live = _eights(data), np.flatnonzero((size > 0) & (size <= SHORT))
+    for low in range(0, SHORT, 8):
+        live = live[size[live] > low]
+        if not len(live):
+            break
+        out[live] = mix(out[live] ^ (eights[starts[live] + low] & _FIRST[np.minimum(size[live] - low, 8)]))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].data)
+    return out
+
+
+def unequal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the bytes of spans i and j differ, one by one."""
+    size = (ends - starts)[i]
+    out = size != (ends - starts)[j]
+    eights, live = _eights(data), np.flatnonzero(~out & (size <= SHORT))
+    for low in range(0, SHORT, 8):
+        live = live[size[live] > low]
+        if not len(live):
+            break
+        out[live] |= ((eights[starts[i[live]] + low] ^ eights[starts[j[live]] + low]) & _FIRST[np.minimum(size[live] - low, 8)]) != 0
+    for k in np.flatnonzero(~out & (size > SHORT)).tolist():
+        a, b = int(starts[i[k]]), int(starts[j[k]])
+        out[k] = not np.array_equal(data[a : a + size[k]], data[b : b + size[k]])
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, the same for two if and only if their bytes are; and the first span of each number."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys = span_hashes(data, starts, ends)
+    order = np.argsort(keys, kind="stable")
+    fresh = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
+    first, code = order[fresh], np.empty(n, np.int64)
+    code[order] = np.cumsum(fresh) - 1
+    other = np.flatnonzero(first[code] != np.arange(n))
+    other = other[unequal(data, starts, ends, other, first[code[other]])]
+    if len(other):  # unlike spans of one hash
+        names, extra = {}, []
+        for i in other.tolist():
+            name = data[starts[i] : ends[i]].tobytes()
+            if name not in names:
+                names[name] = len(first) + len(extra)
+                extra.append(i)
+            code[i] = names[name]
+        first = np.concatenate([first, np.array(extra, np.int64)])
+    return code, first
 
 
 #: Bytes of words: all but the six ASCII white-space characters; and a-z, A-Z, 0-9 and all beyond ASCII.
@@ -152,14 +179,37 @@ def covered(at: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys occur more than once, and which of them aren't the first of their kind."""
+def hashed_again(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur more than once."""
+    order, again = np.argsort(keys, kind="stable"), np.zeros(len(keys), bool)
+    joined = keys[order][1:] == keys[order][:-1]
+    again[order[1:]] = joined
+    again[order[:-1]] |= joined
+    return again
+
+
+def repeats(keys: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray], name: Callable[[int], Hashable]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some things occur more than once, and which of them aren't the first of their kind. Things of unlike keys
+    differ; those of one key are compared: ``same(i, j)`` tells, one by one, which are equal, and ``name(i)`` is equal for
+    equal things (asked only where unlike things share a key)."""
     n = len(keys)
     again, later = np.zeros(n, bool), np.zeros(n, bool)
     if n > 1:
         order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        later[order[1:]] = same
-        again[order[1:]] = same
-        again[order[:-1]] |= same
+        joined = keys[order][1:] == keys[order][:-1]
+        i, j = order[:-1][joined], order[1:][joined]
+        equal = same(i, j)
+        again[i] = again[j] = later[j] = True
+        if not equal.all():
+            group = np.cumsum(np.concatenate([[True], ~joined]))
+            mixed = np.isin(group, np.unique(group[1:][joined][~equal]))
+            seen: dict[Hashable, int] = {}
+            for k in order[mixed].tolist():
+                again[k] = later[k] = False
+            for k in order[mixed].tolist():
+                key = (int(keys[k]), name(k))
+                if key in seen:
+                    again[seen[key]] = again[k] = later[k] = True
+                else:
+                    seen[key] = k
     return again, later

@@ -1,12 +1,14 @@
 """Benchmark decontamination by winnowing.
 
-Of the hashes of a text's k-grams, winnowing keeps the least one of each window of w neighbours. Two texts that share
-w + k - 1 words share such a window, hence a kept hash; here w + k - 1 is the length of a benchmark window, so no shared
-window can be missed. Kept hashes of training and test texts are joined, every hit is extended word by word in both
-directions, and the span counts if it holds a whole window.
-
-The test side is cut into blocks of a bounded number of words, each of which is broadcast; every training text meets each
-block in turn. So what a worker holds at once is bounded for any size of benchmark, and the training side never moves.
+Of the hashes of a window's k-grams, winnowing keeps the least: the window's fingerprint. A text's fingerprints are those of
+its windows, about two for each w + 1 words, and texts that share a window share its fingerprint, so no window can be missed.
+
+The test side becomes a table of its windows, each with its fingerprint, a digest of its words, and the set of items that
+hold it. Training texts are read once. What they send on are the windows whose fingerprint a Bloom filter of the test side's
+lets pass; the filter has a fixed greatest size, and what it lets pass wrongly goes in the join. There fingerprints meet, and
+a hit counts where it extends to the whole window, which equal digests (BLAKE2b of the words, 128 bits) say. Windows that
+overlap make up longer spans. Nothing of either side but the filter passes through the driver, and a passage that is common on
+both sides is one row a text and window: sets of items have a name, so neither side is multiplied by the other.
 """
 
 from __future__ import annotations
@@ -16,14 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from plinth.llm.common import ALNUM, FOLDED_VALUES, groups, mix, prepare, span_hashes, utf8, word_spans
+from plinth.llm.common import ALNUM, LOWER, groups, mix, prepare, span_hashes, utf8, word_spans
+from plinth.session import spare, staged
 
 WINDOW = 13
 K = 5
-#: Words of test items in one broadcast block.
-BLOCK_WORDS = 1_000_000
+#: Bits of the filter: so many for each fingerprint of the test side, and at least and at most (32 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 256, 1 << 20, 1 << 28
+PROBES = 3
 
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -59,162 +64,200 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     return (slide(least, w, False)[: len(hashes)] == hashes) & (hashes != NEVER)
 
 
-class Block:
-    """Winnowed fingerprints of some test items. Items shorter than the window are one window themselves: they have a class
-    for each of their lengths n, with k = n and w = 1."""
-
-    def __init__(self, items: list[tuple[object, np.ndarray]], window: int = WINDOW, k: int = K):
-        self.window, self.k = window, min(k, window)
-        self.ids = [x for x, _ in items]
-        self.items = [w for _, w in items]
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for number, words in enumerate(self.items):
-            size = min(len(words), window)
-            if not size:
-                continue
-            k, w = self.shape(size)
-            hashes = grams(words, len(words) - np.arange(len(words)), k)
-            for at in np.flatnonzero(winnow(hashes, w)):
-                found.setdefault(size, []).append((int(hashes[at]), number, int(at)))
-        self.classes = {}
-        for size, entries in found.items():
-            entries.sort()
-            keys = np.array([x[0] for x in entries], np.uint64)
-            self.classes[size] = (np.unique(keys), keys, [x[1:] for x in entries])
-
-    def shape(self, size: int) -> tuple[int, int]:
-        """(k, w) of a class; w + k - 1 == size."""
-        return (self.k, self.window - self.k + 1) if size == self.window else (size, 1)
-
-    def search(self, words: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(first word, last word + 1, item number) of each span of the training words that holds a window."""
-        first = np.arange(len(words)) + left  # ends of texts
-        seen: set[tuple[int, int, int]] = set()
-        for size, (unique, keys, entries) in self.classes.items():
-            k, w = self.shape(size)
-            hashes = grams(words, left, k)
-            at = np.flatnonzero(winnow(hashes, w)) if w > 1 else np.arange(len(hashes))
-            probe = hashes[at]
-            place = np.minimum(np.searchsorted(unique, probe), len(unique) - 1)
-            at = at[unique[place] == probe]
-            reach: dict[tuple[int, int], int] = {}  # item, diagonal -> where the last span of it ended
-            for i in at.tolist():
-                low, high = np.searchsorted(keys, hashes[i], "left"), np.searchsorted(keys, hashes[i], "right")
-                for number, j in entries[low:high]:
-                    if reach.get((number, i - j), -1) > i:
-                        continue
-                    start, end = self.extend(words, self.items[number], i, j, int(first[i]))
-                    reach[number, i - j] = end
-                    if end - start >= size and (span := (start, end, number)) not in seen:
-                        seen.add(span)
-                        yield span
-
-    @staticmethod
-    def extend(words: np.ndarray, item: np.ndarray, i: int, j: int, stop: int) -> tuple[int, int]:
-        """The longest common run through words[i] and item[j] that stays inside the text that ends before ``stop``."""
-        ahead = min(stop - i, len(item) - j)
-        differs = words[i : i + ahead] != item[j : j + ahead]
-        end = i + (int(differs.argmax()) if differs.any() else ahead)
-        back = min(i, j)
-        differs = words[i - back : i][::-1] != item[j - back : j][::-1]
-        return i - (int(differs.argmax()) if differs.any() else back), end
-
-
-def item_words(text: str | None) -> np.ndarray:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    starts, ends, _ = word_spans(data, np.array([0, len(data)]), ALNUM)
-    return span_hashes(data, starts, ends, FOLDED_VALUES)
-
-
-def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, k: int, block_words: int) -> list:
-    """The test side as broadcast blocks, read item by item: the driver holds one partition of it and one block."""
-    spark, out, block, size = benchmark.sparkSession, [], [], 0
-    for row in benchmark.select(benchmark[id_col].alias("i"), benchmark[text_col].cast("string").alias("t")).toLocalIterator():
-        words = item_words(row["t"])
-        if row["i"] is None or not len(words):
-            continue
-        if block and size + len(words) > block_words:
-            out.append(spark.sparkContext.broadcast(Block(block, window, k)))
-            block, size = [], 0
-        block.append((row["i"], words))
-        size += len(words)
-    if block:
-        out.append(spark.sparkContext.broadcast(Block(block, window, k)))
-    return out
+def fingerprints(words: np.ndarray, left: np.ndarray, size: int, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the fingerprint of the window of ``size`` words that begins there, and whether one does. Only windows of
+    full length are winnowed; those of shorter items are one gram."""
+    k = min(k, window) if size == window else size
+    least = slide(grams(words, left, k), size - k + 1, True)
+    return mix(least + np.uint64(size)), left >= size
+
 
+def _probes(prints: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The places of a fingerprint in the filter: other bits of it for each probe."""
+    return [(mix(prints + np.uint64(i)) & np.uint64(bits - 1)).astype(np.int64) for i in range(PROBES)]
 
-def _marks(data: np.ndarray, offsets: np.ndarray, blocks: list) -> tuple[np.ndarray, np.ndarray, list[set]]:
-    """For a run of texts: numbers of words and of hit words, and the ids of the items found."""
+
+def _folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lower-cased bytes, starts and ends of words, rows' bounds among them, words' hashes, and the words left in the row."""
+    data = LOWER[data]
     starts, ends, bounds = word_spans(data, offsets, ALNUM)
-    words = span_hashes(data, starts, ends, FOLDED_VALUES)
+    words = span_hashes(data, starts, ends)
+    return data, starts, ends, bounds, words, np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(words))
+
+
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, size: int) -> list[bytes]:
+    """A digest of the ``size`` words from each place ``at`` on."""
+    if not len(at):
+        return []
+    near = np.zeros(len(starts) + 1, np.int64)
+    near[at] += 1
+    near[at + size] -= 1
+    wanted = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+    raw = data.tobytes()
+    words = dict(zip(wanted.tolist(), (raw[i:j] for i, j in zip(starts[wanted].tolist(), ends[wanted].tolist()))))
+    return [hashlib.blake2b(b" ".join([words[i] for i in range(x, x + size)]), digest_size=16).digest() for x in at.tolist()]
+
+
+def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
+    """(print, digest, n, item) of each window of each row; ``n`` is its number of words, ``item`` the id as a string."""
+    prepare(benchmark)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, edges = utf8(batch.column(1))
+            for a, b in groups(edges):
+                data, starts, ends, bounds, words, left = _folded(whole[edges[a] : edges[b]], edges[a : b + 1] - edges[a])
+                count = np.diff(bounds)
+                for size in np.unique(np.minimum(count, window)).tolist():
+                    if not size:
+                        continue
+                    prints, ok = fingerprints(words, left, size, window, k)
+                    at = np.flatnonzero(ok & np.repeat(count >= window, count)) if size == window else bounds[:-1][count == size]
+                    rows = np.searchsorted(bounds, at, "right") - 1
+                    items = batch.column(0).take(pa.array(rows + a))
+                    yield pa.RecordBatch.from_arrays([pa.array(prints[at].view(np.int64)), pa.array(_digests(data, starts, ends, at, size), pa.binary()), pa.array(np.full(len(at), size, np.int32)), items], ["print", "digest", "n", "item"])
+
+    rows = benchmark.select(benchmark[id_col].cast("string").alias("i"), benchmark[text_col].cast("string").alias("t"))
+    return rows.mapInArrow(kernel, "print bigint, digest binary, n int, item string")
+
+
+def print_filter(windows: DataFrame, bits: int | None = None) -> Broadcast:
+    """A Bloom filter of the windows' fingerprints. Its bits are gathered as numbers of 64, so the driver gets at most
+    MOST_BITS / 64 rows however many windows there are."""
+    spark = windows.sparkSession
+    bits = bits or min(max(1 << (windows.count() * BITS_EACH).bit_length(), LEAST_BITS), MOST_BITS)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.uint64(1) << (at & 63).astype(np.uint64)).view(pa.int64())], ["at", "bit"])
+
+    rows = windows.select("print").mapInArrow(kernel, "at bigint, bit bigint").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return spark.sparkContext.broadcast(out)
+
+
+def _passes(prints: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which fingerprints may be among the test side's. Neighbours mostly share one, so runs are looked up once."""
+    change = np.flatnonzero(np.diff(prints, prepend=~prints[:1]) != 0)
+    some, ok = prints[change], np.ones(len(change), bool)
+    for at in _probes(some, len(held) << 6):
+        ok &= (held[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)) == 1
+    return np.repeat(ok, np.diff(change, append=len(prints)))
+
+
+def _candidates(data: np.ndarray, offsets: np.ndarray, held: np.ndarray, sizes: list[int], window: int, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """For a run of texts: numbers of words, of windows that the filter lets pass, and those: (place in the text, words,
+    fingerprint, digest), text by text."""
+    data, starts, ends, bounds, words, left = _folded(data, offsets)
+    found = []
+    for size in sizes:
+        prints, ok = fingerprints(words, left, size, window, k)
+        at = np.flatnonzero(ok & _passes(prints, held)) if len(prints) else np.zeros(0, np.int64)
+        rows = np.searchsorted(bounds, at, "right") - 1
+        found += zip(rows.tolist(), (at - bounds[rows]).tolist(), [size] * len(at), prints[at].view(np.int64).tolist(), _digests(data, starts, ends, at, size))
+    found.sort(key=lambda x: x[0])
     count = np.diff(bounds)
-    left = np.repeat(bounds[1:], count) - np.arange(len(words))
-    edge, found = np.zeros(len(words) + 1, np.int64), [set() for _ in count]
-    for block in blocks:
-        block = getattr(block, "value", block)
-        # Extension to the left may run into the text before; it is cut where the span's own text begins.
-        for start, end, number in block.search(words, left):
-            row = int(np.searchsorted(bounds, end - 1, "right")) - 1
-            size = min(len(block.items[number]), block.window)
-            start = max(start, int(bounds[row]))
-            if end - start >= size:
-                edge[start] += 1
-                edge[end] -= 1
-                found[row].add(block.ids[number])
-    hit = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(np.cumsum(edge[:-1]) > 0, out=hit[1:])
-    return count, hit[bounds[1:]] - hit[bounds[:-1]], found
-
-
-def _judged(column: pa.Array, blocks: list) -> dict[str, pa.Array]:
-    data, offsets = utf8(column)
-    words, hits, items = [], [], []
-    for a, b in groups(offsets):
-        n, h, found = _marks(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], blocks)
-        words.append(n)
-        hits.append(h)
-        items += [sorted(map(str, x)) for x in found]
-    n, h = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (words, hits))
-    return {"n_words": pa.array(n), "n_hit": pa.array(h), "items": pa.array(items, pa.list_(pa.string())), "contaminated": pa.array((h > 0) & (20 * h >= n))}
+    return count, np.bincount(np.array([x[0] for x in found], np.int64), minlength=len(count)), found
+
+
+_WINDOWS = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int32()), ("print", pa.int64()), ("digest", pa.binary())]))
+
+
+class Search:
+    """The test side of a benchmark, ready to be met by training texts."""
+
+    def __init__(self, benchmark: DataFrame, id_col: str, text_col: str, window: int = WINDOW, k: int = K, bits: int | None = None):
+        self.window, self.k = window, k
+        windows = staged(item_windows(benchmark, id_col, text_col, window, k), "item-windows")
+        self.sizes = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most ``window``
+        self.held = print_filter(windows, bits)
+        # Items are gathered by window, an item once; equal sets get one name.
+        sets = windows.groupBy("print", "digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        sets = staged(sets.withColumn("set", F.sha2(F.to_json("items"), 256)), "window-items")
+        self.windows = sets.select("print", "digest", "set")
+        self.items = staged(sets.groupBy("set").agg(F.first("items").alias("items")), "item-sets")
+
+    def candidates(self, df: DataFrame) -> DataFrame:
+        """(id, n_words, found) of each row (id, text): the windows that the filter lets pass."""
+        held, sizes, window, k = self.held, self.sizes, self.window, self.k
+
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = utf8(batch.column(1))
+                for a, b in groups(offsets):
+                    count, many, found = _candidates(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], held.value, sizes, window, k)
+                    parts = list(zip(*found)) or [()] * 5
+                    flat = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts[1:], _WINDOWS.value_type)], fields=list(_WINDOWS.value_type))
+                    edge = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(edge, flat)], ["id", "n_words", "found"])
+
+        kind = df.schema[0].dataType.simpleString()
+        return df.mapInArrow(kernel, f"id {kind}, n_words bigint, found array<struct<at:bigint,n:int,print:bigint,digest:binary>>")
+
+    def judged(self, df: DataFrame) -> DataFrame:
+        """(id, n_words, n_hit, items, contaminated) of each row (id, text)."""
+        own = staged(self.candidates(df).withColumn("row", F.monotonically_increasing_id()), "candidates")
+        met = own.select("row", F.inline("found")).join(self.windows, ["print", "digest"]).select("row", "at", (F.col("at") + F.col("n")).alias("end"), "set")
+        met = staged(met, "hits")
+        before = Window.partitionBy("row").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1)
+        new = F.greatest(F.lit(0), F.col("end") - F.greatest("at", F.coalesce(F.max("end").over(before), F.lit(0))))
+        hits = met.select("row", new.alias("new")).groupBy("row").agg(F.sum("new").alias("n_hit"))
+        items = met.select("row", "set").distinct().join(self.items, "set").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        none = F.array().cast("array<string>")
+        out = own.select("row", "id", "n_words").join(hits.join(items, "row"), "row", "left").select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+        return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+    def may_hit(self, df: DataFrame, text_col: str, name: str) -> DataFrame:
+        """``df`` with a column ``name``: whether the filter lets any window of the text pass."""
+        held, sizes, window, k, place = self.held, self.sizes, self.window, self.k, df.columns.index(text_col)
+
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = utf8(batch.column(place).cast(pa.string()))
+                some = []
+                for a, b in groups(offsets):
+                    _, _, _, bounds, words, left = _folded(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    hit = np.zeros(len(words) + 1, np.int64)
+                    for size in sizes if len(words) else ():
+                        prints, ok = fingerprints(words, left, size, window, k)
+                        hit[1:] |= ok & _passes(prints, held.value)
+                    hit = np.cumsum(hit)
+                    some.append(hit[bounds[1:]] > hit[bounds[:-1]])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(some) if some else np.zeros(0, bool))], [*batch.schema.names, name])
+
+        return df.mapInArrow(kernel, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
 
 
 def contamination(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS,
+    window: int = WINDOW, k: int = K, bits: int | None = None,
 ) -> DataFrame:
     """One row for each row of ``df``: its id, n_words, n_hit, n_items, items (ids as sorted strings), items_sha256 and
     contaminated (at least a twentieth of its words are hit).
 
-    A null text has no words, and no hit: n_items 0, items_sha256 that of the empty string. Items without a word or with a
-    null id match nothing; items of equal text all count. Rows of ``df`` with a null or repeated id are judged one by one.
-    An empty benchmark hits nothing. Other columns play no part.
+    A null text has no words, and no hit: n_items 0, items_sha256 that of the empty string. Items without a word match nothing.
+    An item with a null id hits words, but has no name to count or list; rows that share an item id are one item. Rows of
+    ``df`` with a null or repeated id are judged one by one. An empty benchmark hits nothing. Other columns play no part.
     """
     prepare(df)
-    blocks = test_blocks(benchmark, item_id, item_text, window, k, block_words)
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = _judged(batch.column(1), blocks)
-            items = got["items"].to_pylist()
-            sums = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), got["n_words"], got["n_hit"], pa.array(map(len, items), pa.int64()), got["items"], sums, got["contaminated"]],
-                [id_col, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"],
-            )
-
-    schema = f"`{id_col}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, items_sha256 string, contaminated boolean"
-    return df.select(df[id_col], df[text_col].cast("string")).mapInArrow(kernel, schema)
+    found = Search(benchmark, item_id, item_text, window, k, bits).judged(df.select(df[id_col], df[text_col].cast("string")))
+    return found.select(
+        F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns as they are, that aren't contaminated."""
-    prepare(df)
-    blocks, place = test_blocks(benchmark, item_id, item_text, WINDOW, K, BLOCK_WORDS), df.columns.index(text_col)
+    """The rows of ``df``, all columns as they are, that aren't contaminated: equal texts stay or go together, null ones stay.
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = _judged(batch.column(place), blocks)["contaminated"].to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(~bad.astype(bool)))
-
-    return df.mapInArrow(kernel, df.schema)
+    Texts that the filter finds nothing in aren't moved; the others are joined to the digests of contaminated texts."""
+    prepare(df)
+    search = Search(benchmark, item_id, item_text)
+    text = F.col(text_col).cast("string")
+    flag, bad = spare(df, "may_hit"), spare(df, "bad")
+    flagged = search.may_hit(df, text_col, flag)
+    maybe = flagged.filter(flag).drop(flag)
+    judged = search.judged(maybe.select(F.sha2(text, 256).alias("id"), text.alias("t")))
+    gone = staged(judged.filter("contaminated").select(F.col("id").alias(bad)).distinct(), "contaminated")
+    return flagged.filter(~F.col(flag)).drop(flag).union(maybe.join(gone, F.sha2(text, 256) == F.col(bad), "left_anti"))

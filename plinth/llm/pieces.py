@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.common import BYTE_VALUES, groups, mix, prepare, span_hashes, utf8
+from plinth.llm.common import BYTE_VALUES, distinct_spans, groups, mix, prepare, utf8
 
 SPACE = "\u2581"
 #: Bytes of text whose units are filtered together.
@@ -260,11 +260,9 @@ class Sampler:
         salt = mix(seed[row] + ordinal.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
         short = np.flatnonzero(ends - starts <= UNIT_BYTES)
-        own = span_hashes(data, starts, ends)[short]
-        order = np.argsort(own, kind="stable")
-        fresh = np.diff(own[order], prepend=~own[order[:1]]) != 0
-        first = short[order[fresh]]
-        unit = np.cumsum(fresh) - 1
+        own, first = distinct_spans(data, starts[short], ends[short])
+        order, first = np.argsort(own, kind="stable"), short[first]
+        unit = own[order]
         x = Lattice(self.v, data, starts[first], ends[first])
 
         # Draws go through the units in the lattice's order: neighbours then look at the same few edges.

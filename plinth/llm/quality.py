@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plinth.llm.common import NOT_SPACE, groups, mix, per_row, covered, prepare, repeats, span_hashes, utf8, word_spans
+from plinth.llm.common import NOT_SPACE, covered, distinct_spans, groups, hashed_again, mix, per_row, prepare, repeats, span_hashes, unequal, utf8, word_spans
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,9 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: RepetitionRules) -> di
     line_from, line_to, words_from, words_to = line_from[real], line_to[real], words_from[real], words_to[real]
     line_row = row_of[words_from] if n else words_from
     salt = mix(line_row.astype(np.uint64) + np.uint64(1))
-    _, later = repeats(span_hashes(data, line_from, line_to) ^ salt)
+    same = lambda i, j: (line_row[i] == line_row[j]) & ~unequal(data, line_from, line_to, i, j)
+    name = lambda i: (int(line_row[i]), data[line_from[i] : line_to[i]].tobytes())
+    _, later = repeats(span_hashes(data, line_from, line_to) ^ salt, same, name)
     out["n_dup_lines"] = np.bincount(line_row[later], minlength=rows)
     total = np.zeros(n + 1, np.int64)
     np.cumsum(chars, out=total[1:])
@@ -69,14 +71,27 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: RepetitionRules) -> di
     word = span_hashes(data, starts, ends)
     left = bounds[1:][row_of] - np.arange(n)  # words from here to the end of the text
     salt = mix(row_of.astype(np.uint64) + np.uint64(1))
-    at, rolled, length = np.arange(n), word.copy(), 1
+    at, rolled, length, code = np.arange(n), word.copy(), 1, None
     for size in sorted({3, *rules.gram_share}):
         fits = left[at] >= size
         at, rolled = at[fits], rolled[fits]
         while length < size:
             rolled = rolled * np.uint64(0x2545F4914F6CDD1D) + word[at + length]
             length += 1
-        again, _ = repeats(mix(rolled) ^ salt[at])
+        if code is None:  # words that may be in a repeated n-gram get numbers, which tell them apart whatever their hashes
+            code = np.full(n, -1)
+            near = hashed_again(mix(rolled) ^ salt[at])
+            at, rolled = at[near], rolled[near]
+            near = np.flatnonzero(covered(at, size, n))
+            code[near] = distinct_spans(data, starts[near], ends[near])[0]
+
+        def same(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = row_of[at[i]] == row_of[at[j]]
+            for k in range(size):
+                out &= code[at[i] + k] == code[at[j] + k]
+            return out
+
+        again, _ = repeats(mix(rolled) ^ salt[at], same, lambda i: (int(row_of[at[i]]), *code[at[i] : at[i] + size].tolist()))
         at, rolled = at[again], rolled[again]
         inside = covered(at, size, n)
         if size == 3:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plinth.llm.common import groups, prepare, span_hashes, utf8
+from plinth.llm.common import distinct_spans, groups, prepare, utf8
 from plinth.llm.files import new_file, old_file
 from plinth.llm.huffman import BLOCK, Code, code_lengths
 from plinth.session import scratch_path, staged
@@ -40,19 +40,18 @@ class ChunkEncoder:
     A byte-level BPE first cuts a text by a pattern in which a run of letters, digits or signs takes one space before it
     along. So wherever one space stands between two characters that aren't white space, a cut is certain, and what is
     left and right of it is encoded as if it stood alone. (Cuts are made only where neighbouring bytes rule white space
-    beyond ASCII out, too; fewer cuts do no harm.) Chunks are known by a 64-bit hash, so that millions of them, and their
-    ids, take little room; what a batch brings that isn't known is encoded as one text, whose ids fall to the chunks by
-    their bytes.
+    beyond ASCII out, too; fewer cuts do no harm.) Chunks are known by their bytes; what a batch brings that isn't known is
+    encoded as one text, whose ids fall to the chunks by their sizes.
     """
 
-    MOST = 2_000_000
+    #: Bytes of known chunks, about; then all are forgotten.
+    MOST = 64 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(names.values()) + 1, np.int64)  # bytes of each id; a character of its name stands for a byte
         for name, i in names.items():
@@ -60,7 +59,8 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes, ascending, and the chunk's number
+        self.known: dict[bytes, int] = {}  # a chunk's number
+        self.held = 0
         self.edge, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint16 if len(self.size) <= 1 << 16 else np.int32)
 
     #: Bytes that are no white space by themselves; and those that may begin or end white space beyond ASCII.
@@ -77,14 +77,13 @@ class ChunkEncoder:
         left = self.PLAIN[before] | ((before >= 0x80) & (before < 0xC0) & self.LEAD[data[at - 2]])
         return at[left & (self.PLAIN[after] | self.LEAD[after])]
 
-    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, alone: np.ndarray) -> None:
-        raw = data.tobytes()
-        chunks = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    def learn(self, chunks: list[bytes], alone: np.ndarray) -> None:
+        """Encode chunks that aren't known; those marked alone may not stand before another one."""
         join = np.flatnonzero(~alone)
         text = b"".join([chunks[i] for i in join.tolist()]).decode()
         own = self.tokenizer.encode_batch_fast([text, *(chunks[i].decode() for i in np.flatnonzero(alone).tolist())], add_special_tokens=False)
         parts = [np.array(x.ids, np.int32) for x in own]
-        stops = np.cumsum(ends[join] - starts[join])
+        stops = np.cumsum([len(chunks[i]) for i in join.tolist()])
         count = np.zeros(len(chunks), np.int64)
         reach = np.cumsum(self.size[parts[0]])
         last = np.searchsorted(reach, stops)
@@ -93,17 +92,14 @@ class ChunkEncoder:
         count[join] = np.diff(last + 1, prepend=0)
         count[alone] = [len(x) for x in parts[1:]]
         order = np.concatenate([join, np.flatnonzero(alone)])
-        known = len(self.edge) - 1
-        number = np.empty(len(chunks), np.int32)
-        number[order] = np.arange(known, known + len(chunks), dtype=np.int32)
+        self.known.update((chunks[i], len(self.edge) - 1 + k) for k, i in enumerate(order.tolist()))
+        self.held += sum(map(len, chunks)) + 100 * len(chunks)
         self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(count[order])])
         self.ids = np.concatenate([self.ids, *(x.astype(self.ids.dtype) for x in parts)])
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, number)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each ends. Texts are bytes between offsets."""
-        if len(self.keys) > self.MOST:
+        if self.held > self.MOST:
             self.clear()
         if not len(data):
             return self.ids[:0], np.zeros(len(offsets) - 1, np.int64)
@@ -115,24 +111,20 @@ class ChunkEncoder:
         begins[heads] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
-        own = span_hashes(data, starts, ends)
-        order = np.argsort(own, kind="stable")
-        fresh = np.diff(own[order], prepend=~own[order[:1]]) != 0
-        first = order[fresh]
-        hashes = own[first]
-        inverse = np.empty(len(own), np.int64)
-        inverse[order] = np.cumsum(fresh) - 1
-        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
-        new = np.ones(len(hashes), bool) if not len(self.keys) else self.keys[at] != hashes
-        if new.any():
-            pick = first[new]
-            a, b = starts[pick], ends[pick]
+        code, first = distinct_spans(data, starts, ends)
+        raw, a, b = data.tobytes(), starts[first], ends[first]
+        chunks = [raw[i:j] for i, j in zip(a.tolist(), b.tolist())]
+        get = self.known.get
+        number = np.fromiter((get(x, -1) for x in chunks), np.int64, len(chunks))
+        new = np.flatnonzero(number < 0)
+        if len(new):
             begins[:] = False
             begins[heads] = True
-            alone = begins[a] | ~(self.PLAIN[data[b - 1]] | ((data[b - 1] >= 0x80) & self.LEAD[data[np.maximum(b - 2, 0)]]))
-            self.learn(data, a, b, hashes[new], alone)
-            at = np.searchsorted(self.keys, hashes)
-        codes = self.place[at].astype(np.int64)[inverse]
+            # What stands at a text's head, or ends otherwise than a certain cut allows, isn't joined to others.
+            alone = begins[a[new]] | ~(self.PLAIN[data[b[new] - 1]] | ((data[b[new] - 1] >= 0x80) & self.LEAD[data[np.maximum(b[new] - 2, 0)]]))
+            self.learn([chunks[i] for i in new.tolist()], alone)
+            number[new] = [get(chunks[i]) for i in new.tolist()]
+        codes = number[code]
         begin = self.edge[codes]
         size = self.edge[codes + 1] - begin
         total = np.cumsum(size)
@@ -293,7 +285,8 @@ class ShardReader:
 def write_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode all texts and write them to files; the manifest: (shard, path, docs, ids, bytes), shards in ascending id order.
 
-    Rows with null ids come first; rows that repeat an id stand together, in the order of their ids. No rows give no files.
+    Rows with null ids come first; rows that repeat an id stand together, in any order of their own. No rows give no files.
+    Files hold nearly equal numbers of rows, whatever the ids: where one id has many rows, they go to several files.
     """
     from tokenizers import Tokenizer
 
@@ -301,7 +294,7 @@ def write_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     folder = folder or scratch_path(spark, "token-files")
     vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
     width = 2 if vocabulary <= 1 << 16 else 4
-    own = staged(encoded(df, tokenizer, id_col, text_col, end_id, width), "token-ids")
+    own = staged(encoded(df, tokenizer, id_col, text_col, end_id, width).withColumn("row", F.monotonically_increasing_id()), "token-ids")
     counts = id_counts(own, width, vocabulary)
     code = spark.sparkContext.broadcast(code_lengths(counts))  # a byte for each id of the vocabulary
 
@@ -322,7 +315,8 @@ def write_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["shard", "path", "docs", "ids", "bytes"])
 
     shards = max(1, -(-int(counts.sum()) // shard_ids))
-    dealt = own.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
+    order = [F.col("id").asc_nulls_first(), F.col("row").asc()]
+    dealt = own.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     return staged(dealt.mapInArrow(kernel, "shard bigint, path string, docs bigint, ids bigint, bytes bigint"), "manifest")
 
 

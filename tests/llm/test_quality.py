@@ -2,9 +2,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from plinth.llm.quality import RepetitionRules, keep_clean, repetition_report
+from plinth.llm.quality import RepetitionRules, judged, keep_clean, repetition_report
+from tests.llm.test_common import thue_morse
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -38,6 +41,8 @@ def texts():
         n, v = rng.choice([3, 40, 80, 400]), rng.choice([2, 5, 30, 1000])
         out.append("".join(f"{rng.choice(['w', 'é', 'Ü', '|', '漢'])}{rng.randrange(v)}{rng.choice([' ', ' ', ' ', '  ', chr(10), chr(9)])}" for _ in range(n)))
     line = " ".join(f"q{i}" for i in range(30))
+    a, b = thue_morse(2048)
+    out += [f"{a}\n{b}", f"{a}\n{b}\n{a}", f"{a} x {b} y {a} x {b} z", f"{a} p q {b} p q", "in it\n" * 2 + f"{a}\n" * 3]
     out += [f"{line}\n{line}\nrest", "long " * 300_000, "z" * 3_000_000 + " end"]
     return out
 
@@ -57,6 +62,15 @@ def test_keep_clean_passes_columns_on(spark):
     assert keep_clean(df).schema == df.schema
 
 
+def test_weak_hashes_change_nothing(monkeypatch):
+    own = [t for t in texts() if t and len(t) < 5000]
+    want = [brute(t) for t in own]
+    monkeypatch.setattr("plinth.llm.quality.span_hashes", lambda d, s, e: ((e - s) % 2).astype(np.uint64))
+    got = judged(pa.array(own), RepetitionRules())
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_chars_{n}" for n in range(5, 11)), "base_failed", "kept"]
+    assert list(zip(*(got[n].tolist() for n in names))) == want
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)]])
 def test_empty(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 from plinth.llm.files import old_file
 from plinth.llm.queries import tokenizer_file
+from tests.llm.test_common import thue_morse
 from plinth.llm.tokens import ChunkEncoder, ShardReader, read_ids, write_ids
 
 FILE = tokenizer_file("byte_bpe_50k.json")
@@ -15,15 +16,15 @@ def texts():
     rng = random.Random(4)
     signs = ["a", "Z", "é", "漢", "7", "'s", "!", "\n", "\t", "\x1c", "\x85", "\xa0", "᠎", " ", "​", "don't", "word", "<|endoftext|>", "́", "😀"]
     out = [None, "", " ", "  ", " a", "a ", "a  b", "a \n b", "the<|endoftext|> end", "x" * 70_000, "many words " * 30_000]
+    a, b = thue_morse(2048)
+    out += [f"xx {a} {b} yy", f"xx {b} yy", f"{a} {a}", "of <|endoftext|> it", " <|endoftext|>", "<|endoftext|><|endoftext|> x"]
     for _ in range(400):
         out.append("".join(rng.choice(signs) + rng.choice(["", " ", " ", "  "]) for _ in range(rng.randrange(40))))
     return out
 
 
 def plain():
-    own = Tokenizer.from_file(FILE)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(FILE)
 
 
 def test_chunks_encode_as_whole_texts_do():
@@ -68,6 +69,16 @@ def test_files_round_trip(spark, shard_ids):
         assert alone.tolist() == reader.ids(0, 3)[512:1024].tolist()
 
 
+def test_rows_of_one_id_go_to_several_files(spark):
+    rows = [(None if i % 5 else i, f"text number {i % 3}") for i in range(1000)] + [(7, "again")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = write_ids(df, FILE, shard_ids=600)
+    docs = [r.docs for r in manifest.collect()]
+    assert len(docs) > 5 and max(docs) < 2 * sum(docs) / len(docs)
+    got = read_ids(manifest).orderBy("start").collect()
+    assert [r.id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert read_ids(write_ids(none, FILE)).collect() == []
