@@ -10,6 +10,9 @@ up to ``CROWD`` all pairs are verified. A fuller cell is cut once more, by a gri
 Manhattan distance *is* the Hamming distance: its fingerprints go to the 64-bit points of the cell within one flip. Such a
 point has 65 neighbours at most, and all of them are within two flips of one another, so linking each to the least one
 keeps the components as they are without listing pairs. Distinct fingerprints alone take part; copies join at the end.
+
+``keep_one`` takes near-duplicates out of a corpus: texts similar at 0.8 by 5-word shingles. Links of fingerprints are its
+candidates, with those that ``similar`` adds, as fingerprints within two bits are few of such texts; all are verified exactly.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from plinth.llm.common import prepare
+from plinth.llm import similar
 from plinth.llm.components import components
+from plinth.llm.rows import check_of, pinned, row_number_id, without
 from plinth.session import staged
 
 WORDS = 3
@@ -118,24 +123,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return own.join(labels, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns as they are, with the least id of each component; of rows that repeat that id, one.
-    Where no row of a component has an id, one row of each of its fingerprints stays."""
-    found = staged(near_duplicates(df, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_c"), "fingerprint"), "components")
-    best = found.filter("_id = _c").groupBy("_id").agg(F.count("*").alias("_n"))
-    out = df.join(best, F.col(id_col) == F.col("_id"), "left_semi")
-    if not best.filter("_n > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
-    nameless = found.filter("_c is null").select(F.col("fingerprint").alias("_fp")).distinct()
-    if not nameless.isEmpty():
-        place = df.columns.index(text_col)
-
-        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                prints = [f"{fingerprint(x.as_buffer().to_pybytes()) if x.is_valid else 0:016x}" for x in batch.column(place).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], [*batch.schema.names, "_fp"])
-
-        bare = df.filter(F.col(id_col).isNull())
-        bare = bare.mapInArrow(kernel, T.StructType([*bare.schema.fields, T.StructField("_fp", T.StringType())]))
-        out = out.union(bare.join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
-    return out
+def similar_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = similar.WORDS, least: tuple[int, int] = similar.SIMILARITY, crowd: int = similar.CROWD) -> DataFrame:
+    """(row, id, check, component, kept) for each row of a pinned ``df`` by its number: components of texts whose sets of word
+    shingles are similar, and whether a row is the one that stays of its component."""
+    text = df[text_col].cast("string")
+    own = df.select(row_number_id().alias("row"), df[id_col].alias("id"), check_of(text), text.alias("t"))
+    own = staged(similar.keyed(own, words), "set-keys")
+    # A node is a distinct set, known by two hashes and its size, and named by the number of its first row.
+    node = own.groupBy("key", "fp", "n").agg(F.min("row").alias("node"), F.min_by("check", "row").alias("check"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+    nodes = staged(node, "set-nodes")
+    texts = df.select(text.alias("t"))
+    firsts = staged(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    edges = links(firsts.select("fp"), crowd)
+    near = edges.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    near = near.union(nodes.join(firsts, "fp").filter("node != first").select("first", "node"))
+    pairs = near.union(similar.candidates(texts, nodes, similar.common_elements(own), words, least, crowd)).distinct()
+    joined = components(similar.similar(texts, nodes, staged(pairs, "pairs"), words, least))
+    named = nodes.join(joined.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "fp", "n", "best", F.coalesce("component", "node").alias("component"))
+    kept = named.groupBy("component").agg(F.min("best").alias("b")).select("component", F.col("b.row").alias("first"))
+    named = named.select("key", "fp", "n", "component").join(kept, "component")
+    return own.select("row", "id", "check", "key", "fp", "n").join(named, ["key", "fp", "n"]).select("row", "id", "check", "component", (F.col("row") == F.col("first")).alias("kept"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = similar.WORDS, least: tuple[int, int] = similar.SIMILARITY, crowd: int = similar.CROWD) -> DataFrame:
+    """The rows of ``df``, all columns as they are, less near-duplicates: one row of each component of texts whose sets of word
+    shingles are similar, that with the least id (any before a null one); of rows that share it, the first.
+
+    Null, empty and blank texts have the same set, an empty one: one of them stays. No rows give no rows."""
+    prepare(df)
+    df = pinned(df)
+    found = staged(similar_rows(df, id_col, text_col, words, least, crowd), "similar-rows")
+    return without(df, text_col, found.filter("not kept"))

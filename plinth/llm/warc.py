@@ -1,9 +1,10 @@
 """Deduplicated WARC archives: revisit resolution.
 
-Headers alone, a digest and a length for each page, are shuffled by payload digest; what comes back is one row for each
-digest that occurs more than once, naming the record that stays a response. Joined to the pages, it turns the others into
-revisit records, whose fresh headers refer to that response and whose payload isn't written again. Every task writes gzip
-archives of its own, a member for each record, and the rows of the tasks that succeeded are the manifest.
+Headers alone, a row number, id, URL and digest for each page, are shuffled by payload digest and joined to the digests that
+occur more than once, which name the record that stays a response. What comes out, a row for each revisit, goes back to the
+task that scans the page (``rows``): payloads are never shuffled. That task writes gzip archives of its own, a member for each
+record; a revisit's fresh headers refer to its response and its payload isn't written again. The rows of the tasks that
+succeeded are the manifest.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import zlib
 from collections.abc import Iterator
 from contextlib import ExitStack
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from plinth.llm.common import prepare
 from plinth.llm.files import new_file, old_file
+from plinth.llm.rows import decided, met, pinned, row_number_id
 from plinth.session import scratch_path, staged
 
 #: Payloads from this many bytes on are deduplicated.
@@ -36,21 +39,20 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:plinth:page"
 
 
-def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(id, url, payload, digest, n, is_revisit, original, original_url) for each row of ``pages``: digest and n are the SHA-1
-    in hex and the bytes of its payload; a revisit's original is the greatest id among the rows of its digest.
-
-    A null payload is empty. Payloads under ``least_bytes`` are never revisits. Rows that repeat the greatest id are all
-    responses; where no row of a digest has an id, all are.
-    """
+def payloads(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """(id, url, payload, digest, n): digest and n are the SHA-1 in hex and the bytes of a row's payload."""
     payload = F.coalesce(pages[payload_col].cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("n"))
-    headers = rows.filter(F.col("n") >= least_bytes).select("id", "url", "digest")
+    return pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("n"))
+
+
+def revisits(headers: DataFrame) -> DataFrame:
+    """(row, check, original, original_url) of the headers (row, id, url, digest) that revisit another record: where a digest
+    occurs again, all but the one with the greatest id. Rows that repeat the greatest id all stay responses; where no row of a
+    digest has an id, all do."""
     again = headers.groupBy("digest").agg(F.max("id").alias("original"), F.max_by("url", "id").alias("original_url"), F.count("*").alias("copies"))
     again = staged(again.filter("copies > 1 and original is not null").drop("copies"), "revisited")
-    joined = rows.join(again, "digest", "left")
-    revisit = F.coalesce((F.col("n") >= least_bytes) & F.col("original").isNotNull() & ~F.col("id").eqNullSafe(F.col("original")), F.lit(False))
-    return joined.select("id", "url", "payload", "digest", "n", revisit.alias("is_revisit"), "original", "original_url")
+    check = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("check")
+    return headers.join(again, "digest").filter(~F.col("id").eqNullSafe(F.col("original"))).select("row", check, "original", "original_url")
 
 
 def _uri(url: str) -> str:
@@ -103,13 +105,27 @@ def records(source, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], byte
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write a record for each row of ``pages`` into gzip archives; the manifest: (path, records, revisits, bytes). What
-    ``resolve`` says of nulls and ties holds. No rows give no archives."""
+    """Write a record for each row of ``pages`` into gzip archives; the manifest: (path, records, revisits, bytes).
+
+    A null payload is empty. Payloads under ``least_bytes`` are never revisits; of ties and null ids ``revisits`` tells. No
+    rows give no archives."""
     spark = prepare(pages)
     folder = folder or scratch_path(spark, "warc")
+    own = payloads(pinned(pages), id_col, url_col, payload_col)
+    headers = own.select(row_number_id().alias("row"), "id", "url", "digest", "n").filter(F.col("n") >= least_bytes).drop("n")
+    decisions = decided(revisits(staged(headers, "warc-headers")))
+
+    def check(batch: pa.RecordBatch, places: np.ndarray) -> np.ndarray:
+        return np.array([int(x[:15], 16) for x in batch.column(3).take(pa.array(places)).to_pylist()], np.int64)
+
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch, places, known in met(batches, decisions, check):
+            found = dict(zip(places.tolist(), zip(known.column("original").to_pylist(), known.column("original_url").to_pylist()))) if known else {}
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                yield *row, i in found, *found.get(i, (None, None))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        rows = resolved(batches)
         row = next(rows, None)
         done = []
         while row is not None:
@@ -126,8 +142,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], ["path", "records", "revisits", "bytes"])
 
-    resolved = resolve(pages, id_col, url_col, payload_col, least_bytes)
-    return staged(resolved.mapInArrow(kernel, "path string, records bigint, revisits bigint, bytes bigint"), "warc-manifest")
+    return staged(own.mapInArrow(kernel, "path string, records bigint, revisits bigint, bytes bigint"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:

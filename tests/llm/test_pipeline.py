@@ -10,7 +10,7 @@ from plinth.llm.pieces import decode
 from plinth.llm.queries import tokenizer_file
 from tests.llm.test_decontaminate import brute as contamination
 from tests.llm.test_quality import brute as quality
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_similar import brute as similar
 
 
 def fixture(spark, folder):
@@ -41,12 +41,8 @@ def test_run_against_brute_force(spark, tmp_path):
     model = langid.train(frame)
     accepted = model.accepts(*model.predict(__import__("pyarrow").array([r[1] for r in left])))
     left = [r for r, ok in zip(left, accepted) if ok]
-    prints = {r[0]: brute_print(r[1]) for r in left}
-    known = set(prints.values())
-    comp = brute_components(known, [(a, b) for a in known for b in known if a < b and (a ^ b).bit_count() <= 2])
-    first = {}
-    for r in sorted(left):
-        first.setdefault(comp[prints[r[0]]], r)
+    kept, comp = similar([r[:2] for r in left])
+    first = {c: min((r for i, r in enumerate(left) if comp[i] == c), key=lambda r: r[0]) for c in kept}
     assert len(first) < len(left)
     clean = {r[0]: r for r in first.values() if not contamination(r[1], items)[-1]}
     assert len(clean) < len(first)

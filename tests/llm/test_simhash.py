@@ -3,10 +3,9 @@ import re
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from plinth.llm.components import components
-from plinth.llm.simhash import fingerprint, keep_one, links, near_duplicates
+from plinth.llm.simhash import fingerprint, links, near_duplicates
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -86,11 +85,6 @@ def test_fingerprints_and_components(spark):
             least[comp[p]] = min(i, least.get(comp[p], i))
     want = sorted([(i, f"{p:016x}", least.get(comp[p])) for i, p in prints], key=str)
     assert sorted(map(tuple, near_duplicates(df).collect()), key=str) == want
-    kept = keep_one(df)
-    assert kept.schema == df.schema
-    ids = sorted(r.doc_id for r in kept.filter("doc_id is not null").collect())
-    assert ids == sorted({c for *_, c in want if c is not None})
-    assert kept.filter(F.col("doc_id").isNull()).count() == len({p for i, p, c in want if c is None})
 
 
 def test_fingerprint_strips(monkeypatch):
@@ -103,4 +97,3 @@ def test_fingerprint_strips(monkeypatch):
 def test_empty(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert [tuple(r) for r in near_duplicates(df).collect()] == [(None, "0" * 16, None)] * len(rows)
-    assert keep_one(df).count() == len(rows)

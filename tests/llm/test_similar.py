@@ -3,7 +3,8 @@ import random
 import pytest
 
 import corpus_pipeline
-from plinth.llm.similar import keep_one
+from plinth.llm import similar
+from plinth.llm.simhash import keep_one
 from tests.llm.test_simhash import brute_components
 
 
@@ -59,8 +60,52 @@ def test_stage_takes_near_copies_out(spark, tmp_path):
 def test_repeated_and_null_ids_keep_a_row_of_each_text(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(7, a), (7, b), (7, b), (3, a), (None, c), (None, c), (None, b), (9, None), (8, "")]
-    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got), key=str) == sorted([(3, a), (7, b), (None, c), (8, "")], key=str)
+    rows = [(*r, 1, "x") for r in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, _n string")
+    got = keep_one(df)
+    assert got.schema == df.schema
+    assert sorted((tuple(r)[:2] for r in got.collect()), key=str) == sorted([(3, a), (7, b), (None, c), (8, "")], key=str)
+
+
+def near_group(n=400, seed=4):
+    """Changed copies of one text, from none to many changes, with pairs of copies that share changes."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randrange(12)):
+            own[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        out.append(own)
+    for own in out[: n // 8]:
+        twin = list(own)
+        twin[rng.randrange(150)] = "twin"
+        out.append(twin)
+    return [(i, " ".join(x)) for i, x in enumerate(out)]
+
+
+def test_crowd_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    rows = near_group()
+    kept, _ = brute(rows)
+    assert 100 < len(kept) < len(rows) - 100
+    made = []
+    old = similar.similar
+    monkeypatch.setattr(similar, "similar", lambda t, n, p, *a: (made.append(p.count()), old(t, n, p, *a))[1])
+    got = sorted(r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(kept.values())
+    assert made[0] < 12 * len(rows)
+
+
+def test_moved_rows_are_an_error(spark):
+    from pyspark.sql import functions as F
+
+    from plinth.llm.rows import check_of, row_number_id, without
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
+    gone = df.select(row_number_id().alias("row"), check_of(F.col("text")), "doc_id").filter("doc_id % 7 = 3")
+    assert sorted(r.doc_id for r in without(df, "text", gone).collect()) == [i for i in range(50) if i % 7 != 3]
+    with pytest.raises(Exception, match="aren't where they were"):
+        without(df, "text", gone.withColumn("check", F.col("check") + 1)).collect()
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None)]])

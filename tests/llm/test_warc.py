@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from plinth.llm import warc
 from plinth.llm.files import old_file
 from plinth.llm.warc import read_archives, records, write_archives
 
@@ -57,6 +58,20 @@ def test_archives_are_plain_gzip(spark):
             assert text.count(b"WARC/1.1\r\n") == row["records"] == len(list(records(source, chunk=7)))
 
 
+def test_payloads_are_not_shuffled(spark, monkeypatch, tmp_path):
+    plans, old = [], warc.staged
+    monkeypatch.setattr(warc, "staged", lambda df, tag: (plans.append((tag, df._jdf.queryExecution().executedPlan().toString())), old(df, tag))[1])
+    spark.createDataFrame(cases(), "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert write_archives(spark.read.parquet(str(tmp_path / "pages"))).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {tag for tag, _ in plans} == {"warc-headers", "revisited", "warc-manifest"}
+    assert all("Exchange" not in plan for tag, plan in plans if "html" in plan)
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None)]])
 def test_empty(spark, rows):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
