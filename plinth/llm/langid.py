@@ -2,9 +2,10 @@
 
 A text's subwords are the 2-, 3- and 4-byte grams of its letters (A-Z folded, other ASCII as one kind of space), hashed
 into buckets. The model averages their embeddings and applies a linear layer; both are trained by stochastic gradient
-descent in numpy on a bounded sample of labelled rows. As all of it is linear, embeddings times layer is one small table
-of logits a bucket, and a prediction is the mean of its rows over a whole text. A temperature and the threshold of
-rejection come from labelled rows that training didn't see.
+descent in numpy on a bounded number of labelled rows, whose whole texts tasks turn into counts by bucket. As all of it is linear,
+embeddings times layer is one small table of logits a bucket, and a prediction is the mean of its rows over a whole text. A
+temperature and the threshold of rejection come from labelled rows that training didn't see, and from their letters shuffled:
+texts of no language.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plinth.llm.common import groups, prepare, utf8
 
@@ -23,21 +24,26 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageSettings:
-    """``per_language``: the bound on labelled rows that are sampled of each language, chosen by a hash of their id;
-    ``window_chars``: of each, this many characters from a hashed place. Together they bound what the driver holds."""
+    """``per_language``: the most labelled rows that are drawn of a language, by a hash of id and text; ``most_languages``: how
+    many languages are learned, those with the most labelled rows first; ``most_rows``: the most rows in all, shared evenly. A row
+    is counts of its whole text by bucket, so together they bound what the driver holds."""
 
     per_language: int = 800
-    window_chars: int = 4000
+    most_languages: int = 200
+    most_rows: int = 6400
     buckets: int = 1 << 14
     dims: int = 16
     epochs: int = 6
     batch: int = 64
     rate: float = 4.0
-    #: Share of correctly recognized calibration texts that the threshold may reject.
-    false_rejects: float = 0.0002
-    #: The threshold is at most this.
+    #: The greatest share of rightly recognized calibration texts that the threshold may reject.
+    false_rejects: float = 0.001
+    #: The threshold is at most this: a text is never rejected whose language is likelier than all others together.
     most_threshold: float = 0.5
 
+    def each(self, languages: int) -> int:
+        return max(1, min(self.per_language, self.most_rows // max(languages, 1)))
+
 
 #: A-Z to a-z, other ASCII to a space.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -89,6 +95,8 @@ class LanguageModel:
     table: np.ndarray  # (languages, buckets + 1) logits, the last column zero
     temperature: float
     threshold: float
+    #: Share of calibration texts of no language that the threshold rejects; null without any.
+    rejected: float | None = None
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Mean logits of each row, (rows, languages)."""
@@ -134,32 +142,85 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, settings: LanguageSettings) -> list[tuple[int, str, str]]:
-    """(hash of the id, language, window) of the sampled rows that a fit may see, in the order of that hash. Whether a row
-    is taken depends on its id alone, at a rate that the language's own count sets."""
+def draw_threshold(count: int, wanted: int) -> int:
+    """Of hashes that are evenly spread over 0 to 2^63 - 1, as many as are wanted of ``count`` are about so small; all, if no
+    more are there."""
+    return (1 << 63) - 1 if count <= wanted else (wanted << 63) // count
+
+
+#: Row numbers of a sampled text's features: the text, two short runs of its words, and, for calibration, the same shuffled.
+REAL = 3
+
+
+def _runs(text: str, h: int) -> list[str]:
+    """A text and two short runs of its words, so that short texts are learned, and calibrated, as well."""
+    rng, words = np.random.default_rng(h & (1 << 63) - 1), text.split()
+    out = [text]
+    for n in (6, 25):
+        at = int(rng.integers(max(1, len(words) - n + 1)))
+        out.append(" ".join(words[at : at + n]))
+    return out
+
+
+def _shuffled(text: str, h: int) -> str:
+    letters = np.frombuffer(text.encode("utf-32-le"), "<u4").copy()
+    np.random.default_rng(h & (1 << 63) - 1).shuffle(letters)
+    return letters.tobytes().decode("utf-32-le")
+
+
+def for_calibration(h: int) -> bool:
+    return h % 6 == 0
+
+
+def features(text: str, h: int, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, shares) of a sampled text's runs, and if it is for calibration of their letters shuffled."""
+    runs = _runs(text, h)
+    return [counts(x, buckets) for x in runs + ([_shuffled(x, h) for x in runs] if for_calibration(h) else [])]
+
+
+def counts(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's subwords, and the share of each."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    seen = np.concatenate([b[b < buckets] for b in subwords(data, np.array([0, len(data)]), buckets)])
+    at, n = np.unique(seen, return_counts=True)
+    return (at.astype(np.int32), (n / max(len(seen), 1)).astype(np.float32)) if len(at) else (np.zeros(1, np.int32), np.zeros(1, np.float32))
+
+
+def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, settings: LanguageSettings) -> list[tuple[int, str, list]]:
+    """(hash, language, features) of the drawn rows that a fit may see, in the order of that hash, which is of id and text: rows
+    that repeat both are one. Exactly ``settings.each`` rows of a language are drawn, or all it has, however many that are."""
     rows = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.filter(F.col("i").isNotNull() & F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out("i"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    known = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(settings.most_languages).collect()
+    if not known:
         return []
-    h = F.xxhash64(F.lit("language sample"), "i")
-    rate = F.create_map(*(x for l, n in counts.items() for x in (F.lit(l), F.lit(int(min(1.0, settings.per_language / n) * 1_000_000)))))[F.col("l")]
-    length = F.length("t")
-    start = 1 + F.pmod(F.xxhash64(F.lit("window"), "i"), F.greatest(length - settings.window_chars + 1, F.lit(1)))
-    chosen = rows.filter(F.pmod(h, F.lit(1_000_000)) < rate).select(h.alias("h"), "l", F.substring("t", start.cast("int"), F.lit(settings.window_chars)).alias("w"))
-    return sorted((r["h"], r["l"], r["w"]) for r in chosen.toLocalIterator())
+    each = settings.each(len(known))
+    # A draw at twice the rate and some more falls short of so many rows with no chance worth naming; the rest are cut exactly.
+    below = [(r["l"], draw_threshold(r["n"], 2 * each + 200)) for r in known]
+    limits = df.sparkSession.createDataFrame(below, "l string, below bigint")
+    h = F.shiftrightunsigned(F.xxhash64(F.lit("language sample"), "i", "t"), 1)
+    drawn = rows.withColumn("h", h).join(F.broadcast(limits), "l").filter("h <= below")  # ``most_languages`` rows at most
+    drawn = drawn.groupBy("l", "h").agg(F.first("t").alias("t"))
+    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("k") <= each)
+    buckets = settings.buckets
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [features(t, h, buckets) for t, h in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
+            parts = [pa.array([[x[j].tobytes() for x in row] for row in own], pa.list_(pa.binary())) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), *parts], ["h", "l", "bucket", "share"])
+
+    found = drawn.select("l", "h", "t").mapInArrow(kernel, "h bigint, l string, bucket array<binary>, share array<binary>")
+    out = []
+    for r in found.toLocalIterator():
+        out.append((r["h"], r["l"], [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32)) for b, w in zip(r["bucket"], r["share"])]))
+    return sorted(out, key=lambda x: x[:2])
 
 
 class Sparse:
     """Mean one-hot vectors of texts' subwords, row by row: buckets and weights."""
 
-    def __init__(self, texts: list[str], buckets: int):
-        own = []
-        for text in texts:
-            data = np.frombuffer(text.encode(), np.uint8)
-            seen = np.concatenate([b[b < buckets] for b in subwords(data, np.array([0, len(data)]), buckets)])
-            at, n = np.unique(seen, return_counts=True)
-            own.append((at, (n / max(len(seen), 1)).astype(np.float32)) if len(at) else (np.zeros(1, np.int32), np.zeros(1, np.float32)))
+    def __init__(self, own: list[tuple[np.ndarray, np.ndarray]]):
         self.bucket, self.weight = (np.concatenate(x) for x in zip(*own))
         self.edge = np.concatenate([[0], np.cumsum([len(x) for x, _ in own])])
 
@@ -175,29 +236,20 @@ class Sparse:
         return np.add.reduceat(table[bucket] * weight[:, None], first, axis=0)
 
 
-def fit(rows: list[tuple[int, str, str]], settings: LanguageSettings = LanguageSettings()) -> LanguageModel:
-    """Train on three quarters and more of the sampled rows, calibrate on the rest. Each row gives its window and two short
-    runs of its words, so that short texts are learned, and calibrated, as well."""
+def fit(rows: list[tuple[int, str, list]], settings: LanguageSettings = LanguageSettings()) -> LanguageModel:
+    """Train on five sixths of the sampled rows, calibrate on the rest."""
     languages = sorted({l for _, l, _ in rows})
     blank = LanguageModel(languages, np.zeros((len(languages), settings.buckets + 1), np.float32), 1.0, 0.0)
     if not rows:
         return blank
     rng = np.random.default_rng(20)
-    texts, labels, kind = [], [], []
-    for h, l, window in rows:
-        words = window.split()
-        runs = [window]
-        for n in (6, 25):
-            at = int(rng.integers(max(1, len(words) - n + 1)))
-            runs.append(" ".join(words[at : at + n]))
-        texts += runs
-        labels += [languages.index(l)] * 3
-        kind += [h % 6 == 0] * 3
-    labels, later = np.array(labels), np.array(kind)
+    number = {l: i for i, l in enumerate(languages)}
+    x = Sparse([f for _, _, own in rows for f in own[:REAL]])
+    labels = np.repeat([number[l] for _, l, _ in rows], REAL)
+    later = np.repeat([for_calibration(h) for h, _, _ in rows], REAL)
     if later.all() or not later.any():  # too few rows to set some apart
         later = np.zeros(len(labels), bool)
     train = np.flatnonzero(~later)
-    x = Sparse(texts, settings.buckets)
     embed = rng.normal(0, 0.1, (settings.buckets, settings.dims)).astype(np.float32)
     layer = rng.normal(0, 0.1, (settings.dims, len(languages))).astype(np.float32)
     steps, step = settings.epochs * -(-len(train) // settings.batch), 0
@@ -226,9 +278,17 @@ def fit(rows: list[tuple[int, str, str]], settings: LanguageSettings = LanguageS
     loss = [-np.log(softmax(z / t)[np.arange(len(z)), truth] + 1e-12).mean() for t in temperatures]
     temperature = float(temperatures[int(np.argmin(loss))])
     p = softmax(z / temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    threshold = float(np.quantile(right, settings.false_rejects)) if len(right) else 0.0
-    return LanguageModel(languages, table, temperature, min(threshold, settings.most_threshold))
+    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
+    shuffled = [f for _, _, own in rows for f in own[REAL:]]
+    if not len(right):
+        return LanguageModel(languages, table, temperature, 0.0)
+    none = Sparse(shuffled).means(np.arange(len(shuffled)), table[:, :-1].T) if shuffled else np.zeros((0, len(languages)))
+    none = softmax(none / temperature).max(axis=1) if len(none) else np.zeros(0)
+    # The least sum of both kinds of errors, among thresholds that reject no more right ones than allowed.
+    steps = np.unique(right[: int(settings.false_rejects * len(right)) + 1])
+    wrong = [np.searchsorted(right, t) / len(right) + (none >= t).sum() / max(len(none), 1) for t in steps]
+    threshold = min(float(steps[int(np.argmin(wrong))]), settings.most_threshold)
+    return LanguageModel(languages, table, temperature, threshold, float((none < threshold).mean()) if len(none) else None)
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: LanguageSettings = LanguageSettings()) -> LanguageModel:
