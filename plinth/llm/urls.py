@@ -2,7 +2,8 @@
 
 A curated list judges the URLs that it covers, and those are the labels: FP-growth mines combinations of URL tokens that go
 with a verdict, and rules pruned by support, confidence and redundancy judge the URLs that the list doesn't cover. A mined
-rule is indexed under the rarest token of its left side, so a URL meets only the rules of tokens that it has.
+rule is indexed under the rarest token of its side, so a URL meets only the rules of tokens that it has. Rules stay a table
+throughout, as many as support and confidence leave.
 """
 
 from __future__ import annotations
@@ -33,9 +34,6 @@ class ListRule:
 class MiningSettings:
     support: float = 0.002
     confidence: float = 0.9
-    longest: int = 3
-    #: Mined rules up to this many are one constant map in the plan; more are joined by token.
-    inline_rules: int = 1000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -59,61 +57,73 @@ def listed(host: Column, path: Column, rules: list[ListRule]) -> Column:
     return out
 
 
+def query_of(url: Column) -> Column:
+    """What stands between the first ? and the # after it, past ``://``; empty where nothing does."""
+    return F.coalesce(F.regexp_extract(F.substring(url, F.instr(url, "://") + F.lit(3), F.length(url)), r"^[^?#]*\?([^#]*)", 1), F.lit(""))
+
+
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: the scheme, each suffix of the host, and each of the path's first four segments with its place."""
+    """Distinct tokens: the scheme, each suffix of the host, each segment of the path with its place, and each name and each name
+    with its value of the query. Fragments, which no server sees, have none."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(4))), lambda n: F.concat(F.lit("host="), F.array_join(F.slice(labels, -n, n), ".")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.lit("host="), F.array_join(F.slice(labels, -n, n), ".")))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    placed = F.transform(F.slice(segments, 1, 4), lambda s, i: F.concat(F.lit("path"), i.cast("string"), F.lit("="), s))
+    placed = F.transform(segments, lambda s, i: F.concat(F.lit("path"), i.cast("string"), F.lit("="), s))
     scheme = F.concat(F.lit("scheme="), F.lower(F.substring_index(F.coalesce(url, F.lit("")), "://", 1)))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(scheme), suffixes, placed)))
+    parts = F.filter(F.split(query_of(url), "[&;]"), lambda s: s != "")
+    names = F.transform(parts, lambda s: F.concat(F.lit("name="), F.substring_index(s, "=", 1)))
+    values = F.transform(F.filter(parts, lambda s: s.contains("=")), lambda s: F.concat(F.lit("query="), s))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(scheme), suffixes, placed, names, values)))
 
 
 LABEL = "verdict="
 
 
-def mine(labelled: DataFrame, settings: MiningSettings) -> list[tuple[list[str], str, float, float]]:
-    """(left side, verdict, confidence, support) of the rules that are left, from rows (tokens, verdict). With at most 10
-    tokens a row and sides of up to three, at most 175 / support rules reach the driver."""
+def telling(labelled: DataFrame, settings: MiningSettings) -> DataFrame:
+    """(tokens, verdict) of labelled rows with the tokens that mining needs. A token that fewer rows have than the support asks
+    for is in no rule. Of tokens that just the same rows have, the least stands for all, as any rule with another one of them, or
+    with several, has its like with that one. What is left of a URL is short, however long it is: combinations of tokens that
+    differ in their rows."""
+    rows = staged(labelled.withColumn("_row", F.monotonically_increasing_id()), "labelled-urls")
+    n = rows.count()
+    each = rows.select("_row", F.explode("tokens").alias("token"))
+    mark = F.xxhash64("_row")
+    by = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.xxhash64(mark).cast("decimal(38,0)")).alias("s")).filter(F.col("n") >= settings.support * n)
+    kept = by.groupBy("n", "x", "s").agg(F.min("token").alias("token")).select("token")
+    short = each.join(kept, "token").groupBy("_row").agg(F.collect_set("token").alias("tokens"))  # a row's own tokens
+    return rows.select("_row", "verdict").join(short, "_row", "left").select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "verdict")
+
+
+def mine(labelled: DataFrame, settings: MiningSettings) -> DataFrame:
+    """Rules (side, verdict, confidence, support) from rows (tokens, verdict), of any length. A rule is redundant, and left out,
+    if a part of its side one token shorter says the same with no less confidence."""
     from pyspark.ml.fpm import FPGrowth
 
-    items = staged(labelled.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items")), "url-items")
+    spark = labelled.sparkSession
+    items = staged(telling(labelled, settings).select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items")), "url-items")
     if items.isEmpty():
-        return []
+        return spark.createDataFrame([], "side array<string>, verdict string, confidence double, support double")
     rules = FPGrowth(itemsCol="items", minSupport=settings.support, minConfidence=settings.confidence).fit(items).associationRules
-    rules = rules.filter(F.col("consequent")[0].startswith(LABEL) & (F.size("antecedent") <= settings.longest) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)) & (F.col("lift") > 1))
-    found = [(frozenset(r["antecedent"]), r["consequent"][0].removeprefix(LABEL), r["confidence"], r["support"]) for r in rules.collect()]
-    best = {(a, v): c for a, v, c, _ in found}
-    # A rule is redundant if a part of its left side says the same with no less confidence.
-    kept = [x for x in found if not any(best.get((x[0] - {t}, x[1]), -1) >= x[2] for t in x[0])]
-    return sorted(((sorted(a), v, c, s) for a, v, c, s in kept), key=lambda x: (-x[2], -x[3], x[0], x[1]))
-
-
-def mined_verdict(df: DataFrame, rules: list[tuple[list[str], str, float, float]], settings: MiningSettings) -> DataFrame:
-    """``df`` (with a key ``_row`` that tells its rows apart, and ``tokens``) and ``mined``: struct(rank, verdict, confidence)
-    of the best rule that fits, null if none does. Rules are ranked by confidence, then support."""
-    kind = "struct<rank:int,verdict:string,confidence:double>"
-    if not rules:
-        return df.withColumn("mined", F.lit(None).cast(kind))
-    spark, uses = df.sparkSession, {}
-    for left, *_ in rules:
-        for t in left:
-            uses[t] = uses.get(t, 0) + 1
-    # The token that the fewest rules use is the one to look them up by.
-    index = [(min(left, key=lambda t: (uses[t], t)), rank, left, v, c) for rank, (left, v, c, _) in enumerate(rules)]
-    if len(rules) <= settings.inline_rules:
-        by: dict[str, list] = {}
-        for token, rank, left, v, c in index:
-            by.setdefault(token, []).append(F.struct(F.lit(rank).alias("rank"), F.lit(v).alias("verdict"), F.lit(c).alias("confidence"), F.array(*map(F.lit, left)).alias("side")))
-        table = F.map_from_arrays(F.array(*map(F.lit, by)), F.array(*(F.array(*x) for x in by.values())))
-        met = F.flatten(F.filter(F.transform("tokens", lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull()))
-        fits = F.filter(met, lambda r: F.size(F.array_except(r["side"], F.col("tokens"))) == 0)
-        best = F.array_min(F.transform(fits, lambda r: F.struct(r["rank"].alias("rank"), r["verdict"].alias("verdict"), r["confidence"].alias("confidence"))))
-        return df.withColumn("mined", best.cast(kind))
-    rows = spark.createDataFrame(index, "token string, rank int, side array<string>, verdict string, confidence double")
-    met = df.select("_row", "tokens", F.explode("tokens").alias("token")).join(rows, "token").filter(F.size(F.array_except("side", "tokens")) == 0)
-    best = met.groupBy("_row").agg(F.min(F.struct("rank", "verdict", "confidence")).cast(kind).alias("mined"))
-    return df.join(best, "_row", "left")
+    rules = rules.filter(F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)) & (F.col("lift") > 1))
+    rules = staged(rules.select(F.array_sort("antecedent").alias("side"), F.substring(F.col("consequent")[0], F.lit(len(LABEL) + 1), F.length(F.col("consequent")[0])).alias("verdict"), "confidence", "support"), "url-rules")
+    shorter = rules.filter(F.size("side") > 1).select("side", "verdict", "confidence", F.explode("side").alias("t")).withColumn("part", F.array_except("side", F.array("t")))
+    known = rules.select(F.col("side").alias("part"), "verdict", F.col("confidence").alias("c"))
+    redundant = shorter.join(known, ["part", "verdict"]).filter("c >= confidence").select("side", "verdict").distinct()
+    return staged(rules.join(redundant, ["side", "verdict"], "left_anti"), "url-rules-kept")
+
+
+def mined_verdict(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, mined) of distinct rows (url, tokens) that a rule fits: struct(verdict, confidence) of the best one, by confidence,
+    support, side and verdict. A rule is indexed under the token of its side that the fewest rules have, so a URL meets the
+    rules of its tokens only."""
+    each = rules.select("side", "verdict", "confidence", "support", F.explode("side").alias("token"))
+    uses = each.groupBy("token").agg(F.count("*").alias("uses"))
+    index = each.join(uses, "token").groupBy("side", "verdict", "confidence", "support").agg(F.min(F.struct("uses", "token")).alias("m"))
+    index = index.select(F.col("m.token").alias("token"), "side", "verdict", "confidence", "support")
+    met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").filter(F.size(F.array_except("side", "tokens")) == 0)
+    rank = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), "side", "verdict")
+    best = met.groupBy("url").agg(F.min(rank).alias("b"))
+    return best.select("url", F.struct(F.col("b.verdict").alias("verdict"), (-F.col("b.c")).alias("confidence")).alias("mined"))
 
 
 def judge(pages: DataFrame, rules: list[ListRule], id_col: str = "page_id", url_col: str = "url", settings: MiningSettings = MiningSettings()) -> DataFrame:
@@ -126,17 +136,15 @@ def judge(pages: DataFrame, rules: list[ListRule], id_col: str = "page_id", url_
     """
     url = pages[url_col].cast("string")
     host, path = host_and_path(url)
-    own = pages.select(pages[id_col].alias("_id"), url.alias("_row"), host.alias("host"), path.alias("path"))
-    own = own.withColumn("listed", listed(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.col("_row"), F.col("host"), F.col("path")))
-    found = mine(own.filter("listed is not null").select("tokens", F.col("listed.verdict").alias("verdict")), settings)
-    if len(found) <= settings.inline_rules:
-        out = mined_verdict(own, found, settings)
-    else:  # each distinct URL is judged once
-        open_ = own.filter("listed is null and _row is not null").select("_row", "tokens").dropDuplicates(["_row"])
-        out = own.join(mined_verdict(open_, found, settings).select("_row", "mined"), "_row", "left")
+    own = pages.select(pages[id_col].alias("id"), url.alias("url"), host.alias("host"), path.alias("path"))
+    own = own.withColumn("listed", listed(F.col("host"), F.col("path"), rules))
+    words = tokens(F.col("url"), F.col("host"), F.col("path"))
+    labelled = own.filter("listed is not null").select(words.alias("tokens"), F.col("listed.verdict").alias("verdict"))
+    open_ = own.filter("listed is null and host != ''").select("url", words.alias("tokens")).dropDuplicates(["url"])  # each distinct URL is judged once
+    out = own.join(staged(mined_verdict(open_, mine(labelled, settings)), "url-verdicts"), "url", "left").withColumn("mined", F.when(F.col("listed").isNull(), F.col("mined")))
     return out.select(
-        F.col("_id").alias(id_col), "host", "path", "listed.rule",
+        F.col("id").alias(id_col), "host", "path", "listed.rule",
         F.coalesce("listed.verdict", "mined.verdict", F.lit(ALLOW)).alias("verdict"),
         F.when(F.col("listed").isNotNull(), "list").when(F.col("mined").isNotNull(), "mined").otherwise("default").alias("decided_by"),
-        F.when(F.col("listed").isNull(), F.col("mined.confidence")).alias("confidence"),
+        "mined.confidence",
     )

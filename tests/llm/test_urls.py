@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from plinth.llm.queries import URL_RULES
-from plinth.llm.urls import MiningSettings, judge
+from plinth.llm.urls import ListRule, MiningSettings, judge
 
 
 def parse(url):
@@ -28,16 +28,26 @@ def token_set(url):
     if not host:
         return frozenset()
     labels = host.split(".")
-    out = {"scheme=" + url.split("://", 1)[0].lower()} | {"host=" + ".".join(labels[-n:]) for n in range(1, min(4, len(labels)) + 1)}
-    return frozenset(out | {f"path{i}={s}" for i, s in enumerate([s for s in path.split("/") if s][:4])})
+    out = {"scheme=" + url.split("://", 1)[0].lower()} | {"host=" + ".".join(labels[-n:]) for n in range(1, len(labels) + 1)}
+    found = re.match(r"[^?#]*\?([^#]*)", url.split("://", 1)[1])
+    parts = [x for x in re.split("[&;]", found[1] if found else "") if x]
+    out |= {"name=" + x.split("=", 1)[0] for x in parts} | {"query=" + x for x in parts if "=" in x}
+    return frozenset(out | {f"path{i}={s}" for i, s in enumerate([s for s in path.split("/") if s])})
 
 
 def brute_rules(rows, settings):
-    """Rules by counting every combination of up to three tokens."""
-    count, n = Counter(), len(rows)
+    """Rules by counting every combination of tokens that are frequent alone; of tokens with the same rows the least stands for all."""
+    n, at = len(rows), {}
+    for i, (items, _) in enumerate(rows):
+        for t in items:
+            at.setdefault(t, set()).add(i)
+    often = {t for t in at if len(at[t]) >= settings.support * n}
+    often = {t for t in often if not any(u < t and at[u] == at[t] for u in often)}
+    count = Counter()
     for items, verdict in rows:
-        for size in range(1, settings.longest + 1):
-            for c in itertools.combinations(sorted(items), size):
+        own = sorted(items & often)
+        for size in range(1, len(own) + 1):
+            for c in itertools.combinations(own, size):
                 count[c, None] += 1
                 count[c, verdict] += 1
     share = Counter(v for _, v in rows)
@@ -54,13 +64,12 @@ def cases():
     urls = [None, "", "no scheme", "://", "http://", "HTTP://EXAMPLE.com/en/71", "x://É.com/en/?q", "http://com/en/", "http://notcom/en/", "http://a.com/EN/", "http://example.net/de/8#f", "http://h/a://b", "http://com\n/en/"]
     for _ in range(1500):
         host = rng.choice(["a", "b.c", "w"]) + rng.choice([".example", ""]) + rng.choice([".com", ".net", ".org", ".dev"])
-        urls.append(f"{rng.choice(['http', 'https'])}://{host}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.choice(['7', '8', '9'])}{rng.randrange(9)}{rng.choice(['', '?x=/en/', '#t'])}")
+        urls.append(f"{rng.choice(['http', 'https'])}://{host}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.choice(['7', '8', '9'])}{rng.randrange(9)}{rng.choice(['', '?x=/en/', '#t', '?a;b=1&a=2#?c=3', '/b/c/d/e/f'])}")
     return urls
 
 
-@pytest.mark.parametrize("inline", [1000, 0])
-def test_against_brute_force(spark, inline):
-    settings = MiningSettings(support=0.01, inline_rules=inline)
+def test_against_brute_force(spark):
+    settings = MiningSettings(support=0.01)
     urls = cases()
     rows = [(i, u, "x") for i, u in enumerate(urls)] + [(None, urls[20], "y"), (3, urls[20], "y"), (3, urls[20], "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
@@ -77,6 +86,21 @@ def test_against_brute_force(spark, inline):
     assert got == want
 
 
+@pytest.mark.parametrize("form", ["http://h{i}.{top}/a/b/c/d/{sign}/x", "http://h{i}.{top}/a?p={sign}&z={i}"])
+def test_tokens_far_behind_are_mined(spark, form):
+    rows = [(i, form.format(i=i, sign=("bad", "good")[i % 2], top="xx" if i < 60 else "yy")) for i in range(100)]
+    own = [ListRule(("block", "allow")[i % 2], f"h{i}.xx", "") for i in range(60)]
+    got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, "page_id long, url string"), own, settings=MiningSettings(support=0.05)).collect()}
+    assert got == {i: ("block", "allow")[i % 2] for i in range(100)}
+
+
+def test_long_urls_do_not_multiply_rules(spark):
+    rows = [(i, f"http://h.{'xx' if i < 50 else 'yy'}/" + "/".join(map(str, range(40))) + f"?bad={i % 2}") for i in range(100)]
+    own = [ListRule("block", "xx", "/0/")]
+    got = judge(spark.createDataFrame(rows, "page_id long, url string"), own, settings=MiningSettings(support=0.05)).collect()
+    assert len(got) == 100
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(1, "http://a/b")]])
 def test_nothing_listed(spark, rows):
     got = judge(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).collect()
