@@ -3,9 +3,10 @@
 A partial partition is a list of bins with sizes. Differencing takes the two partial partitions of largest spread and joins
 them oppositely ordered, the fullest bin of one with the emptiest of the other, until one is left.
 
-Up to ``DIRECT`` groups are differenced into shards at once. More are first bundled: each task differences runs of ``RUN``
-groups into ``BUNDLES`` bins, whose bins are the groups of the next round, 16 times fewer, until few enough are left. Bundles
-are small against a shard, so whatever a large group unbalances, bundles enough are there to even it out.
+One law holds at every size: groups are dealt by a hash of their text into runs of about ``RUN``, as many as that takes, each
+run is differenced into ``BUNDLES`` bundles, and bundles are the groups of the next round; the last run, when all fit into one,
+is differenced into shards. Which run a group is in depends on the groups alone, not on how the table is cut. Bundles are small
+against a shard, so whatever a large group unbalances, bundles enough are there to even it out.
 """
 
 from __future__ import annotations
@@ -21,10 +22,9 @@ from plinth.llm.common import prepare
 from plinth.session import staged
 
 SHARDS = 16
-#: Groups that the driver differences, an id and a size each.
-DIRECT = 1 << 16
-#: Groups that a task differences together, and into how many bundles.
-RUN, BUNDLES = 4096, 256
+#: Groups that are differenced together, and into how many bundles where that isn't the last time. The last run is the
+#: driver's: an id and a size for each of its groups.
+RUN, BUNDLES = 1 << 15, 1 << 11
 #: Rows of a window that numbers slots.
 SLOTS = 50_000
 
@@ -75,48 +75,34 @@ def singles(sizes: list[int], bins: int) -> tuple[list[int], list[int]]:
     return joint, [w[-1] for w in where]
 
 
-def bundled(groups: DataFrame, run: int, bundles: int) -> DataFrame:
-    """(id, bundle, bytes) of groups (id, bytes): runs of groups differenced into bundles."""
+def bundled(groups: DataFrame, runs: int, bundles: int) -> DataFrame:
+    """(id, bundle, bytes) of groups (id, bytes), dealt by a hash of the id into runs that are differenced into bundles."""
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, n = [], 0
-        for batch in batches:
-            for low in range(0, batch.num_rows, run):
-                part = batch.slice(low, run)
-                if n and n + part.num_rows > run:
-                    yield joined(waiting)
-                    waiting, n = [], 0
-                waiting.append(part)
-                n += part.num_rows
-        if n:
-            yield joined(waiting)
+    def joined(key: tuple, table: pa.Table) -> pa.Table:
+        pairs = sorted(zip(table.column("id").to_pylist(), table.column("bytes").to_pylist()))
+        _, where = singles([x for _, x in pairs], min(bundles, len(pairs)))
+        return pa.table({"id": pa.array([i for i, _ in pairs], pa.string()), "bundle": pa.array([f"{key[0].as_py()}:{w}" for w in where], pa.string()), "bytes": pa.array([x for _, x in pairs], pa.int64())})
 
-    def joined(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(waiting).combine_chunks()
-        ids, sizes = table.column("id").to_pylist(), table.column("bytes").to_pylist()
-        _, where = singles(sizes, min(bundles, len(sizes)))
-        first = min(ids)  # an id is in one run only
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([f"{first}:{w}" for w in where]), pa.array(sizes, pa.int64())], ["id", "bundle", "bytes"])
+    return groups.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs))).groupBy("run").applyInArrow(joined, "id string, bundle string, bytes bigint")
 
-    return groups.mapInArrow(kernel, "id string, bundle string, bytes bigint")
 
-
-def placed(groups: DataFrame, shards: int, direct: int = DIRECT, run: int = RUN, bundles: int = BUNDLES) -> DataFrame:
+def placed(groups: DataFrame, shards: int, run: int = RUN, bundles: int = BUNDLES) -> DataFrame:
     """(id, shard) of groups (id, bytes)."""
     spark, levels = groups.sparkSession, []
-    while groups.count() > direct:
-        level = staged(bundled(groups, run, bundles), "shard-bundles")
+    while (n := groups.count()) > run:
+        level = staged(bundled(groups, -(-n // run), bundles), "shard-bundles")
         levels.append(level.select("id", "bundle"))
-        groups = staged(level.groupBy(F.col("bundle").alias("id")).agg(F.sum("bytes").alias("bytes")), "shard-groups")
-    last = sorted((r["id"], r["bytes"]) for r in groups.collect())  # at most ``direct``
+        # A bundle is known by its round as well, so that hashes deal it anew.
+        groups = staged(level.groupBy(F.concat_ws("/", F.lit(str(len(levels))), "bundle").alias("id")).agg(F.sum("bytes").alias("bytes")), "shard-groups")
+    last = sorted((r["id"], r["bytes"]) for r in groups.collect())  # at most ``run``
     where = singles([s for _, s in last], shards)[1] if last else []
     out = spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in last], pa.string()), "shard": pa.array(where, pa.int32())}))
-    for level in reversed(levels):
-        out = level.join(out.withColumnRenamed("id", "bundle"), "bundle").select("id", "shard")
+    for k, level in reversed([*enumerate(levels, 1)]):
+        out = level.withColumn("bundle", F.concat_ws("/", F.lit(str(k)), "bundle")).join(out.withColumnRenamed("id", "bundle"), "bundle").select("id", "shard")
     return out
 
 
-def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, direct: int = DIRECT, run: int = RUN, bundles: int = BUNDLES) -> DataFrame:
+def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, run: int = RUN, bundles: int = BUNDLES) -> DataFrame:
     """One row for each row of ``df``: its id, size (UTF-8 bytes of the text and 1), text_crc32, law ``bytes``, shard,
     slot (0, 1, ... within the shard, by a hash of the id and the id) and grown_shard (null under this law).
 
@@ -131,7 +117,7 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards
         "shard-rows",
     )
     groups = staged(rows.groupBy(F.col("digest").alias("id")).agg(F.sum("size").alias("bytes")), "shard-groups")
-    places = placed(groups, shards, direct, run, bundles).withColumnRenamed("id", "digest")
+    places = placed(groups, shards, run, bundles).withColumnRenamed("id", "digest")
     sharded = staged(rows.join(places, "digest").drop("digest"), "sharded")
     return numbered(sharded, shards).select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -140,11 +126,18 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards
 
 def numbered(sharded: DataFrame, shards: int) -> DataFrame:
     """Slots without gaps: each shard's rows fall into buckets by a hash, are numbered within, and begin where the buckets
-    before end. A window holds about ``SLOTS`` rows, whatever the shard's size."""
-    buckets = max(4, -(-sharded.count() // (SLOTS * shards)) * 4)
-    spread = sharded.withColumn("bucket", F.pmod(F.xxhash64("id", "size", "text_crc32"), F.lit(buckets)))
-    counts = spread.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before end. Rows that repeat are counted, and their count is cut into parts of ``SLOTS`` that are spread by a hash as well;
+    so a window holds about ``SLOTS`` rows or parts, whatever the shard's size and however often a row repeats."""
+    counts = sharded.groupBy("shard", "id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    parts = staged(counts.withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("long"), F.lit(SLOTS).cast("long")))).withColumn("m", F.least(F.lit(SLOTS), F.col("n") - F.col("part"))), "shard-parts")
+    buckets = max(4, -(-parts.count() // (SLOTS * shards)) * 4)
+    spread = parts.withColumn("bucket", F.pmod(F.xxhash64("id", "size", "text_crc32", "part"), F.lit(buckets)))
+    total = spread.groupBy("shard", "bucket").agg(F.sum("m").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("id", "size", "text_crc32")
-    return spread.withColumn("at", F.row_number().over(inside) - 1).join(base, ["shard", "bucket"]).withColumn("slot", (F.col("base") + F.col("at")).cast("long"))
+    base = total.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("shard", "bucket").orderBy("id", "size", "text_crc32", "part").rowsBetween(Window.unboundedPreceding, -1)
+    first = spread.withColumn("at", F.coalesce(F.sum("m").over(inside), F.lit(0))).join(base, ["shard", "bucket"])
+    first = staged(first.select("shard", "id", "size", "text_crc32", (F.col("base") + F.col("at")).cast("long").alias("first"), "m"), "shard-slots")
+    one = first.filter("m = 1").select("shard", "id", "size", "text_crc32", F.col("first").alias("slot"))
+    many = first.filter("m > 1").repartition("shard", "first").withColumn("slot", F.explode(F.sequence("first", (F.col("first") + F.col("m") - 1).cast("long")))).select(*one.columns)
+    return one.union(many)
