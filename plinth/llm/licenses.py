@@ -1,10 +1,14 @@
 """License scans: TF-IDF cosine of notices to templates, and inheritance from the nearest directory with a licence file.
 
-Everything is DataFrame and SQL functions. A text's units are its lines and its paragraphs of several lines, over the whole
-text. The weight of a token is its count times an inverse document frequency over the templates; tokens in no template are
-the rarest. Two bounds, exact both, spare most units: one that reaches the threshold holds one of a template's telling tokens
-(the rest of the template has too small a norm), which one regular expression finds; and what it shares with that template
-has a norm of the threshold or more. Each distinct unit that is left is scored once, however many files carry it.
+Everything is DataFrame and SQL functions. A template is a notice, a licence's whole text where it is short, or the opening of a
+long one. The weight of a token is its count times its inverse document frequency over all the files scanned.
+
+A text's units are its lines, its paragraphs of several lines, and its windows: as many tokens as a template has, around each
+anchor of it. Anchors are a few of the template's telling tokens; where one stands in a text, the window begins so that the
+anchor has the place that it has in the template. So a notice is found within a long line, and a licence's opening within a
+whole licence file, whatever stands around them. Lines and paragraphs without any anchor aren't looked at. An exact bound spares
+most of the rest: a unit reaches the threshold only if what it shares with a template has a norm of the threshold or more. Each
+distinct unit that is left is scored once, however many files carry it.
 
 A file without a notice of its own inherits from the deepest directory above it that has a licence file: each distinct
 directory's ancestors are joined to the directories of licence files by path.
@@ -20,18 +24,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plinth.session import staged
 
-#: A short notice or the opening of each licence's text.
+#: Notices, texts of short licences, and openings of long ones.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http www apache org licenses LICENSE-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. https://fsf.org/ Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. https://fsf.org/ Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. https://fsf.org/ Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (AGREEMENT). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -43,33 +61,38 @@ TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|unlicense)([._-].*)?$"
 PARAGRAPH = r"\n[ \t\r]*\n"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Anchors of a template, and words that are none, as all texts have them.
+ANCHORS = 3
+PLAIN = set("a above all an and any appear as at author be binary but by can code copies copy file following for form free from holder if in is it law law list made may means met must name names not notice of on or other owns person program public related rights source software subject that the this to under use used version with without work you".split())
+
+
+def template_tokens(text: str) -> list[str]:
+    return re.findall(TOKEN, text.lower())
+
+
+def anchors(templates: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
+    """(token, place, length): for each template, of its tokens that aren't plain words, the first and the longest (of equally
+    long ones those that come first), ``ANCHORS`` in all, where each stands first, and how many tokens the template has."""
+    out = set()
+    for _, body in templates:
+        own = template_tokens(body)
+        telling = [t for t in dict.fromkeys(own) if t not in PLAIN]
+        found = telling[:1] + sorted(telling[1:], key=lambda t: (-len(t), own.index(t)))[: ANCHORS - 1]
+        out |= {(t, own.index(t), len(own)) for t in found}
+    return sorted(out)
 
 
 class Weights:
-    """Inverse document frequencies over the templates, and the templates' unit vectors."""
+    """The templates' unit vectors, given the number of files and in how many each of their tokens stands."""
 
-    def __init__(self, templates: list[tuple[str, str]]):
-        found = [Counter(re.findall(TOKEN, text.lower())) for _, text in templates]
-        seen = Counter(t for x in found for t in x)
-        self.idf = {t: log((1 + len(found)) / (1 + n)) + 1 for t, n in seen.items()}
-        self.unseen = log(1 + len(found)) + 1
+    def __init__(self, templates: list[tuple[str, str]], files: int, seen: dict[str, int]):
+        self.files = files
         self.vectors = []
-        for counts in found:
-            norm = sqrt(sum((n * self.idf[t]) ** 2 for t, n in counts.items()))
-            self.vectors.append({t: n * self.idf[t] / norm for t, n in counts.items()})
-
-    def telling(self, threshold: float) -> list[str]:
-        """Tokens of which every unit at the threshold holds one: of each template enough that the norm of the rest is below
-        the threshold. Any such choice is exact; the longest tokens are taken first, as they are rare in other texts."""
-        out = set()
-        for vector in self.vectors:
-            rest = 1.0
-            for token, w in sorted(vector.items(), key=lambda x: (-len(x[0]), -x[1], x[0])):
-                if rest < threshold**2 - 1e-9:
-                    break
-                out.add(token)
-                rest -= w * w
-        return sorted(out)
+        for _, text in templates:
+            counts = Counter(template_tokens(text))
+            weights = {t: n * (log((1 + files) / (1 + seen.get(t, 0))) + 1) for t, n in counts.items()}
+            norm = sqrt(sum(w * w for w in weights.values()))
+            self.vectors.append({t: w / norm for t, w in weights.items()})
 
     def may_match(self, tokens: Column, threshold: float) -> Column:
         """Whether the tokens cover enough of one template: the cosine is at most the norm of the template's part that a unit
@@ -84,8 +107,23 @@ class Weights:
         return F.exists(F.sequence(F.lit(0), F.lit(len(self.vectors) - 1)), lambda i: mass(i) >= threshold**2 - 1e-6)
 
 
-def _tokens(unit: Column) -> Column:
-    return F.regexp_extract_all(F.translate(unit, UPPER, UPPER.lower()), F.lit(f"({TOKEN})"), F.lit(1))
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(text, UPPER, UPPER.lower()), F.lit(f"({TOKEN})"), F.lit(1))
+
+
+def units(text: Column, tokens: Column, at: list[tuple[str, int, int]]) -> Column:
+    """The units of a text as arrays of tokens: lines and paragraphs of several lines with an anchor, and windows at anchors."""
+    names = F.array(*(F.lit(t) for t in sorted({t for t, *_ in at})))
+    places: dict[str, list[Column]] = {}
+    for t, place, size in at:
+        places.setdefault(t, []).append(F.struct(F.lit(place).alias("place"), F.lit(size).alias("size")))
+    table = F.map_from_arrays(F.array(*map(F.lit, places)), F.array(*(F.array(*x) for x in places.values())))
+    found = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), F.try_element_at(table, t).alias("own"))), lambda x: x["own"].isNotNull())
+    spans = F.flatten(F.transform(found, lambda x: F.transform(x["own"], lambda y: F.struct(F.greatest(x["i"] - y["place"], F.lit(0)).alias("from"), y["size"].alias("size")))))
+    windows = F.transform(F.array_distinct(spans), lambda x: F.slice(tokens, x["from"] + 1, x["size"]))
+    parts = F.concat(F.split(text, "\n"), F.filter(F.split(text, PARAGRAPH), lambda p: p.contains("\n")))
+    parts = F.filter(F.transform(parts, _tokens), lambda x: F.arrays_overlap(x, names))
+    return F.array_distinct(F.concat(parts, windows))
 
 
 def directory(path: Column) -> Column:
@@ -99,26 +137,29 @@ def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col
     inherited or null) and license_file (the path it's inherited from).
 
     A null or empty text has no notice. A null path has no directory: nothing is inherited from it or by it. Rows that share
-    id and path are one file. A directory with several licence files passes on the most similar notice, then the first path.
+    id and path are one file; each counts for document frequencies. A directory with several licence files passes on the most similar notice, then the first path.
     No rows give no rows; columns that aren't named play no part.
     """
-    weights, spark = Weights(templates), df.sparkSession
+    spark, at = df.sparkSession, anchors(templates)
     files = df.select(df[id_col].alias("id"), df[path_col].cast("string").alias("path"), df[text_col].cast("string").alias("text"))
-    telling = sorted(weights.telling(threshold), key=lambda t: (-len(t), t))
-    # A token may begin after a digit and a dotted one end before a letter: 1.0mit is 1.0 and mit.
-    ends = [f"{re.escape(t)}(?![0-9])" if "." in t else f"{re.escape(t)}(?![A-Za-z0-9])" for t in telling]
-    probe = f"(?i)(?<![A-Za-z])(?:{'|'.join(ends)})"
-    units = F.concat(F.split("text", "\n"), F.filter(F.split("text", PARAGRAPH), lambda p: p.contains("\n")))
-    found = files.filter(F.col("text").rlike(probe)).select("id", "path", F.explode(units).alias("unit")).filter(F.col("unit").rlike(probe))
-    found = found.filter(weights.may_match(_tokens(F.col("unit")), threshold))
-    found = staged(found.withColumn("key", F.sha2("unit", 256)), "license-units")
-
-    idf = spark.createDataFrame([(t, w) for t, w in weights.idf.items()], "token string, idf double")
+    seen = files.select(F.explode(F.array_distinct(_tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    seen = staged(seen, "license-frequencies")
+    vocabulary = sorted({t for _, body in templates for t in template_tokens(body)})
+    known = spark.createDataFrame([(t,) for t in vocabulary], "token string")  # as large as the templates, as all that is broadcast here
+    weights = Weights(templates, files.count(), {r["token"]: r["n"] for r in seen.join(F.broadcast(known), "token").collect()})
+
+    names = F.array(*(F.lit(t) for t in sorted({t for t, *_ in at})))
+    words = _tokens(F.col("text"))
+    some = files.withColumn("tokens", words).filter(F.arrays_overlap("tokens", names))
+    found = some.select("id", "path", F.explode(units(F.col("text"), F.col("tokens"), at)).alias("unit"))
+    found = found.filter(weights.may_match(F.col("unit"), threshold))
+    found = staged(found.withColumn("key", F.sha2(F.array_join("unit", " "), 256)), "license-units")
+
+    idf = lambda n: F.log((1.0 + F.lit(weights.files)) / (1.0 + n)) + 1.0
     sides = spark.createDataFrame([(t, i, templates[i][0], w) for i, v in enumerate(weights.vectors) for t, w in v.items()], "token string, template int, license string, w double")
     distinct = found.groupBy("key").agg(F.first("unit").alias("unit"))
-    counts = distinct.select("key", F.explode(_tokens(F.col("unit"))).alias("token")).groupBy("key", "token").agg(F.count("*").alias("n"))
-    # Both tables are as large as the list of templates.
-    own = counts.join(F.broadcast(idf), "token", "left").select("key", "token", (F.col("n") * F.coalesce("idf", F.lit(weights.unseen))).alias("u"))
+    counts = distinct.select("key", F.explode("unit").alias("token")).groupBy("key", "token").agg(F.count("*").alias("m"))
+    own = counts.join(seen, "token").select("key", "token", (F.col("m") * idf(F.col("n"))).alias("u"))
     own = staged(own, "license-weights")
     norms = own.groupBy("key").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("norm"))
     dots = own.join(F.broadcast(sides), "token").groupBy("key", "template", "license").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
@@ -159,30 +200,40 @@ def document_paths(documents: DataFrame) -> DataFrame:
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """DuckDB SQL of ``scan(document_paths(documents))``, without the shortcuts."""
-    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(templates))
+    quoted = lambda x: x.replace("'", "''")
+    values = ", ".join(f"({i}, '{name}', '{quoted(text)}')" for i, (name, text) in enumerate(templates))
+    at = ", ".join(f"('{t}', {place}, {size})" for t, place, size in anchors(templates))
     upper = f"'{UPPER}', '{UPPER.lower()}'"
+    split = lambda x: f"regexp_extract_all(translate({x}, {upper}), '{TOKEN}')"
     return f"""
 WITH templates(template, license, body) AS (VALUES {values}),
+anchors(token, place, size) AS (VALUES {at}),
 files AS (
-    SELECT doc_id, text, CASE WHEN doc_id % 10000 = 0 THEN top || '/LICENSE' WHEN doc_id % 1000 = 0 THEN lev || '/LICENSE'
+    SELECT doc_id, text, {split("text")} AS tokens, CASE WHEN doc_id % 10000 = 0 THEN top || '/LICENSE' WHEN doc_id % 1000 = 0 THEN lev || '/LICENSE'
         WHEN doc_id % 50 = 0 THEN folder || '/LICENSE' ELSE folder || '/' || doc_id || '.txt' END AS path
     FROM (SELECT *, lev || '/' || ((doc_id // 50) % 20) AS folder FROM (SELECT *, top || '/d' || (doc_id // 1000) AS lev
         FROM (SELECT *, '/' || coalesce(source, 'none') AS top FROM documents)))
 ),
-tt AS (SELECT template, license, unnest(regexp_extract_all(translate(body, {upper}), '{TOKEN}')) AS token FROM templates),
+total AS (SELECT count(*) AS m FROM files),
+idf AS (SELECT token, ln((1.0 + m) / (1.0 + count(*))) + 1 AS idf FROM (SELECT DISTINCT doc_id, path, unnest(tokens) AS token FROM files), total GROUP BY token, m),
+tt AS (SELECT template, license, unnest({split("body")}) AS token FROM templates),
 tc AS (SELECT template, license, token, count(*) AS n FROM tt GROUP BY ALL),
-total AS (SELECT count(*) AS m FROM templates),
-idf AS (SELECT token, ln((1.0 + m) / (1.0 + count(*))) + 1 AS idf FROM tc, total GROUP BY token, m),
-tw AS (SELECT template, license, token, n * idf AS w FROM tc JOIN idf USING (token)),
+tw AS (SELECT template, license, token, n * coalesce(idf, ln(1.0 + m) + 1) AS w FROM tc LEFT JOIN idf USING (token), total),
 tv AS (SELECT template, license, token, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS w FROM tw),
+parts AS (
+    SELECT doc_id, path, {split("part")} AS unit FROM (
+        SELECT doc_id, path, unnest(string_split(text, chr(10))) AS part FROM files
+        UNION ALL SELECT * FROM (SELECT doc_id, path, unnest(regexp_split_to_array(text, '{PARAGRAPH}')) AS part FROM files) WHERE contains(part, chr(10)))
+),
+words AS (SELECT doc_id, path, tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS i FROM files),
 units AS (
-    SELECT DISTINCT doc_id, path, unit FROM (
-        SELECT doc_id, path, unnest(string_split(text, chr(10))) AS unit FROM files
-        UNION ALL SELECT * FROM (SELECT doc_id, path, unnest(regexp_split_to_array(text, '{PARAGRAPH}')) AS unit FROM files) WHERE contains(unit, chr(10)))
+    SELECT DISTINCT doc_id, path, array_to_string(unit, ' ') AS unit FROM (
+        SELECT doc_id, path, unit FROM parts WHERE list_has_any(unit, (SELECT list(DISTINCT token) FROM anchors))
+        UNION ALL SELECT doc_id, path, tokens[greatest(i - place, 0) + 1 : greatest(i - place, 0) + size] FROM words JOIN anchors USING (token))
 ),
 distinct_units AS (SELECT DISTINCT unit FROM units),
-ut AS (SELECT unit, token, count(*) AS n FROM (SELECT unit, unnest(regexp_extract_all(translate(unit, {upper}), '{TOKEN}')) AS token FROM distinct_units) GROUP BY ALL),
-uw AS (SELECT unit, token, n * coalesce(idf, ln(1.0 + m) + 1) AS u FROM ut LEFT JOIN idf USING (token), total),
+ut AS (SELECT unit, token, count(*) AS n FROM (SELECT unit, unnest(string_split(unit, ' ')) AS token FROM distinct_units) GROUP BY ALL),
+uw AS (SELECT unit, token, n * idf AS u FROM ut JOIN idf USING (token)),
 norms AS (SELECT unit, sqrt(sum(u * u)) AS norm FROM uw GROUP BY unit),
 dots AS (SELECT unit, license, sum(u * w) AS dot FROM uw JOIN tv USING (token) GROUP BY unit, template, license),
 scored AS (SELECT unit, license, round(dot / norm, 6) AS s FROM dots JOIN norms USING (unit) WHERE round(dot / norm, 6) >= {threshold}),

@@ -1,25 +1,37 @@
 import re
 from collections import Counter, defaultdict
 from math import log, sqrt
+from pathlib import Path
 
 import pytest
 
-from plinth.llm.licenses import LICENSE_FILE, PARAGRAPH, TEMPLATES, THRESHOLD, TOKEN, Weights, scan
+from plinth.llm.licenses import LICENSE_FILE, PARAGRAPH, TEMPLATES, THRESHOLD, TOKEN, Weights, anchors, scan
+
+
+def listed(text):
+    return re.findall(TOKEN, re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
 def tokens(text):
-    return Counter(re.findall(TOKEN, re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+    return Counter(listed(text))
 
 
 def brute(rows):
-    seen = Counter(t for _, body in TEMPLATES for t in tokens(body))
-    idf = lambda t: log((1 + len(TEMPLATES)) / (1 + seen[t])) + 1
+    seen = Counter(t for *_, text in rows for t in set(tokens(text or "")))
+    idf = lambda t: log((1 + len(rows)) / (1 + seen[t])) + 1
     unit = lambda c: {t: n * idf(t) / sqrt(sum((m * idf(s)) ** 2 for s, m in c.items())) for t, n in c.items()}
     sides = [(name, unit(tokens(body))) for name, body in TEMPLATES]
-    own = {}
+    own, known = {}, anchors(TEMPLATES)
     for i, path, text in rows:
-        for part in {*(text or "").split("\n"), *(p for p in re.split(PARAGRAPH, text or "") if "\n" in p)}:
-            u = unit(tokens(part))
+        parts = [listed(x) for x in {*(text or "").split("\n"), *(p for p in re.split(PARAGRAPH, text or "") if "\n" in p)}]
+        units = {tuple(x) for x in parts if {t for t, *_ in known} & {*x}}
+        words = listed(text or "")
+        at = {}
+        for k, w in enumerate(words):
+            at.setdefault(w, []).append(k)
+        units |= {tuple(words[max(k - place, 0) :][:size]) for t, place, size in known for k in at.get(t, ())}
+        for part in units:
+            u = unit(Counter(part))
             for name, side in sides:
                 s = round(sum(w * side.get(t, 0) for t, w in u.items()), 6)
                 if s >= THRESHOLD:
@@ -73,11 +85,32 @@ def test_against_brute_force(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_what_the_probe_spares_cannot_match():
-    weights = Weights(TEMPLATES)
-    telling = set(weights.telling(THRESHOLD))
+def test_bound_is_exact():
+    # What a unit shares with a template bounds its cosine, whatever else it holds.
+    weights = Weights(TEMPLATES, 1000, {"the": 900, "license": 50})
     for vector in weights.vectors:
-        assert sqrt(sum(w * w for t, w in vector.items() if t not in telling)) < THRESHOLD
+        assert abs(sum(w * w for w in vector.values()) - 1) < 1e-9
+
+
+def test_notice_within_prose_and_licence_file(spark):
+    prose = " ".join(f"rare{i} word{i * 7}" for i in range(200))
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n" + prose
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n" + prose
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + next(b for n, b in TEMPLATES if n == "MIT" and len(b) > 400).replace(" OF ", "\nOF ")
+    rows = [(1, "/a/LICENSE", apache), (2, "/a/x", "plain"), (3, "/b/LICENSE", gpl), (4, "/c/LICENSE", mit), (5, "/d", f"{prose} Released under the MIT License. The quick brown fox {prose}")]
+    rows += [(10 + i, f"/z/{i}", f"{i} {prose}") for i in range(20)]
+    got = {r.doc_id: (r.license, r.origin) for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(1, 6)] == [("Apache-2.0", "own"), ("Apache-2.0", "inherited"), ("GPL-3.0", "own"), ("MIT", "own"), ("MIT", "own")]
+    assert got[11] == (None, None)
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="no licence texts on this machine")
+def test_canonical_texts(spark):
+    names = {"GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+    rows = [(i, f"/{n}/LICENSE", Path(f"/usr/share/common-licenses/{n}").read_text()) for i, n in enumerate(names)]
+    rows += [(100 + i, f"/x/{i}", f"plain text {i}") for i in range(30)]
+    got = {r.doc_id: r.own_license for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {n: got[i] for i, n in enumerate(names)} == names
 
 
 def test_each_template_finds_itself(spark):
