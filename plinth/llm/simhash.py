@@ -130,7 +130,7 @@ def similar_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = df.select(row_number_id().alias("row"), df[id_col].alias("id"), check_of(text), text.alias("t"))
     own = staged(similar.keyed(own, words), "set-keys")
     # A node is a distinct set, known by two hashes and its size, and named by the number of its first row.
-    node = own.groupBy("key", "fp", "n").agg(F.min("row").alias("node"), F.min_by("check", "row").alias("check"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+    node = own.groupBy("key", "fp", "n").agg(F.min("row").alias("node"), F.min_by("check", "row").alias("check"), F.first("counts").alias("counts"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
     nodes = staged(node, "set-nodes")
     texts = df.select(text.alias("t"))
     firsts = staged(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
@@ -139,7 +139,8 @@ def similar_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     near = near.union(nodes.join(firsts, "fp").filter("node != first").select("first", "node"))
     pairs = near.union(similar.candidates(texts, nodes, similar.common_elements(own), words, least, crowd)).distinct()
-    joined = components(similar.similar(texts, nodes, staged(pairs, "pairs"), words, least))
+    pairs = staged(similar.close(nodes, pairs, least), "pairs")
+    joined = components(similar.similar(texts, nodes, pairs, words, least))
     named = nodes.join(joined.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "fp", "n", "best", F.coalesce("component", "node").alias("component"))
     kept = named.groupBy("component").agg(F.min("best").alias("b")).select("component", F.col("b.row").alias("first"))
     named = named.select("key", "fp", "n", "component").join(kept, "component")

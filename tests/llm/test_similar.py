@@ -96,6 +96,17 @@ def test_crowd_of_near_copies_makes_few_pairs(spark, monkeypatch):
     assert made[0] < 12 * len(rows)
 
 
+def test_counts_bound_the_distance_of_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 300, 20_000):
+        a = np.unique(rng.integers(0, 2**64 - 1, n, np.uint64, endpoint=True))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**64 - 1, n // 8, np.uint64)]))
+        x, y = (np.frombuffer(similar.segment_counts(s), "<u2").astype(int) for s in (a, b))
+        assert x.sum() == len(a) and np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_moved_rows_are_an_error(spark):
     from pyspark.sql import functions as F
 
