@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plinth.functions import patterns as P
 from plinth.functions.signals import stripped
+from plinth.session import spare
 
 Box = tuple[float, float, float, float]
 
@@ -111,12 +112,20 @@ def duplicates(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str
     for c in cols:
         some = some & c.isNotNull()
     w = Window.partitionBy(*cols).orderBy(*order)
-    return df.filter(some).withColumn("_n", F.row_number().over(w)).filter("_n > 1").drop("_n")
+    held = spare(df, "nth")
+    return df.filter(some).withColumn(held, F.row_number().over(w)).filter(F.col(held) > 1).drop(held)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+    held = spare(df, "nth")
+    return df.withColumn(held, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(held) == 1).drop(held)
+
+
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """O2: the first n rows of each key."""
+    held = spare(df, "nth")
+    return df.withColumn(held, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(held) <= n).drop(held)
 
 
 def looked_up(left: DataFrame, right: DataFrame, by_id: tuple[str, str], by_name: tuple[str, str], value: str) -> DataFrame:

@@ -29,8 +29,8 @@ def column_pivot(rows: DataFrame) -> DataFrame:
     kind = S.column_label(F.try_element_at("cells", F.lit(1)))
     own = rows.withColumn("kind", kind).withColumn("n", F.row_number().over(top))
     marks = own.filter("kind = '부호' and size(cells) >= 2").groupBy("commit_id").agg(F.min_by("cells", "n").alias("c"))
-    marks = marks.select("commit_id", F.posexplode(F.slice("c", 2, 1000)).alias("at", "mark_cell"))
-    values = own.filter(F.col("kind").isin(KINDS) & (F.size("cells") > 1)).select("commit_id", "kind", "n", F.posexplode(F.slice("cells", 2, 1000)).alias("at", "value"))
+    marks = marks.select("commit_id", F.posexplode(F.slice("c", 2, F.size("c"))).alias("at", "mark_cell"))
+    values = own.filter(F.col("kind").isin(KINDS) & (F.size("cells") > 1)).select("commit_id", "kind", "n", F.posexplode(F.slice("cells", 2, F.size("cells"))).alias("at", "value"))
     last = values.groupBy("commit_id", "at").pivot("kind", KINDS).agg(F.max_by("value", "n"))
     building = own.filter("kind = '동_헤더'").groupBy("commit_id").agg(F.max_by(F.col("cells")[0], "n").alias("building"))
     out = marks.join(last, ["commit_id", "at"], "left").join(building, "commit_id", "left")

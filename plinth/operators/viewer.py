@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plinth.functions import colors
 from plinth.functions.signals import layer_key
+from plinth.operators.relational import first_n
 
 MOST = 50_000_000
 LABEL_TYPES = ["TEXT", "MTEXT", "ATTRIB"]
 
 
 def capped(entities: DataFrame, limit: int | None) -> DataFrame:
-    """the first entities by id; all of them for no limit or one of 0 or less."""
-    return entities if not limit or limit <= 0 else entities.orderBy("id").limit(min(limit, MOST))
+    """the first entities of each drawing by id; all of them for no limit or one of 0 or less."""
+    return entities if not limit or limit <= 0 else first_n(entities, ["commit_id"], [F.col("id")], min(limit, MOST))
 
 
 def layer_pens(layers: DataFrame) -> DataFrame:

@@ -110,29 +110,34 @@ def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.points(spark, sf_dir).groupBy("commit_id").agg(N.level_count(F.collect_list("x"), 10.0).alias("levels"))
 
 
+HEADER = r"(부호|형태|단면|주근|대근|스트럽|스터럽|간격|비고|도\s*[\d@×x]|\bH\b|\s[x×]\s)"
+#: Each drawing's texts, of which those of line number 7 are a header's.
+TITLED = LEADERS.replace(f"d AS ({V.TEXTS})", f"d AS (SELECT * REPLACE (CASE WHEN id % 10 = 7 THEN '주근 ' || text ELSE text END AS text) FROM ({V.TEXTS}))")
+
+
 @query(f"""
-WITH {LEADERS} SELECT commit_id, row_index, string_agg(text, '|' ORDER BY x, id, text) AS cells, CAST(arg_max(regexp_extract(text, 'D(\\d+)', 1), (x, id, text)) AS INT) AS rebar_d, CAST(arg_max(regexp_extract(text, '@(\\d+)', 1), (x, id, text)) AS INT) AS spacing,
-    CASE WHEN count(*) = 1 AND NOT regexp_matches(any_value(text), '\\d{{4,}}') THEN 'section_like' WHEN count(*) >= 2 AND NOT bool_and(true) THEN 'header_like' ELSE 'data' END AS role FROM rows_ GROUP BY 1, 2
+WITH {TITLED} SELECT commit_id, row_index, string_agg(text, '|' ORDER BY x, id, text) AS cells, CAST(arg_max(regexp_extract(text, 'D(\\d+)', 1), (x, id, text)) AS INT) AS rebar_d, CAST(arg_max(regexp_extract(text, '@(\\d+)', 1), (x, id, text)) AS INT) AS spacing,
+    CASE WHEN count(*) >= 2 AND regexp_matches(string_agg(text, ' ' ORDER BY x, id, text), '{HEADER}', 'i') THEN 'header_like' WHEN count(*) = 1 AND NOT regexp_matches(any_value(text), '\\d{{4,}}') AND length(any_value(text)) <= 48 THEN 'section_like' ELSE 'data' END AS role FROM rows_ GROUP BY 1, 2
 """)
 def wall_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedules.row_table(V.texts(spark, sf_dir), "wall").select("commit_id", "row_index", F.array_join("cells", "|").alias("cells"), "rebar_d", "spacing", "role")
+    titled = F.when(F.col("id") % 10 == 7, F.concat(F.lit("주근 "), "text")).otherwise(F.col("text"))
+    return schedules.row_table(V.texts(spark, sf_dir).withColumn("text", titled), "wall").select("commit_id", "row_index", F.array_join("cells", "|").alias("cells"), "rebar_d", "spacing", "role")
 
 
 KIND_OF = {1: "부호", 2: "주근", 3: "형태", 4: "대근(중앙)"}
 
 
 @query("""
-WITH r AS (SELECT l_suppkey, l_linenumber AS k, 'C' || CAST(l_partkey AS VARCHAR) AS c, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_partkey, l_orderkey, l_extendedprice) - 1 AS j FROM lineitem WHERE l_linenumber <= 4),
-f AS (SELECT * FROM r WHERE j < 3)
+WITH r AS (SELECT l_suppkey, l_linenumber AS k, 'C' || CAST(l_partkey AS VARCHAR) AS c, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_partkey, l_orderkey, l_extendedprice) - 1 AS j FROM lineitem)
 SELECT l_suppkey AS commit_id, CAST(j AS INT) AS "column", max(c) FILTER (k = 1) AS mark, coalesce(max(c) FILTER (k = 2), '') AS bars, coalesce(max(c) FILTER (k = 3), '') AS shape, coalesce(max(c) FILTER (k = 4), '') AS hoop
-FROM f GROUP BY 1, 2 HAVING max(c) FILTER (k = 1) IS NOT NULL
+FROM r GROUP BY 1, 2 HAVING max(c) FILTER (k = 1) IS NOT NULL
 """)
 def column_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_linenumber")
-    own = table(spark, sf_dir, "lineitem").filter(k <= 4)
+    own = table(spark, sf_dir, "lineitem")
     order = F.struct("l_partkey", "l_orderkey", "l_extendedprice")
-    rows = own.groupBy("l_suppkey", k.alias("k")).agg(F.slice(F.array_sort(F.collect_list(order)), 1, 3).alias("parts"))
-    label = F.element_at(F.array(*map(F.lit, KIND_OF.values())), F.col("k"))
+    rows = own.groupBy("l_suppkey", k.alias("k")).agg(F.array_sort(F.collect_list(order)).alias("parts"))
+    label = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in KIND_OF.items() for x in kv)), F.col("k")), F.lit("etc."))
     cells = F.concat(F.array(label), F.transform("parts", lambda p: F.concat(F.lit("C"), p["l_partkey"].cast("string"))))
     out = schedules.column_pivot(rows.select(F.col("l_suppkey").alias("commit_id"), (-F.col("k")).cast("double").alias("y_mean"), cells.alias("cells")))
     return out.select("commit_id", "column", "mark", F.col("주근").alias("bars"), F.col("형태").alias("shape"), F.col("대근_중앙").alias("hoop"))

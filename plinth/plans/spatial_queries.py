@@ -17,33 +17,33 @@ def bbox_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH d AS ({V.POINTS}), s AS (SELECT commit_id, id, x FROM d WHERE id % 10 = 0), t AS (SELECT commit_id, x AS tx, max(id) AS template FROM d WHERE id % 10 = 5 GROUP BY 1, 2)
+WITH d AS ({V.POINTS}), s AS (SELECT commit_id, id, x FROM d WHERE entity_type <> 'click'), t AS (SELECT commit_id, x AS tx, max(id) AS template FROM d WHERE entity_type = 'click' GROUP BY 1, 2)
 SELECT commit_id, id, x, tx, template FROM s JOIN t USING (commit_id) QUALIFY row_number() OVER (PARTITION BY commit_id, id ORDER BY abs(x - tx), tx) = 1
 """)
 def nearest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.points(spark, sf_dir)
-    left = d.filter("id % 10 = 0").select("commit_id", "id", "x")
-    right = d.filter("id % 10 = 5").groupBy("commit_id", F.col("x").alias("tx")).agg(F.max("id").alias("template"))
+    left = d.filter("entity_type <> 'click'").select("commit_id", "id", "x")
+    right = d.filter("entity_type = 'click'").groupBy("commit_id", F.col("x").alias("tx")).agg(F.max("id").alias("template"))
     return P.nearest(left, right, "commit_id", "x", "tx", ["template"]).filter("template is not null")
 
 
 @query(f"""
-WITH d AS ({V.POINTS}), v AS (SELECT DISTINCT commit_id, x FROM d WHERE id % 10 = 5)
+WITH d AS ({V.POINTS}), v AS (SELECT DISTINCT commit_id, x FROM d)
 SELECT commit_id, x, round(coalesce((x + lag(x) OVER w) / 2, -1e9), 6) AS low, round(coalesce((x + lead(x) OVER w) / 2, 1e9), 6) AS high FROM v WINDOW w AS (PARTITION BY commit_id ORDER BY x)
 """)
 def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = V.points(spark, sf_dir).filter("id % 10 = 5").select("commit_id", "x").distinct()
+    values = V.points(spark, sf_dir).select("commit_id", "x").distinct()
     out = P.midpoint_intervals(values, ["commit_id"], "x")
     clamp = lambda c: F.round(F.greatest(F.least(F.col(c), F.lit(1e9)), F.lit(-1e9)), 6)
     return out.select("commit_id", "x", clamp("low").alias("low"), clamp("high").alias("high"))
 
 
 @query(f"""
-WITH d AS ({V.POINTS}), v AS (SELECT DISTINCT commit_id, x FROM d WHERE id % 7 = 1)
+WITH d AS ({V.POINTS}), v AS (SELECT DISTINCT commit_id, x FROM d)
 SELECT commit_id, x, round(least((x - lag(x) OVER w) / 2, (lead(x) OVER w - x) / 2), 6) AS half_width FROM v WINDOW w AS (PARTITION BY commit_id ORDER BY x)
 """)
 def half_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = V.points(spark, sf_dir).filter("id % 7 = 1").select("commit_id", "x").distinct()
+    values = V.points(spark, sf_dir).select("commit_id", "x").distinct()
     return P.half_widths(values, ["commit_id"], "x").withColumn("half_width", F.round("half_width", 6))
 
 
@@ -81,10 +81,10 @@ def arc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE d AS (SELECT * FROM ({V.POINTS}) WHERE commit_id < 200), e AS (SELECT DISTINCT p.commit_id, p.id AS a, q.id AS b FROM d p JOIN d q ON p.commit_id = q.commit_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 225),
+WITH RECURSIVE d AS ({V.POINTS}), e AS (SELECT DISTINCT p.commit_id, p.id AS a, q.id AS b FROM d p JOIN d q ON p.commit_id = q.commit_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 225),
 r AS (SELECT commit_id, a, b FROM e UNION SELECT r.commit_id, r.a, e.b FROM r JOIN e ON r.commit_id = e.commit_id AND r.b = e.a)
 SELECT commit_id, a AS id, min(b) AS component FROM r GROUP BY 1, 2
-""".replace(" WHERE commit_id < 200", ""))
+""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.components(V.points(spark, sf_dir), 15.0)
 

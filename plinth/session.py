@@ -86,9 +86,10 @@ def ship(spark: SparkSession) -> None:
     context._plinth_shipped = True
 
 
-def spare(df: DataFrame, name: str) -> str:
-    """``name``, or the first of name_1, name_2, ... that no column of ``df`` has; case doesn't tell names apart."""
-    taken = {c.lower() for c in df.columns}
+def spare(df: DataFrame | list[str], name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that no column (of a frame, or of a list) has; case doesn't tell names
+    apart."""
+    taken = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}
     return next(x for x in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if x.lower() not in taken)
 
 
