@@ -5,6 +5,7 @@ Every kernel below takes whole texts. Byte-level work is masks of a byte a byte;
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
@@ -33,6 +34,27 @@ def prepare(df: DataFrame) -> SparkSession:
     return spark
 
 
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The kernel, which at a task's end gives memory that is free back to the system: Python workers live on from task to
+    task, and what their allocators keep adds up beside the executor's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string (or binary) array; null counts as empty."""
     if column.null_count:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from plinth.llm.common import ALNUM, LOWER, groups, mix, prepare, span_hashes, utf8, word_spans
+from plinth.llm.common import ALNUM, LOWER, groups, mix, prepare, span_hashes, tidy, utf8, word_spans
 from plinth.session import spare, staged
 
 WINDOW = 13
@@ -118,7 +118,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                     yield pa.RecordBatch.from_arrays([pa.array(prints[at].view(np.int64)), pa.array(_digests(data, starts, ends, at, size), pa.binary()), pa.array(np.full(len(at), size, np.int32)), items], ["print", "digest", "n", "item"])
 
     rows = benchmark.select(benchmark[id_col].cast("string").alias("i"), benchmark[text_col].cast("string").alias("t"))
-    return rows.mapInArrow(kernel, "print bigint, digest binary, n int, item string")
+    return rows.mapInArrow(tidy(kernel), "print bigint, digest binary, n int, item string")
 
 
 def print_filter(windows: DataFrame, bits: int | None = None) -> Broadcast:
@@ -132,7 +132,7 @@ def print_filter(windows: DataFrame, bits: int | None = None) -> Broadcast:
             at = np.unique(np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64), bits)))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.uint64(1) << (at & 63).astype(np.uint64)).view(pa.int64())], ["at", "bit"])
 
-    rows = windows.select("print").mapInArrow(kernel, "at bigint, bit bigint").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    rows = windows.select("print").mapInArrow(tidy(kernel), "at bigint, bit bigint").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits >> 6, np.uint64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return spark.sparkContext.broadcast(out)
@@ -194,7 +194,7 @@ class Search:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(edge, flat)], ["id", "n_words", "found"])
 
         kind = df.schema[0].dataType.simpleString()
-        return df.mapInArrow(kernel, f"id {kind}, n_words bigint, found array<struct<at:bigint,n:int,print:bigint,digest:binary>>")
+        return df.mapInArrow(tidy(kernel), f"id {kind}, n_words bigint, found array<struct<at:bigint,n:int,print:bigint,digest:binary>>")
 
     def judged(self, df: DataFrame) -> DataFrame:
         """(id, n_words, n_hit, items, contaminated) of each row (id, text)."""
@@ -227,7 +227,7 @@ class Search:
                     some.append(hit[bounds[1:]] > hit[bounds[:-1]])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(some) if some else np.zeros(0, bool))], [*batch.schema.names, name])
 
-        return df.mapInArrow(kernel, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
+        return df.mapInArrow(tidy(kernel), T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
 
 
 def contamination(

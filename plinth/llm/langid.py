@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plinth.llm.common import groups, prepare, utf8
+from plinth.llm.common import groups, prepare, release, tidy, utf8
 
 UNKNOWN = "und"
 
@@ -210,7 +210,7 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, settings: L
             parts = [pa.array([[x[j].tobytes() for x in row] for row in own], pa.list_(pa.binary())) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), *parts], ["h", "l", "bucket", "share"])
 
-    found = drawn.select("l", "h", "t").mapInArrow(kernel, "h bigint, l string, bucket array<binary>, share array<binary>")
+    found = drawn.select("l", "h", "t").mapInArrow(tidy(kernel), "h bigint, l string, bucket array<binary>, share array<binary>")
     out = []
     for r in found.toLocalIterator():
         out.append((r["h"], r["l"], [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32)) for b, w in zip(r["bucket"], r["share"])]))
@@ -295,7 +295,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model of the labelled rows of ``df`` that may be seen. Rows with a null id, text or language teach nothing; without
     any others the model knows no language and calls every text ``und``."""
     prepare(df)
-    return fit(sample(df, id_col, text_col, lang_col, settings), settings)
+    model = fit(sample(df, id_col, text_col, lang_col, settings), settings)
+    release()
+    return model
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,7 +313,7 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores), pa.array(shared.value.accepts(names, scores))], [id_col, "held_out", "lang_pred", "score", "accepted"])
 
     own = df.select(df[id_col], held_out(id_col).alias("held_out"), df[text_col].cast("string"))
-    return own.mapInArrow(kernel, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, accepted boolean")
+    return own.mapInArrow(tidy(kernel), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -322,4 +324,4 @@ def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text")
         for batch in batches:
             yield batch.filter(pa.array(shared.value.accepts(*shared.value.predict(batch.column(place)))))
 
-    return df.mapInArrow(kernel, df.schema)
+    return df.mapInArrow(tidy(kernel), df.schema)

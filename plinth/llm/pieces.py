@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.common import BYTE_VALUES, distinct_spans, groups, mix, prepare, utf8
+from plinth.llm.common import BYTE_VALUES, distinct_spans, groups, mix, prepare, tidy, utf8
 
 SPACE = "\u2581"
 #: Bytes of text whose units are filtered together.
@@ -347,7 +347,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
 
     key = F.coalesce(df[id_col].cast("long"), F.lit(-1)).alias("_key")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n_pieces bigint, pieces binary, lossless boolean"
-    return df.select(*columns, key, df[text_col].cast("string").alias("_text")).mapInArrow(kernel, schema)
+    return df.select(*columns, key, df[text_col].cast("string").alias("_text")).mapInArrow(tidy(kernel), schema)
 
 
 def decode(df: DataFrame, model: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
@@ -365,4 +365,4 @@ def decode(df: DataFrame, model: str, id_col: str = "doc_id", pieces_col: str =
                 text = pa.array([None if x is None else t for x, t in zip(batch.column(1).to_pylist(), text.to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), text], [id_col, "text"])
 
-    return df.select(df[id_col], df[pieces_col]).mapInArrow(kernel, f"`{id_col}` {kind}, text string")
+    return df.select(df[id_col], df[pieces_col]).mapInArrow(tidy(kernel), f"`{id_col}` {kind}, text string")

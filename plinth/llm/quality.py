@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plinth.llm.common import NOT_SPACE, covered, distinct_spans, groups, hashed_again, mix, per_row, prepare, repeats, span_hashes, unequal, utf8, word_spans
+from plinth.llm.common import NOT_SPACE, covered, distinct_spans, groups, hashed_again, mix, per_row, prepare, repeats, span_hashes, tidy, unequal, utf8, word_spans
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def repetition_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = judged(batch.column(1), rules)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[k]) for k in [*names, "base_failed", "kept"])], [id_col, *names, "base_failed", "kept"])
 
-    return df.select(df[id_col], df[text_col].cast("string")).mapInArrow(kernel, schema)
+    return df.select(df[id_col], df[text_col].cast("string")).mapInArrow(tidy(kernel), schema)
 
 
 def keep_clean(df: DataFrame, text_col: str = "text", rules: RepetitionRules = RepetitionRules()) -> DataFrame:
@@ -149,4 +149,4 @@ def keep_clean(df: DataFrame, text_col: str = "text", rules: RepetitionRules = R
         for batch in batches:
             yield batch.filter(pa.array(judged(batch.column(place), rules)["kept"]))
 
-    return df.mapInArrow(kernel, df.schema)
+    return df.mapInArrow(tidy(kernel), df.schema)

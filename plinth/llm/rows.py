@@ -19,6 +19,7 @@ from pyarrow import fs, ipc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plinth.llm.common import tidy
 from plinth.llm.files import opened
 from plinth.session import scratch_path, staged
 
@@ -75,7 +76,7 @@ def decided(decisions: DataFrame) -> str:
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["files"])
 
     dealt = decisions.withColumn("_part", F.expr(f"row div {SPAN}")).repartition("_part").sortWithinPartitions("_part", "row").drop("_part")
-    dealt.mapInArrow(kernel, "files bigint").agg(F.sum("files")).collect()
+    dealt.mapInArrow(tidy(kernel), "files bigint").agg(F.sum("files")).collect()
     return folder
 
 
@@ -122,7 +123,7 @@ def without(df: DataFrame, text_col: str, gone: DataFrame) -> DataFrame:
             keep[places] = False
             yield batch.filter(pa.array(keep))
 
-    return df.mapInArrow(kernel, df.schema)
+    return df.mapInArrow(tidy(kernel), df.schema)
 
 
 def check_of(text: Column) -> Column:

@@ -25,9 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.common import prepare
+from plinth.llm.common import prepare, tidy
 from plinth.llm import similar
-from plinth.llm.components import components
+from plinth.operators.components import components
 from plinth.llm.rows import check_of, pinned, row_number_id, without
 from plinth.session import staged
 
@@ -64,7 +64,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = np.fromiter((fingerprint(x.as_buffer().to_pybytes()) if x.is_valid else 0 for x in batch.column(1).cast(pa.binary())), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return df.select(df[id_col], df[text_col].cast("string")).mapInArrow(kernel, f"id {kind}, fp bigint")
+    return df.select(df[id_col], df[text_col].cast("string")).mapInArrow(tidy(kernel), f"id {kind}, fp bigint")
 
 
 #: The lowest bit of each segment.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plinth.llm.common import distinct_spans, groups, prepare, utf8
+from plinth.llm.common import distinct_spans, groups, prepare, tidy, utf8
 from plinth.llm.files import new_file, old_file
 from plinth.llm.huffman import BLOCK, Code, code_lengths
 from plinth.session import scratch_path, staged
@@ -164,7 +164,7 @@ def encoded(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             offsets = np.concatenate([[0], ends]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])], ["id", "ids"])
 
-    return df.select(df[id_col].cast("long"), df[text_col].cast("string")).mapInArrow(kernel, "id bigint, ids binary")
+    return df.select(df[id_col].cast("long"), df[text_col].cast("string")).mapInArrow(tidy(kernel), "id bigint, ids binary")
 
 
 def id_counts(narrow: DataFrame, width: int, vocabulary: int) -> np.ndarray:
@@ -182,7 +182,7 @@ def id_counts(narrow: DataFrame, width: int, vocabulary: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["sym", "n"])
 
     out = np.zeros(vocabulary, np.int64)
-    for row in narrow.select("ids").mapInArrow(kernel, "sym bigint, n bigint").groupBy("sym").agg(F.sum("n").alias("n")).collect():
+    for row in narrow.select("ids").mapInArrow(tidy(kernel), "sym bigint, n bigint").groupBy("sym").agg(F.sum("n").alias("n")).collect():
         out[row["sym"]] = row["n"]
     return out
 
@@ -317,7 +317,7 @@ def write_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     shards = max(1, -(-int(counts.sum()) // shard_ids))
     order = [F.col("id").asc_nulls_first(), F.col("row").asc()]
     dealt = own.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    return staged(dealt.mapInArrow(kernel, "shard bigint, path string, docs bigint, ids bigint, bytes bigint"), "manifest")
+    return staged(dealt.mapInArrow(tidy(kernel), "shard bigint, path string, docs bigint, ids bigint, bytes bigint"), "manifest")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
@@ -345,4 +345,4 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     def out(docs: list, begin: list, own: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begin, pa.int64()), pa.array(own, pa.binary())], ["id", "start", "ids"])
 
-    return placed.mapInArrow(kernel, "id bigint, start bigint, ids binary")
+    return placed.mapInArrow(tidy(kernel), "id bigint, start bigint, ids binary")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from plinth.llm.common import prepare
+from plinth.llm.common import prepare, tidy
 from plinth.llm.files import new_file, old_file
 from plinth.llm.rows import decided, met, pinned, row_number_id
 from plinth.session import scratch_path, staged
@@ -142,7 +142,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], ["path", "records", "revisits", "bytes"])
 
-    return staged(own.mapInArrow(kernel, "path string, records bigint, revisits bigint, bytes bigint"), "warc-manifest")
+    return staged(own.mapInArrow(tidy(kernel), "path string, records bigint, revisits bigint, bytes bigint"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -184,4 +184,4 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names[:take])
 
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint" + ", payload binary" * with_payload
-    return paths.mapInArrow(kernel, schema)
+    return paths.mapInArrow(tidy(kernel), schema)

@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from plinth.llm.components import components
+from plinth.operators.components import components
 from plinth.llm.simhash import fingerprint, links, near_duplicates
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
