@@ -41,6 +41,35 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_report(documents(spark, sf_dir))
 
 
+def _rules_sql(rules: quality.RepetitionRules = quality.RepetitionRules()) -> str:
+    """Words are numbered; an n-gram that a text holds twice covers its words, and lines that repeat an earlier one count."""
+    sizes = sorted({3, *rules.gram_share})
+    grams = ", ".join(f"CASE WHEN i + {n - 1} <= n_words THEN array_to_string(words[i : i + {n - 1}], ' ') END AS g{n}" for n in sizes)
+    again = ", ".join(f"CASE WHEN g{n} IS NOT NULL AND count(*) OVER (PARTITION BY r, g{n}) > 1 THEN 1 ELSE 0 END AS a{n}" for n in sizes)
+    inside = ", ".join(f"max(a{n}) OVER (PARTITION BY r ORDER BY i ROWS {n - 1} PRECEDING) AS c{n}" for n in sizes)
+    shares = ", ".join(f"sum(c{n} * chars) AS dup_chars_{n}" for n in sizes if n in rules.gram_share)
+    every = [f"dup_chars_{n}" for n in sorted(rules.gram_share)]
+    zero = ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in every)
+    bad = " OR ".join([f"n_symbols > {rules.symbol_share} * word_chars", f"dup_line_chars > {rules.line_share} * word_chars", *(f"dup_chars_{n} > {s} * word_chars" for n, s in rules.gram_share.items())])
+    word = r"[^\x20\x09-\x0D]+"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS words FROM documents),
+w AS (SELECT r, words, len(words) AS n_words, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+g AS (SELECT r, i, length(word) AS chars, {grams} FROM w), a AS (SELECT *, {again} FROM g), c AS (SELECT *, {inside} FROM a),
+per AS (SELECT r, sum(chars) AS word_chars, sum(c3) AS n_repeat_words, {shares} FROM c GROUP BY 1),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+later AS (SELECT r, list_sum(list_transform(regexp_extract_all(line, '{word}'), lambda x: length(x))) AS chars FROM lines WHERE regexp_matches(line, '{word}') QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY k) > 1),
+dup AS (SELECT r, count(*) AS n_dup_lines, sum(chars) AS dup_line_chars FROM later GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(dup_line_chars, 0) AS BIGINT) AS dup_line_chars, {zero} FROM d LEFT JOIN per USING (r) LEFT JOIN dup USING (r)),
+b AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_words_percent} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT ({bad}) AS kept FROM b
+"""
+
+
+ORACLE_SQL["op2_quality_rules"] = _rules_sql()
+
+
 #: The contract's curated list.
 URL_RULES = [
     urls.ListRule(urls.BLOCK, "com", "/en/"),
@@ -84,6 +113,25 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def _contamination_sql(window: int = decontaminate.WINDOW) -> str:
+    """Windows of items and of texts as strings of their words, joined."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents), b AS (SELECT item_id, {words} AS words FROM benchmark),
+items AS (SELECT item_id, least(len(words), {window}) AS size, words, unnest(range(1, len(words) - least(len(words), {window}) + 2)) AS i FROM b WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(words[i : i + size - 1], ' ') AS w FROM items), sizes AS (SELECT DISTINCT size FROM windows),
+own AS (SELECT r, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM d, sizes WHERE len(words) >= size),
+met AS (SELECT r, i, o.size, item_id FROM own o JOIN windows v ON o.size = v.size AND array_to_string(words[i : i + o.size - 1], ' ') = w),
+hits AS (SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS word FROM (SELECT DISTINCT r, i, size FROM met)) GROUP BY 1),
+found AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM met WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(words) AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN found USING (r)
+"""
+
+
+ORACLE_SQL["op8_decontamination"] = _contamination_sql()
+
+
 @_query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
