@@ -76,7 +76,7 @@ def zone_spans(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("commit_id", "block")
     named = zone_label(F.col("label")).isNotNull().cast("int")
     before = F.sum(named).over(w.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("zones", F.sum(named).over(w)).withColumn("first", F.row_number().over(w.orderBy("position")) == 1)
-    piece = F.when(F.col("zones") >= 2, F.greatest(before - 1, F.lit(0))).otherwise(0)
+    out = rows.withColumn("zones", F.sum(named).over(w)).withColumn("before", before).withColumn("first", F.row_number().over(w.orderBy("position")) == 1)
+    piece = F.when(F.col("zones") >= 2, F.greatest(F.col("before") - 1, F.lit(0))).otherwise(0)
     pieces = F.when(F.col("first") & (F.col("zones") >= 2), F.sequence(F.lit(0), (F.col("zones") - 1).cast("int"))).otherwise(F.array(piece.cast("int")))
-    return out.withColumn("piece", F.explode(pieces)).drop("zones", "first")
+    return out.withColumn("piece", F.explode(pieces)).drop("zones", "before", "first")
