@@ -18,7 +18,7 @@ from plinth.session import ship
 #: Rows in an Arrow batch: texts average a few KB, and a batch is held whole by each Python worker.
 BATCH_ROWS = 1000
 #: Bytes in one, about: long texts come in smaller batches.
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 8 << 20
 #: Bytes of text that a kernel works on at once (a longer text goes alone).
 GROUP_BYTES = 1 << 20
 

@@ -27,7 +27,7 @@ from plinth.llm.common import BYTE_VALUES, distinct_spans, groups, mix, prepare,
 
 SPACE = "\u2581"
 #: Bytes of text whose units are filtered together.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 #: Units of more bytes are filtered alone, with weights rescaled as they go.
 UNIT_BYTES = 48
 #: All ways over the same bytes gain this factor for each byte, which keeps sums of products within a float's range.
