@@ -138,7 +138,7 @@ def extract(texts: DataFrame, category: str, raw: dict | None = None) -> tuple[D
         flags = flags.join(some, "commit_id", "left").withColumn("row_count", F.coalesce("n", "row_count"))
         pivoted = F.col("n").isNotNull()
         kept = rows.join(some.select("commit_id"), "commit_id", "left_anti")
-        out = kept.unionByName(table.withColumn("row", F.col("column") - 1), allowMissingColumns=True)
+        out = kept.unionByName(table.withColumn("row", F.col("column")), allowMissingColumns=True)
     counts = texts.select("commit_id").distinct().join(found.groupBy("commit_id").agg(F.count("*").alias("text_entity_count")), "commit_id", "left")
     summary = counts.join(flags, "commit_id", "left").select(
         "commit_id", F.lit(category).alias("category"), F.coalesce("text_entity_count", F.lit(0)).cast("long").alias("text_entity_count"), F.coalesce("row_count", F.lit(0)).cast("long").alias("row_count"),
