@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plinth.operators import extraction as X, marks as K, records as RC, viewer
+from plinth.operators import extraction as X, labels as L, marks as K, records as RC, viewer
 from plinth.operators.relational import first_n
 from plinth.plans import views as V
 from plinth.plans.catalog import query
 from plinth.plans.cluster_queries import LEADERS
+from plinth.plans.reading_queries import TITLES, titles
 from plinth.session import table
 
 #: Texts at events' places: three in four name a member, the others are sizes; blanks stand before some.
@@ -211,3 +212,40 @@ def project_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     sessions = table(spark, sf_dir, "events").select(i.alias("id"), F.col("user_id").alias("project_id"), F.col("ts").alias("started_at"), F.when(i % 3 == 0, F.col("ts")).alias("ended_at"))
     return RC.listed_sessions(sessions, 3, active_only=True).select("id", "started_at")
+
+
+PLACED = f"SELECT l_suppkey AS commit_id, CASE WHEN k IN (2, 11, 12, 14, 17, 19) THEN 100.0 + l_orderkey % 300 ELSE CAST(l_orderkey % 30000 AS DOUBLE) END AS x, k FROM ({TITLES}) WHERE k NOT IN (2, 11, 12, 14, 17, 19) OR l_suppkey % 3 > 0"
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, left = F.col("l_orderkey"), F.col("k").isin(2, 11, 12, 14, 17, 19)
+    x = F.when(left, (o % 300 + 100).cast("double")).otherwise((o % 30000).cast("double"))
+    return titles(spark, sf_dir).filter(~left | (F.col("l_suppkey") % 3 > 0)).select(F.col("l_suppkey").alias("commit_id"), x.alias("x"), "text")
+
+
+def _splits(df: DataFrame) -> DataFrame:
+    c = F.col("commit_id")
+    return df.select("commit_id").distinct().select("commit_id", (c % 5 * 4000 + 500).cast("double").alias("boundary"), F.when(c % 2 == 0, "left_ratio").otherwise("x_gap").alias("mode"))
+
+
+@query(f"""
+WITH d AS ({PLACED}), s AS (SELECT DISTINCT commit_id, CAST(commit_id % 5 * 4000 + 500 AS DOUBLE) AS b, CASE WHEN commit_id % 2 = 0 THEN 'left_ratio' ELSE 'x_gap' END AS m FROM d),
+g AS (SELECT commit_id, any_value(b) AS b, any_value(m) AS m, count(*) AS n, min(x) AS x0, max(x) AS x1, list(x ORDER BY x) FILTER (x <= b AND k IN (2, 11, 12, 14, 17, 19)) AS t, median(x) FILTER (x <= b AND k IN (2, 3, 6, 7, 8, 9, 11, 12, 13, 14, 16, 17, 18, 19)) AS med, count(*) FILTER (x <= b AND k IN (2, 3, 6, 7, 8, 9, 11, 12, 13, 14, 16, 17, 18, 19)) AS shorts FROM d JOIN s USING (commit_id) GROUP BY 1),
+e AS (SELECT *, CASE WHEN len(t) >= 5 THEN t[CAST(round_even(0.1 * (len(t) - 1), 0) AS INT) + 1] ELSE t[1] END AS lo, CASE WHEN len(t) >= 5 THEN t[CAST(round_even(0.9 * (len(t) - 1), 0) AS INT) + 1] ELSE t[len(t)] END AS hi, x1 - x0 AS span FROM g),
+c AS (SELECT *, CASE WHEN span >= 250 AND len(t) >= 1 AND hi - lo <= least(span * 0.45, greatest(b - x0, span * 0.02, 400) * 1.05, 12000) THEN hi + greatest(70, least(span * 0.024, 560)) END AS one, CASE WHEN shorts >= 5 THEN med + greatest(85, least(span * 0.028, 520)) END AS two FROM e),
+n AS (SELECT c.commit_id, any_value(c.n) AS n, any_value(b) AS b, any_value(m) AS m, any_value(CASE WHEN one < b - 0.5 THEN one END) AS one, any_value(CASE WHEN two < b - 0.5 THEN two END) AS two, count(*) FILTER (x <= one AND one < b - 0.5) AS l1, count(*) FILTER (x <= two AND two < b - 0.5) AS l2 FROM c JOIN d USING (commit_id) GROUP BY 1),
+f AS (SELECT *, one IS NOT NULL AND l1 >= 1 AND n - l1 >= greatest(4, n // 24) AS a, two IS NOT NULL AND l2 >= 1 AND n - l2 >= greatest(4, n // 24) AND m = 'left_ratio' AS z FROM n)
+SELECT commit_id, round(CASE WHEN a THEN one WHEN z THEN two ELSE b END, 6) AS boundary, CASE WHEN a THEN m || '|hdr_cluster' WHEN z THEN m || '|hdr_med_fallback' ELSE m END AS mode FROM f
+""")
+def tight_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _placed(spark, sf_dir)
+    return L.tight_boundaries(own, _splits(own)).withColumn("boundary", F.round("boundary", 6))
+
+
+@query(f"""
+WITH d AS ({PLACED}), g AS (SELECT commit_id, CAST(commit_id % 5 * 4000 + 500 AS DOUBLE) AS b, count(*) AS n, min(x) AS x0, max(x) AS x1, count(*) FILTER (x <= commit_id % 5 * 4000 + 500) AS m, min(x) FILTER (x <= commit_id % 5 * 4000 + 500) AS l0, max(x) FILTER (x <= commit_id % 5 * 4000 + 500) AS l1 FROM d GROUP BY 1)
+SELECT commit_id, n >= 10 AND m > 0 AND x1 - x0 >= 400 AND (l1 - l0 > (x1 - x0) * 0.3 OR l1 > x0 + (x1 - x0) * 0.33 OR (b - x0) / (x1 - x0) > 0.36 OR m > n * 0.45) AS is_bad FROM g
+""")
+def bad_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _placed(spark, sf_dir)
+    return L.bad_splits(own, _splits(own))
