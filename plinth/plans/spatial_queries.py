@@ -140,3 +140,38 @@ def section_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     shapes = V.shapes(spark, sf_dir).withColumn("points", F.array(corner("minx", "miny"), corner("maxx", "maxy")))
     return sections.analyzed(V.windows(spark, sf_dir), shapes, 1000.0)
+
+
+BLOCKS = "(VALUES (0, 'b0', 0.0, 0.0, 'LINE', 0.0, 0.0, 100.0, 40.0), (1, 'b1', 5.0, 5.0, 'CIRCLE', 10.0, 10.0, 30.0, 30.0), (1, 'b1', 5.0, 5.0, 'LINE', 0.0, 0.0, 50.0, 0.0), (2, 'b2', 0.0, 0.0, 'HATCH', -20.0, -20.0, 20.0, 20.0)) b(def_id, name, bx, by_, kind, px, py, qx, qy)"
+
+
+@query(f"""
+WITH i AS (SELECT l_extendedprice AS ix, l_discount * 1000 AS iy, radians((l_linenumber - 1) * 15.0) AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey % 3 END AS block_def_id, 'b' || (l_suppkey % 4) AS name FROM lineitem),
+p AS (SELECT kind, ix, iy, a, unnest([0, 1]) AS k, (px - bx) * 2.0 AS px, (py - by_) * 0.5 AS py, (qx - bx) * 2.0 AS qx, (qy - by_) * 0.5 AS qy, row_number() OVER () AS r FROM i JOIN {BLOCKS} ON b.def_id = i.block_def_id OR (i.block_def_id IS NULL AND b.name = i.name)),
+m AS (SELECT kind, r, ix + CASE WHEN k = 0 THEN px ELSE qx END * cos(a) - CASE WHEN k = 0 THEN py ELSE qy END * sin(a) AS x, iy + CASE WHEN k = 0 THEN px ELSE qx END * sin(a) + CASE WHEN k = 0 THEN py ELSE qy END * cos(a) AS y FROM p),
+s AS (SELECT kind, r, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy FROM m GROUP BY 1, 2), w AS ({V.WINDOWS})
+SELECT window_id, kind AS entity_type, count(*) AS n FROM s JOIN w ON minx <= x1 AND maxx >= x0 AND miny <= y1 AND maxy >= y0 GROUP BY 1, 2
+""")
+def block_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, p, s = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    inserts = table(spark, sf_dir, "lineitem").select(
+        F.lit(1).alias("commit_id"), (F.col("l_orderkey") * 10 + n).alias("id"), F.when(n % 2 == 0, (p % 3).cast("int")).alias("block_def_id"), F.concat(F.lit(" b"), (s % 4).cast("string")).alias("block_name"),
+        F.col("l_extendedprice").alias("insert_x"), (F.col("l_discount") * 1000).alias("insert_y"), ((n - 1) * 15).cast("double").alias("rotation"), F.lit(2.0).alias("scale_x"), F.lit(0.5).alias("scale_y"),
+    )
+    member = lambda kind, *xy: (kind, "0", False, [(float(x), float(y)) for x, y in xy])
+    rows = [
+        (1, 0, "b0", 0.0, 0.0, [member("LINE", (0, 0), (100, 40)), ("TEXT", "0", False, [(0.0, 0.0)])]), (1, 1, "b1", 5.0, 5.0, [member("circle", (10, 10), (30, 30)), member(" ", (0, 0), (50, 0)), ("LINE", "0", True, [(0.0, 0.0)])]),
+        (1, 2, "b2", 0.0, 0.0, [member("HATCH", (-20, -20), (20, 20)), member("LINE")]), (1, 3, "b9", 0.0, 0.0, None), (1, 7, "b0", 9.0, 9.0, [member("ARC", (0, 0))]),
+    ]
+    definitions = spark.createDataFrame(rows, "commit_id int, id int, name string, base_x double, base_y double, members array<struct<entity_type:string,layer:string,from_dimension:boolean,points:array<struct<x:double,y:double>>>>")
+    shapes = P.block_shapes(inserts, definitions)
+    return P.window_join(V.windows(spark, sf_dir), shapes, 200.0).groupBy("window_id", "entity_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH d AS ({V.POINTS}), t AS (SELECT id, x * 500 AS x, y, CAST(id % 6000 AS VARCHAR) AS text FROM d), w AS ({V.WINDOWS})
+SELECT window_id, id, x, y, CAST(text AS INT) AS mm FROM t JOIN w ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 WHERE length(text) BETWEEN 2 AND 4 AND CAST(text AS INT) BETWEEN 100 AND 4000
+""")
+def dimension_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit(" "), (F.col("id") % 6000).cast("string"), F.lit("\nnote 7"))
+    return P.dimension_numbers(V.points(spark, sf_dir).withColumn("x", F.col("x") * 500).withColumn("text", text), V.windows(spark, sf_dir), 500.0)
