@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -89,6 +90,49 @@ def records(text: str) -> list[Record]:
     return out
 
 
+BINARY = b"AutoCAD Binary DXF\r\n\x1a\x00"
+#: Ranges of group codes and how a binary file writes their values.
+VALUES = [
+    (0, 9, "text"), (10, 59, "<d"), (60, 79, "<h"), (90, 99, "<i"), (100, 109, "text"), (110, 149, "<d"), (160, 169, "<q"), (170, 179, "<h"), (210, 239, "<d"), (270, 289, "<h"), (290, 299, "<b"),
+    (300, 309, "text"), (310, 319, "chunk"), (320, 369, "text"), (370, 389, "<h"), (390, 399, "text"), (400, 409, "<h"), (410, 419, "text"), (420, 429, "<i"), (430, 439, "text"), (440, 459, "<i"), (460, 469, "<d"),
+    (470, 481, "text"), (999, 1003, "text"), (1004, 1004, "chunk"), (1005, 1009, "text"), (1010, 1059, "<d"), (1060, 1070, "<h"), (1071, 1071, "<i"),
+]
+
+
+def binary_records(content: bytes) -> list[Record]:
+    """Records of a binary drawing. Its group codes are of two bytes, or of one where the first pair tells so; what follows a
+    code that no range holds, or is cut off, is left."""
+    at, out = len(BINARY), []
+    wide = content[at : at + 2] == b"\0\0"  # the first code is 0, and its text isn't empty
+    while at < len(content):
+        if wide:
+            code = int.from_bytes(content[at : at + 2], "little")
+            at += 2
+        elif content[at] == 255:
+            code = int.from_bytes(content[at + 1 : at + 3], "little")
+            at += 3
+        else:
+            code, at = content[at], at + 1
+        kind = next((k for low, high, k in VALUES if low <= code <= high), None)
+        if kind == "text":
+            end = content.find(b"\0", at)
+            if end < 0:
+                break
+            value, at = decoded(content[at:end]), end + 1
+        elif kind == "chunk" and at < len(content):
+            size = content[at]
+            value, at = content[at + 1 : at + 1 + size].hex().upper(), at + 1 + size
+        elif kind and kind != "chunk" and at + struct.calcsize(kind) <= len(content):
+            value, at = str(struct.unpack_from(kind, content, at)[0]), at + struct.calcsize(kind)
+        else:
+            break
+        if code == 0:
+            out.append(Record(value.strip().upper(), []))
+        elif out:
+            out[-1].tags.append((code, value))
+    return out
+
+
 @dataclass
 class Drawing:
     layers: dict[str, Record] = field(default_factory=dict)
@@ -98,7 +142,7 @@ class Drawing:
     @classmethod
     def parse(cls, content: bytes) -> Drawing:
         out, section, block, holder = cls(), None, None, None
-        for r in records(decoded(content)):
+        for r in binary_records(content) if content.startswith(BINARY) else records(decoded(content)):
             if r.kind == "SECTION":
                 section = (r.text(2) or "").upper()
             elif r.kind == "ENDSEC":
@@ -207,6 +251,45 @@ def area(points: list[Point]) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1])) / 2 if len(points) >= 3 else 0.0
 
 
+def spline(record: Record, steps: int = 8) -> list[Point]:
+    """A spline's points: its fit points; else, where knots and control points agree, points of the curve, ``steps`` for each
+    span of knots (de Boor's scheme, with weights); else its control points."""
+    fit, control, degree = record.points(11), record.points(10), record.whole(71, 3)
+    knots, weights = ([float(v) for c, v in record.tags if c == code] for code in (40, 41))
+    if fit or not 1 <= degree < len(control) or len(knots) != len(control) + degree + 1:
+        return fit or control
+    weights = weights if len(weights) == len(control) and min(weights) > 0 else [1.0] * len(control)
+
+    def point(t: float, k: int) -> Point:
+        d = [(control[j][0] * weights[j], control[j][1] * weights[j], weights[j]) for j in range(k - degree, k + 1)]
+        for r in range(1, degree + 1):
+            for j in range(degree, r - 1, -1):
+                low, high = knots[j + k - degree], knots[j + 1 + k - r]
+                a = (t - low) / (high - low) if high > low else 0.0
+                d[j] = tuple((1 - a) * p + a * q for p, q in zip(d[j - 1], d[j]))
+        x, y, w = d[degree]
+        return x / w, y / w
+
+    out: list[Point] = []
+    for k in range(degree, len(control)):
+        if knots[k + 1] > knots[k]:
+            out += [point(knots[k] + (knots[k + 1] - knots[k]) * i / steps, k) for i in range(steps)]
+            last = point(knots[k + 1], k)
+    return [*out, last] if out else control
+
+
+def wipeout(record: Record) -> list[Point]:
+    """A wipeout's closed boundary: its clip path (two corners of a rectangle, or a polygon) in units of its two sides."""
+    origin, u, v, clip = record.point(10), record.point(11), record.point(12), record.points(14)
+    if not (origin and u and v) or len(clip) < 2:
+        return []
+    if len(clip) == 2:
+        (a, b), (c, d) = clip
+        clip = [(a, b), (c, b), (c, d), (a, d)]
+    ring = [(origin[0] + u[0] * (x + 0.5) + v[0] * (0.5 - y), origin[1] + u[1] * (x + 0.5) + v[1] * (0.5 - y)) for x, y in clip]
+    return ring if ring[0] == ring[-1] else [*ring, ring[0]]
+
+
 def geometry(record: Record) -> list[Point]:
     """Points of an entity in its own coordinates; none for what has no geometry."""
     kind = record.kind
@@ -232,7 +315,9 @@ def geometry(record: Record) -> list[Point]:
         b = b + 2 * math.pi if b <= a else b
         return [(center[0] + major[0] * math.cos(t) - major[1] * ratio * math.sin(t), center[1] + major[1] * math.cos(t) + major[0] * ratio * math.sin(t)) for t in (a + (b - a) * i / 32 for i in range(33))]
     if kind == "SPLINE":
-        return record.points(11) or record.points(10)
+        return spline(record)
+    if kind == "WIPEOUT":
+        return wipeout(record)
     if kind in ("SOLID", "3DFACE"):
         p = [q for q in map(record.point, (10, 11, 12, 13)) if q]
         if kind == "SOLID" and len(p) == 4:
@@ -336,7 +421,9 @@ def props_of(record: Record, matrix: Matrix) -> dict[str, str]:
 
 
 #: What the scan reads as entities.
-SUPPORTED = {"LINE", "LWPOLYLINE", "POLYLINE", "ARC", "CIRCLE", "ELLIPSE", "SPLINE", "3DFACE", "SOLID", "TEXT", "MTEXT", "POINT", "HATCH"}
+SUPPORTED = {"LINE", "LWPOLYLINE", "POLYLINE", "ARC", "CIRCLE", "ELLIPSE", "SPLINE", "3DFACE", "SOLID", "TEXT", "MTEXT", "POINT", "HATCH", "WIPEOUT"}
+#: Members of a block that are rows; of larger blocks the number alone is.
+MOST_MEMBERS = 5000
 
 NAMES = ["row_kind", "seq", "entity_type", "layer", "color", "points", "cx", "cy", "minx", "miny", "maxx", "maxy", "props", "block_name", "insert_key", "block_path", "x", "y", "rotation", "scale_x", "scale_y", "tag", "value", "n"]
 SCHEMA = (
@@ -445,6 +532,10 @@ class Scanner:
             head, members = drawing.blocks.get(name, (None, []))
             x, y = (head.point(10) if head else None) or (0.0, 0.0)
             yield self.row("block", block_name=name, x=x, y=y, n=len(members))
+            for record in members if len(members) <= MOST_MEMBERS else ():
+                if record.kind in SUPPORTED:
+                    for r in self.entity(record, IDENTITY, record.text(8, "0"), self.color(record, None), None, None):
+                        yield r | {"row_kind": "member", "block_name": name}
         for kind, n in sorted(skipped.items()):
             yield self.row("skipped", entity_type=kind, n=n)
 
@@ -461,7 +552,7 @@ class Scanner:
 
 def scan(files: DataFrame, skip_off_layers: bool = False) -> DataFrame:
     """Rows of all drawings in ``files`` (path, content), told apart by ``row_kind``: layer, entity, insert, attribute,
-    block, skipped. A file that isn't a drawing gives one row of kind ``error``."""
+    block, member (of a block, in its own coordinates), skipped. A file that isn't a drawing gives one row of kind ``error``."""
     ship(files.sparkSession)
     kinds = pa.schema([("path", pa.string()), *((f.name, f.type) for f in _arrow_schema())])
 

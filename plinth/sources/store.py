@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Members of a block that are stored; larger ones keep their number only.
-MOST_MEMBERS = 5000
+from plinth.sources.dxf import MOST_MEMBERS
 
 
 def entities_of(rows: DataFrame, commit_id: Column) -> DataFrame:
@@ -16,10 +15,15 @@ def entities_of(rows: DataFrame, commit_id: Column) -> DataFrame:
 
 
 def blocks_of(rows: DataFrame, commit_id: Column) -> DataFrame:
-    """The first definition of each name."""
-    own = rows.filter("row_kind = 'block'").withColumn("commit_id", commit_id)
-    first = own.withColumn("_n", F.row_number().over(Window.partitionBy("commit_id", "block_name").orderBy("seq"))).filter("_n = 1")
-    return first.select("commit_id", "block_name", F.col("x").alias("base_x"), F.col("y").alias("base_y"), F.col("n").alias("entity_count"), (F.col("n") <= MOST_MEMBERS).alias("has_entities"))
+    """The first definition of each name, numbered by its row, with its members (null for blocks of more than
+    ``MOST_MEMBERS``), as ``spatial.block_shapes`` takes them."""
+    own = rows.withColumn("commit_id", commit_id)
+    fields = [F.col("seq").alias("id"), F.col("x").alias("base_x"), F.col("y").alias("base_y"), F.col("n").alias("entity_count")]
+    first = own.filter("row_kind = 'block'").groupBy("commit_id", "block_name").agg(F.min_by(F.struct(*fields), "seq").alias("d"))
+    member = F.struct("seq", "entity_type", "layer", F.lit(False).alias("from_dimension"), "points")
+    members = own.filter("row_kind = 'member'").groupBy("commit_id", "block_name").agg(F.array_sort(F.collect_list(member)).alias("members"))  # bounded by MOST_MEMBERS
+    small = F.when(F.col("d.entity_count") <= MOST_MEMBERS, F.coalesce("members", F.array().cast(members.schema["members"].dataType)))
+    return first.join(members, ["commit_id", "block_name"], "left").select("commit_id", "d.id", F.col("block_name").alias("name"), "d.base_x", "d.base_y", "d.entity_count", small.alias("members"))
 
 
 def inserts_of(rows: DataFrame, commit_id: Column) -> DataFrame:

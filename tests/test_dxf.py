@@ -99,3 +99,56 @@ def test_scan_and_tables(spark, tmp_path):
 @pytest.mark.parametrize("raw,plain", [("a\\Pb", "a\nb"), ("{\\fArial|b0;x} %%c5%%d", "x ⌀5°"), ("\\S1^2; \\\\", "1/2 \\")])
 def test_plain_text(raw, plain):
     assert dxf.plain_text(raw, "MTEXT") == plain
+
+
+def as_binary(content):
+    """The same drawing as a binary file."""
+    import struct
+
+    lines, out = content.decode().splitlines(), [dxf.BINARY]
+    for code, value in zip(lines[::2], lines[1::2]):
+        code = int(code)
+        kind = next(k for low, high, k in dxf.VALUES if low <= code <= high)
+        out.append(code.to_bytes(2, "little"))
+        out.append(value.encode() + b"\0" if kind == "text" else struct.pack(kind, float(value) if kind == "<d" else int(value)))
+    return b"".join(out)
+
+
+def test_binary_files_read_as_text_ones():
+    layers = tags((0, "LAYER"), (2, "벽체"), (70, 0), (62, -7))
+    circle = tags((0, "CIRCLE"), (8, "벽체"), (62, 3), (10, 1.5), (20, 2), (40, 4))
+    content = drawing(TEXT + circle, layers)
+    assert rows(as_binary(content)) == rows(content) and len(entities(content)) == 2
+    assert len(entities(as_binary(content)[:-40])) >= 1  # cut off
+
+
+def test_splines_follow_their_curve():
+    knots = tags(*((40, k) for k in (0, 0, 0, 0, 1, 1, 1, 1)))
+    control = tags((10, 0), (20, 0), (10, 0), (20, 3), (10, 3), (20, 3), (10, 3), (20, 0))
+    (only,) = entities(drawing(tags((0, "SPLINE"), (8, "0"), (71, 3)) + knots + control))
+    points = [(p["x"], p["y"]) for p in only["points"]]
+    assert points[0] == (0, 0) and points[-1] == (3, 0) and points[4] == pytest.approx((1.5, 2.25)) and len(points) == 9
+    fit = tags((11, 1), (21, 1), (11, 2), (21, 2))
+    (only,) = entities(drawing(tags((0, "SPLINE"), (8, "0"), (71, 3)) + knots + control + fit))
+    assert [(p["x"], p["y"]) for p in only["points"]] == [(1, 1), (2, 2)]
+
+
+def test_wipeouts_are_closed():
+    clip = tags((0, "WIPEOUT"), (8, "0"), (10, 10), (20, 20), (11, 4), (21, 0), (12, 0), (22, 2), (14, -0.5), (24, -0.5), (14, 0.5), (24, 0.5))
+    (only,) = entities(drawing(clip))
+    assert [(p["x"], p["y"]) for p in only["points"]] == [(10, 22), (14, 22), (14, 20), (10, 20), (10, 22)]
+
+
+def test_blocks_keep_their_members(spark):
+    line = tags((0, "LINE"), (8, "0"), (10, 0), (20, 0), (11, 5), (21, 0))
+    block = tags((0, "BLOCK"), (2, "B"), (10, 1), (20, 2)) + line + TEXT + tags((0, "ENDBLK"))
+    insert = tags((0, "INSERT"), (8, "0"), (2, "B"), (10, 100), (20, 50), (41, 2))
+    found = dxf.scan(spark.createDataFrame([("a.dxf", drawing(insert, blocks=block))], "path string, content binary"))
+    blocks = store.blocks_of(found, F.lit(7))
+    (b,) = blocks.collect()
+    assert (b.commit_id, b.name, b.base_x, b.base_y, b.entity_count, [m.entity_type for m in b.members]) == (7, "B", 1.0, 2.0, 2, ["LINE", "TEXT"])
+    from plinth.operators.spatial import block_shapes
+
+    inserts = store.inserts_of(found, F.lit(7)).withColumn("block_def_id", F.lit(None).cast("long"))
+    (shape,) = block_shapes(inserts, blocks).collect()
+    assert [(p.x, p.y) for p in shape.points] == [(98.0, 48.0), (108.0, 48.0)]
