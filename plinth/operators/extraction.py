@@ -6,7 +6,7 @@ from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plinth.operators import beams, columns, schedules
+from plinth.operators import beams, columns, schedules, vertical
 from plinth.operators.records import CATEGORIES
 from plinth.operators.relational import Box, Selection, normalized, parsed_boxes, text_items
 from plinth.session import spare
@@ -105,6 +105,8 @@ def numbered_duplicates(rows: DataFrame, category: str, index: str = "row") -> D
 
 def records(texts: DataFrame, category: str, config: ExtractionConfig) -> DataFrame:
     """The records of each drawing's selected texts, numbered by ``row`` from 0, with the fields of their category."""
+    if category == "beam" and config.beam_layout.startswith("vertical"):
+        return vertical.vertical_schedule(texts, config.beam_band_y_tol or config.column_band_y_tol, config.column_strip_gap)
     if category == "beam":
         return beams.beam_schedule(texts, config.y_tolerance, config.beam_layout)
     if category == "column" and config.column_layout == "vertical_blocks":

@@ -231,3 +231,17 @@ def project_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.when(o % 3 == 0, F.concat(F.lit('{"k": '), _t(c), F.when(c % 2 == 0, ', "f": "y"').otherwise(""), F.lit("}"))).when(o % 3 == 1, " ").otherwise("null")
     out = table(spark, sf_dir, "orders").select(o.alias("id"), RC.project_code("P", F.col("o_orderdate"), o).alias("code"), RC.form_json(form, "k int, f string").alias("j"))
     return out.select("id", "code", "j.k", F.col("j.f").alias("flag"))
+
+
+@query(f"""
+SELECT {COLS}, CASE WHEN l_linenumber % 2 = 0 THEN 'C' || l_partkey ELSE 'note ' || l_suppkey END AS mark, CASE WHEN l_linenumber > 3 THEN repeat('wide section ', 4) || l_suppkey ELSE '' END AS section, l_suppkey || 'x' || l_partkey AS size,
+    CASE WHEN l_linenumber = 5 THEN 'fck = ' || l_suppkey || 'MPa' ELSE '' END AS strength, (l_partkey % 9) || '-D' || (l_suppkey % 30) AS main_bar, 'D10 @' || l_suppkey AS mid_hoop, CASE WHEN l_linenumber = 1 THEN 'D10@' || l_partkey ELSE '' END AS end_hoop FROM lineitem
+""")
+def slot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, p, s = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    size = F.concat(_t(s), F.lit("x"), _t(p))
+    texts = F.array(
+        F.lit(" "), F.lit("NAME"), F.when(n % 2 == 0, F.concat(F.lit("C"), _t(p))).otherwise(F.concat(F.lit("note "), _t(s))), size, F.concat(size, F.lit("0")), F.when(n == 5, F.concat(F.lit("fck = "), _t(s), F.lit("MPa"))).otherwise(""),
+        F.concat(_t(p % 9), F.lit("-D"), _t(s % 30)), F.lit("9-D99"), F.concat(F.lit("D10 @"), _t(s)), F.when(n == 1, F.concat(F.lit("D10@"), _t(p))).otherwise("x"), F.when(n > 3, F.concat(F.expr("repeat('wide section ', 4)"), _t(s))).otherwise(F.lit(None)),
+    )
+    return table(spark, sf_dir, "lineitem").select(*KEYS, M.slot_record(texts).alias("r")).select(*KEYS, *(f"r.{x}" for x in M.SLOTS))
