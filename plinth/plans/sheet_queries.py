@@ -11,6 +11,7 @@ from plinth.plans.catalog import query
 from plinth.plans.cluster_queries import LEADERS
 from plinth.plans.reading_queries import TITLES, titles
 from plinth.session import table
+from plinth.sources import store
 
 #: Texts at events' places: three in four name a member, the others are sizes; blanks stand before some.
 MARKS = f"SELECT commit_id, id, x, y, CASE WHEN id % 4 = 0 THEN CAST(id % 900 + 100 AS VARCHAR) ELSE repeat(' ', CAST(id % 2 AS INT)) || upper(substring(entity_type, 1, 1)) || CAST(id % 40 AS VARCHAR) END AS text FROM ({V.POINTS})"
@@ -249,3 +250,37 @@ SELECT commit_id, n >= 10 AND m > 0 AND x1 - x0 >= 400 AND (l1 - l0 > (x1 - x0)
 def bad_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _placed(spark, sf_dir)
     return L.bad_splits(own, _splits(own))
+
+
+@query("""
+WITH t AS (SELECT c_custkey AS id, c_name AS email FROM customer), r AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') WHEN s_suppkey % 3 = 0 THEN 'same' ELSE s_name END AS email FROM supplier),
+f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY id) AS n FROM r), ok AS (SELECT * FROM f WHERE n = 1 AND email NOT IN (SELECT email FROM t))
+SELECT id, email FROM t UNION ALL SELECT (SELECT max(id) FROM t) + row_number() OVER (ORDER BY id), email FROM ok
+""")
+def users_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("email"))
+    email = F.when(s % 2 == 0, F.concat(F.lit("Customer#"), F.lpad(s.cast("string"), 9, "0"))).when(s % 3 == 0, "same").otherwise(F.col("s_name"))
+    added, _ = RC.added(users, table(spark, sf_dir, "supplier").select(s.alias("id"), email.alias("email")), "email")
+    return added
+
+
+@query("""
+SELECT 'f' || l_suppkey AS path, kind, count(*) AS n FROM (SELECT l_suppkey, CASE WHEN l_linenumber IN (1, 2) THEN 'TEXT' WHEN l_linenumber = 3 THEN 'LINE' WHEN l_linenumber = 4 AND l_partkey % 2 = 0 THEN 'BLOCK' END AS kind FROM lineitem) WHERE kind IS NOT NULL GROUP BY 1, 2
+""")
+def scan_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    kind = F.when(n <= 3, "entity").when(n == 4, "block").otherwise("insert")
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("path"), kind.alias("row_kind"), F.when(n <= 2, "TEXT").otherwise("LINE").alias("entity_type"), F.when(p % 2 == 0, "B1").otherwise("*U1").alias("block_name"))
+    return store.statistics(rows)
+
+
+@query("""
+SELECT l_suppkey AS commit_id, CAST(l_partkey % 40 AS BIGINT) AS insert_id, 'T' || l_linenumber AS tag, CAST(l_orderkey AS VARCHAR) AS value FROM lineitem WHERE l_linenumber > 2 AND (l_suppkey, l_partkey % 40) IN (SELECT l_suppkey, l_partkey % 40 FROM lineitem WHERE l_linenumber = 1)
+""")
+def insert_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, key = F.col("l_linenumber"), (F.col("l_partkey") % 40).cast("long")
+    kind = F.when(n == 1, "insert").when(n == 2, "entity").otherwise("attribute")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("c"), kind.alias("row_kind"), key.alias("insert_key"), F.concat(F.lit("T"), n.cast("string")).alias("tag"), F.col("l_orderkey").cast("string").alias("value"))
+    inserts = rows.filter("row_kind = 'insert'").select(F.col("c").alias("commit_id"), F.col("insert_key").alias("id"))
+    return store.attributes_of(rows, inserts, F.col("c"))
