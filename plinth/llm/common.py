@@ -123,19 +123,27 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def differ(data: np.ndarray, at: np.ndarray, other: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether as many bytes of ``data`` from ``at`` on differ from those of ``other`` from ``to`` on, one by one."""
+    left, right = _eights(data), _eights(other) if other is not data else None
+    right = left if right is None else right
+    out, live = np.zeros(len(size), bool), np.flatnonzero((size > 0) & (size <= SHORT))
+    for low in range(0, SHORT, 8):
+        live = live[size[live] > low] if low else live
+        if not len(live):
+            break
+        out[live] |= ((left[at[live] + low] ^ right[to[live] + low]) & _FIRST[np.minimum(size[live] - low, 8)]) != 0
+    for k in np.flatnonzero(size > SHORT).tolist():
+        out[k] = not np.array_equal(data[at[k] : at[k] + size[k]], other[to[k] : to[k] + size[k]])
+    return out
+
+
 def unequal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether the bytes of spans i and j differ, one by one."""
     size = (ends - starts)[i]
     out = size != (ends - starts)[j]
-    eights, live = _eights(data), np.flatnonzero(~out & (size <= SHORT))
-    for low in range(0, SHORT, 8):
-        live = live[size[live] > low]
-        if not len(live):
-            break
-        out[live] |= ((eights[starts[i[live]] + low] ^ eights[starts[j[live]] + low]) & _FIRST[np.minimum(size[live] - low, 8)]) != 0
-    for k in np.flatnonzero(~out & (size > SHORT)).tolist():
-        a, b = int(starts[i[k]]), int(starts[j[k]])
-        out[k] = not np.array_equal(data[a : a + size[k]], data[b : b + size[k]])
+    same = np.flatnonzero(~out)
+    out[same] = differ(data, starts[i[same]], data, starts[j[same]], size[same])
     return out
 
 

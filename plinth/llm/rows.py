@@ -11,6 +11,7 @@ row, and a row that isn't where it was is an error, not a wrong result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,11 +51,25 @@ def _place(folder: str, part: int) -> str:
 def decided(decisions: DataFrame) -> str:
     """Write decisions (``row``, ``check``, any more columns; a row once) by partition; the folder they are in.
 
-    A file's name and rows are the same in every attempt, so a task that is run again writes the same file again."""
+    A file's name and rows are the same in every attempt, so a task that is run again writes the same file again. It's written
+    under another name and then renamed, so an attempt that is killed leaves no part of it."""
     folder = scratch_path(decisions.sparkSession, "decisions")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, sink, out, n = -1, None, None, 0
+        part, sink, out, n, where = -1, None, None, 0, None
+
+        def close() -> None:
+            out.close()
+            sink.close()
+            system, place = where
+            try:
+                system.move(f"{place}.{mark}", place)
+            except OSError:  # where a rename doesn't replace: another attempt was first
+                if system.get_file_info(place).type == fs.FileType.NotFound:
+                    raise
+                system.delete_file(f"{place}.{mark}")
+
+        mark = uuid.uuid4().hex
         try:
             for batch in batches:
                 own = batch.column(0).to_numpy() // SPAN
@@ -63,16 +78,19 @@ def decided(decisions: DataFrame) -> str:
                         continue
                     if own[a] != part:
                         if out:
-                            out.close(), sink.close()
+                            close()
                         part = int(own[a])
-                        system, place = opened(_place(folder, part))
+                        system, place = where = opened(_place(folder, part))
                         system.create_dir(place.rpartition("/")[0], recursive=True)
-                        sink = system.open_output_stream(place, compression=None)
+                        sink = system.open_output_stream(f"{place}.{mark}", compression=None)
                         out, n = ipc.new_stream(sink, batch.schema), n + 1
                     out.write_batch(batch.slice(a, b - a))
-        finally:
-            if out:
-                out.close(), sink.close()
+        except BaseException:
+            if sink:
+                sink.close()
+            raise
+        if out:
+            close()
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["files"])
 
     dealt = decisions.withColumn("_part", F.expr(f"row div {SPAN}")).repartition("_part").sortWithinPartitions("_part", "row").drop("_part")

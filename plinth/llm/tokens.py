@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plinth.llm.common import distinct_spans, groups, prepare, tidy, utf8
+from plinth.llm.common import differ, distinct_spans, groups, prepare, span_hashes, tidy, utf8
 from plinth.llm.files import new_file, old_file
 from plinth.llm.huffman import BLOCK, Code, code_lengths
 from plinth.session import scratch_path, staged
@@ -40,12 +40,12 @@ class ChunkEncoder:
     A byte-level BPE first cuts a text by a pattern in which a run of letters, digits or signs takes one space before it
     along. So wherever one space stands between two characters that aren't white space, a cut is certain, and what is
     left and right of it is encoded as if it stood alone. (Cuts are made only where neighbouring bytes rule white space
-    beyond ASCII out, too; fewer cuts do no harm.) Chunks are known by their bytes; what a batch brings that isn't known is
-    encoded as one text, whose ids fall to the chunks by their sizes.
+    beyond ASCII out, too; fewer cuts do no harm.) Known chunks are looked up by a hash and compared by their bytes; what a batch
+    brings that isn't known is encoded as one text, whose ids fall to the chunks by their sizes.
     """
 
-    #: Bytes of known chunks, about; then all are forgotten.
-    MOST = 64 << 20
+    #: Known chunks; beyond that all are forgotten.
+    MOST = 2_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,8 +59,8 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}  # a chunk's number
-        self.held = 0
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes, ascending, and the chunk's number
+        self.text, self.begin = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # the bytes of all chunks by number
         self.edge, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint16 if len(self.size) <= 1 << 16 else np.int32)
 
     #: Bytes that are no white space by themselves; and those that may begin or end white space beyond ASCII.
@@ -77,8 +77,8 @@ class ChunkEncoder:
         left = self.PLAIN[before] | ((before >= 0x80) & (before < 0xC0) & self.LEAD[data[at - 2]])
         return at[left & (self.PLAIN[after] | self.LEAD[after])]
 
-    def learn(self, chunks: list[bytes], alone: np.ndarray) -> None:
-        """Encode chunks that aren't known; those marked alone may not stand before another one."""
+    def learn(self, chunks: list[bytes], alone: np.ndarray) -> np.ndarray:
+        """Encode chunks that aren't known; those marked alone may not stand before another one. Their numbers."""
         join = np.flatnonzero(~alone)
         text = b"".join([chunks[i] for i in join.tolist()]).decode()
         own = self.tokenizer.encode_batch_fast([text, *(chunks[i].decode() for i in np.flatnonzero(alone).tolist())], add_special_tokens=False)
@@ -92,14 +92,30 @@ class ChunkEncoder:
         count[join] = np.diff(last + 1, prepend=0)
         count[alone] = [len(x) for x in parts[1:]]
         order = np.concatenate([join, np.flatnonzero(alone)])
-        self.known.update((chunks[i], len(self.edge) - 1 + k) for k, i in enumerate(order.tolist()))
-        self.held += sum(map(len, chunks)) + 100 * len(chunks)
+        number = np.empty(len(chunks), np.int64)
+        number[order] = np.arange(len(self.edge) - 1, len(self.edge) - 1 + len(chunks))
         self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(count[order])])
         self.ids = np.concatenate([self.ids, *(x.astype(self.ids.dtype) for x in parts)])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join([chunks[i] for i in order.tolist()]), np.uint8)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(chunks[i]) for i in order.tolist()])])
+        return number
+
+    def known(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of chunks, -1 for those that aren't known, and which hashes are taken."""
+        if not len(self.keys):
+            return np.full(len(a), -1), np.zeros(len(a), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        number, taken = self.place[at].astype(np.int64), self.keys[at] == hashes
+        size = b - a
+        hit = np.flatnonzero(taken & (self.begin[number + 1] - self.begin[number] == size))
+        hit = hit[~differ(data, a[hit], self.text, self.begin[number[hit]], size[hit])]
+        out = np.full(len(a), -1)
+        out[hit] = number[hit]
+        return out, taken
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each ends. Texts are bytes between offsets."""
-        if self.held > self.MOST:
+        if len(self.edge) > self.MOST:
             self.clear()
         if not len(data):
             return self.ids[:0], np.zeros(len(offsets) - 1, np.int64)
@@ -112,18 +128,22 @@ class ChunkEncoder:
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
         code, first = distinct_spans(data, starts, ends)
-        raw, a, b = data.tobytes(), starts[first], ends[first]
-        chunks = [raw[i:j] for i, j in zip(a.tolist(), b.tolist())]
-        get = self.known.get
-        number = np.fromiter((get(x, -1) for x in chunks), np.int64, len(chunks))
+        a, b = starts[first], ends[first]
+        hashes = span_hashes(data, a, b)
+        number, taken = self.known(data, a, b, hashes)
         new = np.flatnonzero(number < 0)
         if len(new):
             begins[:] = False
             begins[heads] = True
             # What stands at a text's head, or ends otherwise than a certain cut allows, isn't joined to others.
             alone = begins[a[new]] | ~(self.PLAIN[data[b[new] - 1]] | ((data[b[new] - 1] >= 0x80) & self.LEAD[data[np.maximum(b[new] - 2, 0)]]))
-            self.learn([chunks[i] for i in new.tolist()], alone)
-            number[new] = [get(chunks[i]) for i in new.tolist()]
+            raw = data.tobytes()
+            number[new] = self.learn([raw[i:j] for i, j in zip(a[new].tolist(), b[new].tolist())], alone)
+            # One chunk of each hash is found again; another with the same hash is encoded each time.
+            keys, pick = np.unique(hashes[new[~taken[new]]], return_index=True)
+            place = number[new[~taken[new]]][pick]
+            at = np.searchsorted(self.keys, keys)
+            self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, place.astype(np.int32))
         codes = number[code]
         begin = self.edge[codes]
         size = self.edge[codes + 1] - begin

@@ -41,6 +41,19 @@ def test_chunks_encode_as_whole_texts_do():
         assert own.encode(np.frombuffer(raw[i], np.uint8), np.array([0, len(raw[i])]))[0].tolist() == want[i]
 
 
+def test_weak_hashes_change_nothing(monkeypatch):
+    weak = lambda d, s, e: ((e - s) % 3).astype(np.uint64)
+    monkeypatch.setattr("plinth.llm.common.span_hashes", weak)
+    monkeypatch.setattr("plinth.llm.tokens.span_hashes", weak)
+    own, given = ChunkEncoder(FILE), [t or "" for t in texts() if not t or len(t) < 5000]
+    raw = [t.encode() for t in given]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, raw)))])
+    want = [x.ids for x in plain().encode_batch(given, add_special_tokens=False)]
+    for _ in range(2):
+        ids, ends = own.encode(data, offsets)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+
+
 @pytest.mark.parametrize("shard_ids", [16_000_000, 40_000])
 def test_files_round_trip(spark, shard_ids):
     given = texts()
