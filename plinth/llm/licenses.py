@@ -22,6 +22,7 @@ from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plinth.functions.signals import let
 from plinth.session import staged
 
 #: Notices, texts of short licences, and openings of long ones.
@@ -103,8 +104,8 @@ class Weights:
                 parts.setdefault(t, []).append(F.struct(F.lit(i).alias("i"), F.lit(w * w).alias("m")))
         table = F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*(F.array(*x) for x in parts.values())))
         met = F.flatten(F.filter(F.transform(F.array_distinct(tokens), lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull()))
-        mass = lambda i: F.aggregate(F.filter(met, lambda s: s["i"] == i), F.lit(0.0), lambda a, s: a + s["m"])
-        return F.exists(F.sequence(F.lit(0), F.lit(len(self.vectors) - 1)), lambda i: mass(i) >= threshold**2 - 1e-6)
+        mass = lambda m, i: F.aggregate(F.filter(m, lambda s: s["i"] == i), F.lit(0.0), lambda a, s: a + s["m"])
+        return let(met, lambda m: F.exists(F.sequence(F.lit(0), F.lit(len(self.vectors) - 1)), lambda i: mass(m, i) >= threshold**2 - 1e-6))
 
 
 def _tokens(text: Column) -> Column:
@@ -150,8 +151,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col
 
     names = F.array(*(F.lit(t) for t in sorted({t for t, *_ in at})))
     words = _tokens(F.col("text"))
-    some = files.withColumn("tokens", words).filter(F.arrays_overlap("tokens", names))
-    found = some.select("id", "path", F.explode(units(F.col("text"), F.col("tokens"), at)).alias("unit"))
+    # A text's tokens are made once: the optimizer would put their expression into every window's.
+    found = files.filter(F.arrays_overlap(words, names)).select("id", "path", F.explode(let(words, lambda tokens: units(F.col("text"), tokens, at))).alias("unit"))
     found = found.filter(weights.may_match(F.col("unit"), threshold))
     found = staged(found.withColumn("key", F.sha2(F.array_join("unit", " "), 256)), "license-units")
 
