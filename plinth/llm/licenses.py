@@ -95,18 +95,6 @@ class Weights:
             norm = sqrt(sum(w * w for w in weights.values()))
             self.vectors.append({t: w / norm for t, w in weights.items()})
 
-    def may_match(self, tokens: Column, threshold: float) -> Column:
-        """Whether the tokens cover enough of one template: the cosine is at most the norm of the template's part that a unit
-        shares, whatever else the unit holds."""
-        parts: dict[str, list[Column]] = {}
-        for i, vector in enumerate(self.vectors):
-            for t, w in vector.items():
-                parts.setdefault(t, []).append(F.struct(F.lit(i).alias("i"), F.lit(w * w).alias("m")))
-        table = F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*(F.array(*x) for x in parts.values())))
-        met = F.flatten(F.filter(F.transform(F.array_distinct(tokens), lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull()))
-        mass = lambda m, i: F.aggregate(F.filter(m, lambda s: s["i"] == i), F.lit(0.0), lambda a, s: a + s["m"])
-        return let(met, lambda m: F.exists(F.sequence(F.lit(0), F.lit(len(self.vectors) - 1)), lambda i: mass(m, i) >= threshold**2 - 1e-6))
-
 
 def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, UPPER.lower()), F.lit(f"({TOKEN})"), F.lit(1))
@@ -153,12 +141,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col
     words = _tokens(F.col("text"))
     # A text's tokens are made once: the optimizer would put their expression into every window's.
     found = files.filter(F.arrays_overlap(words, names)).select("id", "path", F.explode(let(words, lambda tokens: units(F.col("text"), tokens, at))).alias("unit"))
-    found = found.filter(weights.may_match(F.col("unit"), threshold))
     found = staged(found.withColumn("key", F.sha2(F.array_join("unit", " "), 256)), "license-units")
 
     idf = lambda n: F.log((1.0 + F.lit(weights.files)) / (1.0 + n)) + 1.0
     sides = spark.createDataFrame([(t, i, templates[i][0], w) for i, v in enumerate(weights.vectors) for t, w in v.items()], "token string, template int, license string, w double")
-    distinct = found.groupBy("key").agg(F.first("unit").alias("unit"))
+    # The cosine is at most the norm of a template's part that a unit shares, whatever else the unit holds.
+    parts = sides.select("token", "template", (F.col("w") * F.col("w")).alias("m"))
+    distinct = staged(found.groupBy("key").agg(F.first("unit").alias("unit")), "license-distinct")
+    mass = distinct.select("key", F.explode(F.array_distinct("unit")).alias("token")).join(F.broadcast(parts), "token").groupBy("key", "template").agg(F.sum("m").alias("m"))
+    distinct = distinct.join(mass.filter(F.col("m") >= threshold**2 - 1e-6).select("key").distinct(), "key", "left_semi")
     counts = distinct.select("key", F.explode("unit").alias("token")).groupBy("key", "token").agg(F.count("*").alias("m"))
     own = counts.join(seen, "token").select("key", "token", (F.col("m") * idf(F.col("n"))).alias("u"))
     own = staged(own, "license-weights")

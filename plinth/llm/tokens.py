@@ -45,7 +45,7 @@ class ChunkEncoder:
     """
 
     #: Known chunks; beyond that all are forgotten.
-    MOST = 2_000_000
+    MOST = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,8 +60,8 @@ class ChunkEncoder:
 
     def clear(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes, ascending, and the chunk's number
-        self.text, self.begin = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # the bytes of all chunks by number
-        self.edge, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint16 if len(self.size) <= 1 << 16 else np.int32)
+        self.text, self.begin = np.zeros(0, np.uint8), np.zeros(1, np.int32)  # the bytes of all chunks by number
+        self.edge, self.ids = np.zeros(1, np.int32), np.zeros(0, np.uint16 if len(self.size) <= 1 << 16 else np.int32)
 
     #: Bytes that are no white space by themselves; and those that may begin or end white space beyond ASCII.
     PLAIN = np.zeros(256, bool)
@@ -94,10 +94,10 @@ class ChunkEncoder:
         order = np.concatenate([join, np.flatnonzero(alone)])
         number = np.empty(len(chunks), np.int64)
         number[order] = np.arange(len(self.edge) - 1, len(self.edge) - 1 + len(chunks))
-        self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(count[order])])
+        self.edge = np.concatenate([self.edge, (self.edge[-1] + np.cumsum(count[order])).astype(np.int32)])
         self.ids = np.concatenate([self.ids, *(x.astype(self.ids.dtype) for x in parts)])
         self.text = np.concatenate([self.text, np.frombuffer(b"".join([chunks[i] for i in order.tolist()]), np.uint8)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(chunks[i]) for i in order.tolist()])])
+        self.begin = np.concatenate([self.begin, (self.begin[-1] + np.cumsum([len(chunks[i]) for i in order.tolist()])).astype(np.int32)])
         return number
 
     def known(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ class ChunkEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each ends. Texts are bytes between offsets."""
-        if len(self.edge) > self.MOST:
+        if len(self.edge) > self.MOST or max(len(self.text), len(self.ids)) + len(data) > 1 << 28:
             self.clear()
         if not len(data):
             return self.ids[:0], np.zeros(len(offsets) - 1, np.int64)
@@ -145,7 +145,7 @@ class ChunkEncoder:
             at = np.searchsorted(self.keys, keys)
             self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, place.astype(np.int32))
         codes = number[code]
-        begin = self.edge[codes]
+        begin = self.edge[codes].astype(np.int64)
         size = self.edge[codes + 1] - begin
         total = np.cumsum(size)
         pick = np.repeat(begin - (total - size), size) + np.arange(total[-1])
