@@ -6,7 +6,8 @@ long one. The weight of a token is its count times its inverse document frequenc
 A text's units are its lines, its paragraphs of several lines, and its windows: as many tokens as a template has, around each
 anchor of it. Anchors are a few of the template's telling tokens; where one stands in a text, the window begins so that the
 anchor has the place that it has in the template. So a notice is found within a long line, and a licence's opening within a
-whole licence file, whatever stands around them. Lines and paragraphs without any anchor aren't looked at. An exact bound spares
+whole licence file, whatever stands around them. Lines and paragraphs without any anchor, or much longer than any template,
+aren't looked at as such. An exact bound spares
 most of the rest: a unit reaches the threshold only if what it shares with a template has a norm of the threshold or more. Each
 distinct unit that is left is scored once, however many files carry it.
 
@@ -100,8 +101,15 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, UPPER.lower()), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def units(text: Column, tokens: Column, at: list[tuple[str, int, int]]) -> Column:
-    """The units of a text as arrays of tokens: lines and paragraphs of several lines with an anchor, and windows at anchors."""
+def longest(templates: list[tuple[str, str]]) -> int:
+    """The most tokens of a line or paragraph that is a unit: four times the longest template's. In longer ones windows alone
+    are looked at."""
+    return 4 * max((len(template_tokens(body)) for _, body in templates), default=0)
+
+
+def units(text: Column, tokens: Column, at: list[tuple[str, int, int]], most: int) -> Column:
+    """The units of a text as arrays of tokens: lines and paragraphs of several lines with an anchor and no more than so many
+    tokens, and windows at anchors."""
     names = F.array(*(F.lit(t) for t in sorted({t for t, *_ in at})))
     places: dict[str, list[Column]] = {}
     for t, place, size in at:
@@ -111,7 +119,7 @@ def units(text: Column, tokens: Column, at: list[tuple[str, int, int]]) -> Colum
     spans = F.flatten(F.transform(found, lambda x: F.transform(x["own"], lambda y: F.struct(F.greatest(x["i"] - y["place"], F.lit(0)).alias("from"), y["size"].alias("size")))))
     windows = F.transform(F.array_distinct(spans), lambda x: F.slice(tokens, x["from"] + 1, x["size"]))
     parts = F.concat(F.split(text, "\n"), F.filter(F.split(text, PARAGRAPH), lambda p: p.contains("\n")))
-    parts = F.filter(F.transform(parts, _tokens), lambda x: F.arrays_overlap(x, names))
+    parts = F.filter(F.transform(parts, _tokens), lambda x: (F.size(x) <= most) & F.arrays_overlap(x, names))
     return F.array_distinct(F.concat(parts, windows))
 
 
@@ -140,7 +148,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col
     names = F.array(*(F.lit(t) for t in sorted({t for t, *_ in at})))
     words = _tokens(F.col("text"))
     # A text's tokens are made once: the optimizer would put their expression into every window's.
-    found = files.filter(F.arrays_overlap(words, names)).select("id", "path", F.explode(let(words, lambda tokens: units(F.col("text"), tokens, at))).alias("unit"))
+    found = files.filter(F.arrays_overlap(words, names)).select("id", "path", F.explode(let(words, lambda tokens: units(F.col("text"), tokens, at, longest(templates)))).alias("unit"))
     found = staged(found.withColumn("key", F.sha2(F.array_join("unit", " "), 256)), "license-units")
 
     idf = lambda n: F.log((1.0 + F.lit(weights.files)) / (1.0 + n)) + 1.0
@@ -220,7 +228,7 @@ parts AS (
 words AS (SELECT doc_id, path, tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS i FROM files),
 units AS (
     SELECT DISTINCT doc_id, path, array_to_string(unit, ' ') AS unit FROM (
-        SELECT doc_id, path, unit FROM parts WHERE list_has_any(unit, (SELECT list(DISTINCT token) FROM anchors))
+        SELECT doc_id, path, unit FROM parts WHERE len(unit) <= {longest(templates)} AND list_has_any(unit, (SELECT list(DISTINCT token) FROM anchors))
         UNION ALL SELECT doc_id, path, tokens[greatest(i - place, 0) + 1 : greatest(i - place, 0) + size] FROM words JOIN anchors USING (token))
 ),
 distinct_units AS (SELECT DISTINCT unit FROM units),

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from plinth.llm.licenses import LICENSE_FILE, PARAGRAPH, TEMPLATES, THRESHOLD, TOKEN, Weights, anchors, scan
+from plinth.llm.licenses import LICENSE_FILE, PARAGRAPH, TEMPLATES, THRESHOLD, TOKEN, Weights, anchors, longest, scan
 
 
 def listed(text):
@@ -24,7 +24,7 @@ def brute(rows):
     own, known = {}, anchors(TEMPLATES)
     for i, path, text in rows:
         parts = [listed(x) for x in {*(text or "").split("\n"), *(p for p in re.split(PARAGRAPH, text or "") if "\n" in p)}]
-        units = {tuple(x) for x in parts if {t for t, *_ in known} & {*x}}
+        units = {tuple(x) for x in parts if {t for t, *_ in known} & {*x} and len(x) <= longest(TEMPLATES)}
         words = listed(text or "")
         at = {}
         for k, w in enumerate(words):
