@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plinth.llm import decontaminate, langid, licenses, pieces, quality, sharding, simhash, tokens, urls, warc
+from plinth.llm import decontaminate, divergence, langid, licenses, pieces, quality, sharding, simhash, tokens, urls, warc
 from plinth.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,11 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> original THE
     CASE WHEN page_id <> original THEN original END AS refers_to
 FROM rows LEFT JOIN best USING (payload_digest)
 """
+
+
+@_query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+ORACLE_SQL["op12_source_divergence"] = divergence.oracle()
