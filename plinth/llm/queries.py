@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plinth.llm import decontaminate, divergence, langid, licenses, maintext, pieces, quality, sharding, simhash, tokens, urls, warc
+from plinth.llm import decontaminate, divergence, langid, licenses, maintext, pieces, quality, repair, sharding, simhash, tokens, urls, warc
 from plinth.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,12 @@ ORACLE_SQL["op12_source_divergence"] = divergence.oracle()
 @_query
 def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(spread(table(spark, sf_dir, "pages")))
+
+
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(conversations), conversations)
+
+
+ORACLE_SQL["op11_conversation_repair"] = repair.oracle()
