@@ -4,9 +4,13 @@ A partial partition is a list of bins with sizes. Differencing takes the two par
 them oppositely ordered, the fullest bin of one with the emptiest of the other, until one is left.
 
 One law holds at every size: groups are dealt by a hash of their text into runs of about ``RUN``, as many as that takes, each
-run is differenced into ``BUNDLES`` bundles, and bundles are the groups of the next round; the last run, when all fit into one,
-is differenced into shards. Which run a group is in depends on the groups alone, not on how the table is cut. Bundles are small
-against a shard, so whatever a large group unbalances, bundles enough are there to even it out.
+run is differenced into bundles, and bundles are the groups of the next round; the last run, when all fit into one, is
+differenced into shards. Which run a group is in depends on the groups alone, not on how the table is cut.
+
+Bundles of one round are about equally large, so by themselves they'd leave shards a bundle apart. A hash puts a 32nd of the
+groups into a finer tier, and a 1024th into a finest one, which are bundled apart all the way. The last differencing takes the
+largest spreads first: coarse bundles even out what large groups unbalance, and each finer tier, whose bytes exceed a coarser
+bundle for each shard, what the coarser one left.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ SHARDS = 16
 #: Groups that are differenced together, and into how many bundles where that isn't the last time. The last run is the
 #: driver's: an id and a size for each of its groups.
 RUN, BUNDLES = 1 << 15, 1 << 11
+#: Of so many groups one is in the tier, from coarse to finest; the finer ones are differenced into a quarter of the bundles each.
+TIERS = (1, 32, 1024)
 #: Rows of a window that numbers slots.
 SLOTS = 50_000
 
@@ -76,24 +82,31 @@ def singles(sizes: list[int], bins: int) -> tuple[list[int], list[int]]:
 
 
 def bundled(groups: DataFrame, runs: int, bundles: int) -> DataFrame:
-    """(id, bundle, bytes) of groups (id, bytes), dealt by a hash of the id into runs that are differenced into bundles."""
+    """(id, bundle, bytes, tier) of groups (id, bytes, tier), dealt by a hash of the id into runs, each tier of which is differenced
+    into bundles."""
 
     def joined(key: tuple, table: pa.Table) -> pa.Table:
-        pairs = sorted(zip(table.column("id").to_pylist(), table.column("bytes").to_pylist()))
-        _, where = singles([x for _, x in pairs], min(bundles, len(pairs)))
-        return pa.table({"id": pa.array([i for i, _ in pairs], pa.string()), "bundle": pa.array([f"{key[0].as_py()}:{w}" for w in where], pa.string()), "bytes": pa.array([x for _, x in pairs], pa.int64())})
+        rows = sorted(zip(table.column("tier").to_pylist(), table.column("id").to_pylist(), table.column("bytes").to_pylist()))
+        names: list[str] = []
+        for tier in range(len(TIERS)):
+            sizes = [x for t, _, x in rows if t == tier]
+            bins = min(bundles if tier == 0 else max(bundles // 4, 1), len(sizes))
+            names += [f"{key[0].as_py()}:{tier}:{w}" for w in (singles(sizes, bins)[1] if sizes else [])]
+        return pa.table({"id": pa.array([i for _, i, _ in rows], pa.string()), "bundle": pa.array(names, pa.string()), "bytes": pa.array([x for _, _, x in rows], pa.int64()), "tier": pa.array([t for t, _, _ in rows], pa.int32())})
 
-    return groups.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs))).groupBy("run").applyInArrow(joined, "id string, bundle string, bytes bigint")
+    return groups.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs))).groupBy("run").applyInArrow(joined, "id string, bundle string, bytes bigint, tier int")
 
 
 def placed(groups: DataFrame, shards: int, run: int = RUN, bundles: int = BUNDLES) -> DataFrame:
     """(id, shard) of groups (id, bytes)."""
     spark, levels = groups.sparkSession, []
+    draw = F.pmod(F.xxhash64("id", F.lit("tier")), F.lit(TIERS[-1]))
+    groups = groups.select("id", "bytes", sum((draw < TIERS[-1] // t).cast("int") for t in TIERS[1:]).alias("tier"))
     while (n := groups.count()) > run:
         level = staged(bundled(groups, -(-n // run), bundles), "shard-bundles")
         levels.append(level.select("id", "bundle"))
         # A bundle is known by its round as well, so that hashes deal it anew.
-        groups = staged(level.groupBy(F.concat_ws("/", F.lit(str(len(levels))), "bundle").alias("id")).agg(F.sum("bytes").alias("bytes")), "shard-groups")
+        groups = staged(level.groupBy(F.concat_ws("/", F.lit(str(len(levels))), "bundle").alias("id"), "tier").agg(F.sum("bytes").alias("bytes")), "shard-groups")
     last = sorted((r["id"], r["bytes"]) for r in groups.collect())  # at most ``run``
     where = singles([s for _, s in last], shards)[1] if last else []
     out = spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in last], pa.string()), "shard": pa.array(where, pa.int32())}))
