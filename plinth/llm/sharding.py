@@ -16,6 +16,7 @@ bundle for each shard, what the coarser one left.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,9 +77,59 @@ def difference(parts: list[list[int]]) -> tuple[list[int], list[list[int]]]:
 
 
 def singles(sizes: list[int], bins: int) -> tuple[list[int], list[int]]:
-    """Difference single sizes: the joint bins' sizes, and the bin of each."""
-    joint, where = difference([[0] * (bins - 1) + [s] for s in sizes])
-    return joint, [w[-1] for w in where]
+    """Difference single sizes: the joint bins' sizes, ascending, and the bin of each.
+
+    The same joins as ``difference`` of partitions that have one bin in use each, in the space of what is in use. While bins are
+    empty, what joins a partition takes one of them; a single that joins a full one is a bin's new place; other joins
+    keep which bin became which, a few bytes a bin."""
+    heap: list[tuple[int, int, list[int]]] = [(-s if bins > 1 else 0, i, [s]) for i, s in enumerate(sizes)]
+    heapq.heapify(heap)
+    # A node is the items of a partition with a bin for each; or (node, item, place); or (node, node, order).
+    nodes: dict[int, object] = {i: [i] for i in range(len(sizes))}
+    made = len(sizes)
+    while len(heap) > 1:
+        _, i, x = heapq.heappop(heap)
+        _, j, y = heapq.heappop(heap)
+        left, right = nodes.pop(i), nodes.pop(j)
+        if len(x) < len(y):
+            x, y, left, right = y, x, right, left
+        if len(x) + len(y) <= bins and isinstance(left, list) and isinstance(right, list):
+            for item, size in zip(right, y):
+                at = bisect_left(x, size)
+                x.insert(at, size)
+                left.insert(at, item)
+            node, sizes_now = left, x
+        elif len(y) == 1 and len(x) == bins and isinstance(right, list):
+            size = x.pop(0) + y[0]
+            at = bisect_left(x, size)
+            x.insert(at, size)
+            node, sizes_now = (left, right[0], at), x
+        else:
+            whole = [np.concatenate([np.zeros(bins - len(v), np.int64), np.array(v, np.int64)]) for v in (x, y)]
+            joint = whole[0] + whole[1][::-1]
+            order = np.argsort(joint, kind="stable")
+            node, sizes_now = (left, right, order.astype(np.uint16 if bins <= 1 << 16 else np.int64)), joint[order].tolist()
+        spread = sizes_now[-1] - (sizes_now[0] if len(sizes_now) == bins else 0)
+        nodes[made] = node
+        heapq.heappush(heap, (-spread, made, sizes_now))
+        made += 1
+    _, top, found = heap[0]
+    out = [0] * len(sizes)
+    stack = [(nodes[top], np.arange(bins))]  # node, final bin of each of its sorted bins
+    while stack:
+        node, final = stack.pop()
+        if isinstance(node, list):
+            for item, to in zip(node, final[bins - len(node) :].tolist()):
+                out[item] = to
+        elif isinstance(node[1], int):
+            below, item, at = node
+            out[item] = int(final[at])
+            stack.append((below, np.concatenate([final[at : at + 1], final[:at], final[at + 1 :]])))
+        else:
+            unsorted = np.empty(bins, np.int64)
+            unsorted[node[2]] = final
+            stack += [(node[0], unsorted), (node[1], unsorted[::-1])]
+    return [0] * (bins - len(found)) + found, out
 
 
 def bundled(groups: DataFrame, runs: int, bundles: int) -> DataFrame:
