@@ -35,7 +35,7 @@ LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 #: A term is kept by a language if so many of its documents hold it.
 LEAST_DOCS = 3
 #: Bytes of the first prefixes; each level doubles it.
-FIRST_WIDTH = 6
+FIRST_WIDTH = 4
 #: Bytes of text that make a unit, about.
 UNIT_BYTES = 8 << 20
 #: Bits of the filter for each prefix that is alive.
