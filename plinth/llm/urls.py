@@ -79,49 +79,60 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 LABEL = "verdict="
 
 
-def telling(labelled: DataFrame, settings: MiningSettings) -> DataFrame:
-    """(tokens, verdict) of labelled rows with the tokens that mining needs. A token that fewer rows have than the support asks
-    for is in no rule. Of tokens that just the same rows have, the least stands for all, as any rule with another one of them, or
-    with several, has its like with that one. What is left of a URL is short, however long it is: combinations of tokens that
-    differ in their rows."""
+def telling(labelled: DataFrame, settings: MiningSettings) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes). ``rows``: (tokens, verdict) of labelled rows with the tokens that mining needs. A token that fewer rows have
+    than the support asks for is in no rule. Tokens that just the same labelled rows have are a class: a rule with one of them holds
+    as well with any other, so the least stands for all, and ``classes`` (token, stands) says for which. What is left of a URL is
+    short, however long it is: combinations of tokens that differ in their rows."""
     rows = staged(labelled.withColumn("_row", F.monotonically_increasing_id()), "labelled-urls")
     n = rows.count()
     each = rows.select("_row", F.explode("tokens").alias("token"))
     mark = F.xxhash64("_row")
     by = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.xxhash64(mark).cast("decimal(38,0)")).alias("s")).filter(F.col("n") >= settings.support * n)
-    kept = by.groupBy("n", "x", "s").agg(F.min("token").alias("token")).select("token")
-    short = each.join(kept, "token").groupBy("_row").agg(F.collect_set("token").alias("tokens"))  # a row's own tokens
-    return rows.select("_row", "verdict").join(short, "_row", "left").select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "verdict")
+    by = staged(by, "url-tokens")
+    classes = by.join(by.groupBy("n", "x", "s").agg(F.min("token").alias("stands")), ["n", "x", "s"]).select("token", "stands")
+    short = each.join(classes, "token").groupBy("_row").agg(F.collect_set("stands").alias("tokens"))  # a row's own tokens
+    return rows.select("_row", "verdict").join(short, "_row", "left").select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "verdict"), classes
 
 
-def mine(labelled: DataFrame, settings: MiningSettings) -> DataFrame:
-    """Rules (side, verdict, confidence, support) from rows (tokens, verdict), of any length. A rule is redundant, and left out,
-    if a part of its side one token shorter says the same with no less confidence."""
+def standing(urls: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (url, tokens) with the classes that they have a token of in place of the tokens, and ``own``, the least such token of each."""
+    each = urls.select("url", F.explode("tokens").alias("token")).join(classes, "token").groupBy("url", "stands").agg(F.min("token").alias("token"))
+    out = each.groupBy("url").agg(F.map_from_entries(F.collect_list(F.struct("stands", "token"))).alias("own"))  # a URL's own tokens
+    return out.select("url", F.map_keys("own").alias("tokens"), "own")
+
+
+def mine(labelled: DataFrame, settings: MiningSettings) -> tuple[DataFrame, DataFrame]:
+    """(rules, classes): rules (side, verdict, confidence, support) from rows (tokens, verdict), of any length, whose sides are classes
+    of tokens (``telling``). A rule is redundant, and left out, if a part of its side one token shorter says the same with no less
+    confidence."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
-    items = staged(telling(labelled, settings).select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items")), "url-items")
+    told, classes = telling(labelled, settings)
+    items = staged(told.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items")), "url-items")
     if items.isEmpty():
-        return spark.createDataFrame([], "side array<string>, verdict string, confidence double, support double")
+        return spark.createDataFrame([], "side array<string>, verdict string, confidence double, support double"), classes
     rules = FPGrowth(itemsCol="items", minSupport=settings.support, minConfidence=settings.confidence).fit(items).associationRules
     rules = rules.filter(F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)) & (F.col("lift") > 1))
     rules = staged(rules.select(F.array_sort("antecedent").alias("side"), F.substring(F.col("consequent")[0], F.lit(len(LABEL) + 1), F.length(F.col("consequent")[0])).alias("verdict"), "confidence", "support"), "url-rules")
     shorter = rules.filter(F.size("side") > 1).select("side", "verdict", "confidence", F.explode("side").alias("t")).withColumn("part", F.array_except("side", F.array("t")))
     known = rules.select(F.col("side").alias("part"), "verdict", F.col("confidence").alias("c"))
     redundant = shorter.join(known, ["part", "verdict"]).filter("c >= confidence").select("side", "verdict").distinct()
-    return staged(rules.join(redundant, ["side", "verdict"], "left_anti"), "url-rules-kept")
+    return staged(rules.join(redundant, ["side", "verdict"], "left_anti"), "url-rules-kept"), classes
 
 
 def mined_verdict(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, mined) of distinct rows (url, tokens) that a rule fits: struct(verdict, confidence) of the best one, by confidence,
-    support, side and verdict. A rule is indexed under the token of its side that the fewest rules have, so a URL meets the
-    rules of its tokens only."""
+    """(url, mined) of distinct rows (url, tokens: classes, own) that a rule fits: struct(verdict, confidence) of the best one, by
+    confidence, support, the URL's own tokens in its side, and verdict. A rule is indexed under the token of its side that the fewest
+    rules have, so a URL meets the rules of its tokens only."""
     each = rules.select("side", "verdict", "confidence", "support", F.explode("side").alias("token"))
     uses = each.groupBy("token").agg(F.count("*").alias("uses"))
     index = each.join(uses, "token").groupBy("side", "verdict", "confidence", "support").agg(F.min(F.struct("uses", "token")).alias("m"))
     index = index.select(F.col("m.token").alias("token"), "side", "verdict", "confidence", "support")
-    met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").filter(F.size(F.array_except("side", "tokens")) == 0)
-    rank = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), "side", "verdict")
+    met = urls.select("url", "tokens", "own", F.explode("tokens").alias("token")).join(index, "token").filter(F.size(F.array_except("side", "tokens")) == 0)
+    read = F.array_sort(F.transform("side", lambda c: F.element_at("own", c)))
+    rank = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), read.alias("read"), "verdict")
     best = met.groupBy("url").agg(F.min(rank).alias("b"))
     return best.select("url", F.struct(F.col("b.verdict").alias("verdict"), (-F.col("b.c")).alias("confidence")).alias("mined"))
 
@@ -141,7 +152,8 @@ def judge(pages: DataFrame, rules: list[ListRule], id_col: str = "page_id", url_
     words = tokens(F.col("url"), F.col("host"), F.col("path"))
     labelled = own.filter("listed is not null").select(words.alias("tokens"), F.col("listed.verdict").alias("verdict"))
     open_ = own.filter("listed is null and host != ''").select("url", words.alias("tokens")).dropDuplicates(["url"])  # each distinct URL is judged once
-    out = own.join(staged(mined_verdict(open_, mine(labelled, settings)), "url-verdicts"), "url", "left").withColumn("mined", F.when(F.col("listed").isNull(), F.col("mined")))
+    mined, classes = mine(labelled, settings)
+    out = own.join(staged(mined_verdict(standing(open_, classes), mined), "url-verdicts"), "url", "left").withColumn("mined", F.when(F.col("listed").isNull(), F.col("mined")))
     return out.select(
         F.col("id").alias(id_col), "host", "path", "listed.rule",
         F.coalesce("listed.verdict", "mined.verdict", F.lit(ALLOW)).alias("verdict"),
