@@ -6,10 +6,12 @@ long one. The weight of a token is its count times its inverse document frequenc
 A text's units are its lines, its paragraphs of several lines, and its windows: as many tokens as a template has, around each
 anchor of it. Anchors are a few of the template's telling tokens; where one stands in a text, the window begins so that the
 anchor has the place that it has in the template. So a notice is found within a long line, and a licence's opening within a
-whole licence file, whatever stands around them. Lines and paragraphs without any anchor, or much longer than any template,
-aren't looked at as such. An exact bound spares
-most of the rest: a unit reaches the threshold only if what it shares with a template has a norm of the threshold or more. Each
-distinct unit that is left is scored once, however many files carry it.
+whole licence file, whatever stands around them. Lines and paragraphs are compared however long they are.
+
+Two exact bounds spare most of them: a unit reaches the threshold only if what it shares with a template has a norm of the
+threshold or more. So it has one of the template's heaviest tokens, those without which the rest's norm is too small
+(``needed``), which is asked of each unit where it's made; and what it shares is added up for the others. Each distinct unit that is
+left is scored once, however many files carry it.
 
 A file without a notice of its own inherits from the deepest directory above it that has a licence file: each distinct
 directory's ancestors are joined to the directories of licence files by path.
@@ -63,7 +65,7 @@ TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|unlicense)([._-].*)?$"
 PARAGRAPH = r"\n[ \t\r]*\n"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Anchors of a template, and words that are none, as all texts have them.
+#: Anchors of a template, at which windows begin, and words that are none, as all texts have them.
 ANCHORS = 3
 PLAIN = set("a above all an and any appear as at author be binary but by can code copies copy file following for form free from holder if in is it law law list made may means met must name names not notice of on or other owns person program public related rights source software subject that the this to under use used version with without work you".split())
 
@@ -101,25 +103,38 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, UPPER.lower()), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def longest(templates: list[tuple[str, str]]) -> int:
-    """The most tokens of a line or paragraph that is a unit: four times the longest template's. In longer ones windows alone
-    are looked at."""
-    return 4 * max((len(template_tokens(body)) for _, body in templates), default=0)
+def needed(vectors: list[dict[str, float]], seen: dict[str, int], threshold: float) -> list[str]:
+    """Tokens of which a unit that reaches the threshold has at least one: of each template the heaviest that any file has, until what
+    is left of them has a norm below the threshold. (The cosine with a unit that has none of them is at most that norm.)"""
+    out: set[str] = set()
+    for vector in vectors:
+        known = {t: w for t, w in vector.items() if seen.get(t)}
+        left = sum(w * w for w in known.values())
+        for token, weight in sorted(known.items(), key=lambda x: (-x[1], x[0])):
+            if left < threshold * threshold - 1e-6:
+                break
+            out.add(token)
+            left -= weight * weight
+    return sorted(out)
+
+
+#: A span of tokens as one number: where it begins, times this, and its length.
+SPAN = 1 << 20
 
 
-def units(text: Column, tokens: Column, at: list[tuple[str, int, int]], most: int) -> Column:
-    """The units of a text as arrays of tokens: lines and paragraphs of several lines with an anchor and no more than so many
-    tokens, and windows at anchors."""
-    names = F.array(*(F.lit(t) for t in sorted({t for t, *_ in at})))
+def units(text: Column, tokens: Column, at: list[tuple[str, int, int]], names: list[str]) -> Column:
+    """The distinct units of a text as strings of tokens: lines and paragraphs of several lines with one of the named tokens, and
+    windows at anchors. Spans are numbers and units strings, which Spark tells apart by hash."""
+    some = F.array(*(F.lit(t) for t in names)).cast("array<string>")
     places: dict[str, list[Column]] = {}
     for t, place, size in at:
         places.setdefault(t, []).append(F.struct(F.lit(place).alias("place"), F.lit(size).alias("size")))
     table = F.map_from_arrays(F.array(*map(F.lit, places)), F.array(*(F.array(*x) for x in places.values())))
     found = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), F.try_element_at(table, t).alias("own"))), lambda x: x["own"].isNotNull())
-    spans = F.flatten(F.transform(found, lambda x: F.transform(x["own"], lambda y: F.struct(F.greatest(x["i"] - y["place"], F.lit(0)).alias("from"), y["size"].alias("size")))))
-    windows = F.transform(F.array_distinct(spans), lambda x: F.slice(tokens, x["from"] + 1, x["size"]))
+    spans = F.flatten(F.transform(found, lambda x: F.transform(x["own"], lambda y: F.greatest(x["i"] - y["place"], F.lit(0)).cast("long") * SPAN + y["size"])))
+    windows = F.transform(F.array_distinct(spans), lambda x: F.array_join(F.slice(tokens, (x / SPAN).cast("int") + 1, (x % SPAN).cast("int")), " "))
     parts = F.concat(F.split(text, "\n"), F.filter(F.split(text, PARAGRAPH), lambda p: p.contains("\n")))
-    parts = F.filter(F.transform(parts, _tokens), lambda x: (F.size(x) <= most) & F.arrays_overlap(x, names))
+    parts = F.transform(F.filter(F.transform(parts, _tokens), lambda x: F.arrays_overlap(x, some)), lambda x: F.array_join(x, " "))
     return F.array_distinct(F.concat(parts, windows))
 
 
@@ -143,19 +158,21 @@ def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col
     seen = staged(seen, "license-frequencies")
     vocabulary = sorted({t for _, body in templates for t in template_tokens(body)})
     known = spark.createDataFrame([(t,) for t in vocabulary], "token string")  # as large as the templates, as all that is broadcast here
-    weights = Weights(templates, files.count(), {r["token"]: r["n"] for r in seen.join(F.broadcast(known), "token").collect()})
+    held = {r["token"]: r["n"] for r in seen.join(F.broadcast(known), "token").collect()}
+    weights = Weights(templates, files.count(), held)
 
-    names = F.array(*(F.lit(t) for t in sorted({t for t, *_ in at})))
+    names = needed(weights.vectors, held, threshold)
+    every = F.array(*(F.lit(t) for t in sorted({*names, *(t for t, *_ in at)}))).cast("array<string>")
     words = _tokens(F.col("text"))
     # A text's tokens are made once: the optimizer would put their expression into every window's.
-    found = files.filter(F.arrays_overlap(words, names)).select("id", "path", F.explode(let(words, lambda tokens: units(F.col("text"), tokens, at, longest(templates)))).alias("unit"))
-    found = staged(found.withColumn("key", F.sha2(F.array_join("unit", " "), 256)), "license-units")
+    found = files.filter(F.arrays_overlap(words, every)).select("id", "path", F.explode(let(words, lambda tokens: units(F.col("text"), tokens, at, names))).alias("unit"))
+    found = staged(found.withColumn("key", F.unhex(F.sha2("unit", 256))), "license-units")
 
     idf = lambda n: F.log((1.0 + F.lit(weights.files)) / (1.0 + n)) + 1.0
     sides = spark.createDataFrame([(t, i, templates[i][0], w) for i, v in enumerate(weights.vectors) for t, w in v.items()], "token string, template int, license string, w double")
     # The cosine is at most the norm of a template's part that a unit shares, whatever else the unit holds.
     parts = sides.select("token", "template", (F.col("w") * F.col("w")).alias("m"))
-    distinct = staged(found.groupBy("key").agg(F.first("unit").alias("unit")), "license-distinct")
+    distinct = staged(found.groupBy("key").agg(F.first("unit").alias("unit")), "license-distinct").withColumn("unit", F.split("unit", " "))
     mass = distinct.select("key", F.explode(F.array_distinct("unit")).alias("token")).join(F.broadcast(parts), "token").groupBy("key", "template").agg(F.sum("m").alias("m"))
     distinct = distinct.join(mass.filter(F.col("m") >= threshold**2 - 1e-6).select("key").distinct(), "key", "left_semi")
     counts = distinct.select("key", F.explode("unit").alias("token")).groupBy("key", "token").agg(F.count("*").alias("m"))
@@ -228,7 +245,7 @@ parts AS (
 words AS (SELECT doc_id, path, tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS i FROM files),
 units AS (
     SELECT DISTINCT doc_id, path, array_to_string(unit, ' ') AS unit FROM (
-        SELECT doc_id, path, unit FROM parts WHERE len(unit) <= {longest(templates)} AND list_has_any(unit, (SELECT list(DISTINCT token) FROM anchors))
+        SELECT doc_id, path, unit FROM parts WHERE len(unit) > 0
         UNION ALL SELECT doc_id, path, tokens[greatest(i - place, 0) + 1 : greatest(i - place, 0) + size] FROM words JOIN anchors USING (token))
 ),
 distinct_units AS (SELECT DISTINCT unit FROM units),

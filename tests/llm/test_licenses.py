@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from plinth.llm.licenses import LICENSE_FILE, PARAGRAPH, TEMPLATES, THRESHOLD, TOKEN, Weights, anchors, longest, scan
+from plinth.llm.licenses import LICENSE_FILE, PARAGRAPH, TEMPLATES, THRESHOLD, TOKEN, Weights, anchors, needed, scan
 
 
 def listed(text):
@@ -24,7 +24,7 @@ def brute(rows):
     own, known = {}, anchors(TEMPLATES)
     for i, path, text in rows:
         parts = [listed(x) for x in {*(text or "").split("\n"), *(p for p in re.split(PARAGRAPH, text or "") if "\n" in p)}]
-        units = {tuple(x) for x in parts if {t for t, *_ in known} & {*x} and len(x) <= longest(TEMPLATES)}
+        units = {tuple(x) for x in parts if x}
         words = listed(text or "")
         at = {}
         for k, w in enumerate(words):
@@ -122,3 +122,30 @@ def test_each_template_finds_itself(spark):
 def test_empty(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
     assert [tuple(r) for r in scan(df).collect()] == [(None,) * 7] * len(rows)
+
+
+def test_units_without_anchors_and_long_ones(spark):
+    known = {t for t, *_ in anchors(TEMPLATES)}
+    rows = [(100 + i, f"/n/{i}", " ".join(t for t in listed(body) if t not in known)) for i, (_, body) in enumerate(TEMPLATES)]
+    rows += [(1, "/a", " ".join([TEMPLATES[4][1]] * 40)), (2, "/b", " ".join([TEMPLATES[4][1]] * 40 + [f"word{i}" for i in range(9000)])), (3, "/c", "\n".join([f"{TEMPLATES[17][1]} x{i}" for i in range(300)]))]
+    rows += [(i, f"/w/{i}", f"plain words {i}") for i in range(200, 900)]
+    got = sorted(map(tuple, scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()))
+    assert got == sorted(brute(rows)) and sum(r[0] >= 100 and r[2] is not None and r[0] < 200 for r in got) > 5 and {r[0] for r in got if r[2] and r[0] < 4} == {1, 2, 3}
+
+
+def test_needed_tokens_prove_the_rest():
+    weights = Weights(TEMPLATES, 1000, {t: 3 for _, body in TEMPLATES for t in listed(body)})
+    names = set(needed(weights.vectors, {t: 3 for v in weights.vectors for t in v}, THRESHOLD))
+    for vector in weights.vectors:
+        assert sqrt(sum(w * w for t, w in vector.items() if t not in names)) < THRESHOLD
+    assert needed(weights.vectors, {}, THRESHOLD) == []
+
+
+def test_one_long_text_of_notices(spark):
+    import time
+
+    text = "\n".join(f"{TEMPLATES[i % len(TEMPLATES)][1]} {i}" for i in range(5200))
+    assert len(text) > 1_000_000
+    begin = time.perf_counter()
+    got = scan(spark.createDataFrame([(1, "/a", text)], "doc_id long, path string, text string")).collect()
+    assert got[0].own_license and time.perf_counter() - begin < 60
