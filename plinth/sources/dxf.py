@@ -74,20 +74,30 @@ def decoded(content: bytes) -> str:
     return content.decode("utf-8", "replace")
 
 
-def records(text: str) -> list[Record]:
+#: What a record's kind looks like: letters, digits and underscores, not digits alone.
+KIND = re.compile(r"(?=.*[A-Za-z])[A-Za-z0-9_]+")
+
+
+def records(text: str) -> tuple[list[Record], int]:
+    """Records of a text drawing, and how many lines were left out. A line that should be a group code and isn't one, or a record
+    without a kind, breaks the pairs; reading goes on at the next record that begins (a line 0, and a kind after it). What the
+    broken record had before stays."""
     lines = text.splitlines()
     out: list[Record] = []
-    for i in range(0, len(lines) - 1, 2):
-        try:
-            code = int(lines[i].strip())
-        except ValueError:
+    i, left = 0, 0
+    while i + 1 < len(lines):
+        raw, value = lines[i].strip(), lines[i + 1].rstrip("\r")
+        code = int(raw) if re.fullmatch(r"-?\d{1,4}", raw, re.ASCII) else None
+        if code is None or not -5 <= code <= 1071 or code == 0 and not KIND.fullmatch(value.strip()):
+            after = next((k for k in range(i + 1, len(lines) - 1) if lines[k].strip() == "0" and KIND.fullmatch(lines[k + 1].strip())), len(lines))
+            left, i = left + after - i, after
             continue
-        value = lines[i + 1].rstrip("\r")
         if code == 0:
             out.append(Record(value.strip().upper(), []))
         elif out:
             out[-1].tags.append((code, value))
-    return out
+        i += 2
+    return out, left + sum(bool(x.strip()) for x in lines[i:])
 
 
 BINARY = b"AutoCAD Binary DXF\r\n\x1a\x00"
@@ -99,12 +109,14 @@ VALUES = [
 ]
 
 
-def binary_records(content: bytes) -> list[Record]:
-    """Records of a binary drawing. Its group codes are of two bytes, or of one where the first pair tells so; what follows a
-    code that no range holds, or is cut off, is left."""
-    at, out = len(BINARY), []
+def binary_records(content: bytes) -> tuple[list[Record], int]:
+    """Records of a binary drawing, and how many bytes were left out. Its group codes are of two bytes, or of one where the first pair
+    tells so. After a code that no range holds, or a value that is cut off, reading goes on at the next code 0 with a kind."""
+    at, out, left = len(BINARY), [], 0
     wide = content[at : at + 2] == b"\0\0"  # the first code is 0, and its text isn't empty
+    fresh = re.compile((rb"\0\0" if wide else rb"\0") + rb"(?=[0-9]?[A-Z_][A-Z0-9_]+\0)")
     while at < len(content):
+        begin = at
         if wide:
             code = int.from_bytes(content[at : at + 2], "little")
             at += 2
@@ -116,21 +128,24 @@ def binary_records(content: bytes) -> list[Record]:
         kind = next((k for low, high, k in VALUES if low <= code <= high), None)
         if kind == "text":
             end = content.find(b"\0", at)
-            if end < 0:
-                break
-            value, at = decoded(content[at:end]), end + 1
+            value, at, kind = (decoded(content[at:end]), end + 1, kind) if end >= 0 else ("", at, None)
         elif kind == "chunk" and at < len(content):
             size = content[at]
             value, at = content[at + 1 : at + 1 + size].hex().upper(), at + 1 + size
         elif kind and kind != "chunk" and at + struct.calcsize(kind) <= len(content):
             value, at = str(struct.unpack_from(kind, content, at)[0]), at + struct.calcsize(kind)
         else:
-            break
+            kind = None
+        if kind is None or code == 0 and not KIND.fullmatch(value.strip()):
+            found = fresh.search(content, begin + 1)
+            at = found.start() if found else len(content)
+            left += at - begin
+            continue
         if code == 0:
             out.append(Record(value.strip().upper(), []))
         elif out:
             out[-1].tags.append((code, value))
-    return out
+    return out, left
 
 
 @dataclass
@@ -138,11 +153,15 @@ class Drawing:
     layers: dict[str, Record] = field(default_factory=dict)
     blocks: dict[str, tuple[Record, list[Record]]] = field(default_factory=dict)
     entities: list[Record] = field(default_factory=list)
+    #: Lines of a text drawing, or bytes of a binary one, that were left out, as they couldn't be read.
+    left: int = 0
 
     @classmethod
     def parse(cls, content: bytes) -> Drawing:
-        out, section, block, holder = cls(), None, None, None
-        for r in binary_records(content) if content.startswith(BINARY) else records(decoded(content)):
+        section, block, holder = None, None, None
+        found, left = binary_records(content) if content.startswith(BINARY) else records(decoded(content))
+        out = cls(left=left)
+        for r in found:
             if r.kind == "SECTION":
                 section = (r.text(2) or "").upper()
             elif r.kind == "ENDSEC":
@@ -503,7 +522,15 @@ class Scanner:
         yield from rows
 
     def rows(self) -> Iterator[dict]:
-        drawing, skipped, key, wanted = self.drawing, {}, 0, set()
+        drawing, skipped, faulty, key, wanted = self.drawing, {}, {}, 0, set()
+
+        def sound(record: Record, made: Iterator[dict]) -> Iterator[dict]:
+            """The rows of a record, up to a value that can't be read."""
+            try:
+                yield from made
+            except (ValueError, ZeroDivisionError, OverflowError):
+                faulty[record.kind] = faulty.get(record.kind, 0) + 1
+
         for name in drawing.layers:
             yield self.row("layer", layer=name, color=drawing.layer_color(name), value="on" if drawing.layer_on(name) else "off")
         for record in drawing.entities:
@@ -514,7 +541,7 @@ class Scanner:
                 continue
             color = self.color(record, None)
             if record.kind == "DIMENSION":
-                yield from self.dimension(record, layer, color)
+                yield from sound(record, self.dimension(record, layer, color))
             elif record.kind == "INSERT":
                 key += 1
                 name = record.text(2, "")
@@ -523,9 +550,9 @@ class Scanner:
                 yield self.row("insert", layer=layer, color=color, block_name=name, insert_key=key, x=x, y=y, rotation=record.number(50, 0.0), scale_x=record.number(41, 1.0) or 1.0, scale_y=record.number(42, 1.0) or 1.0, props=props_of(record, IDENTITY))
                 for attribute in record.parts:
                     yield self.row("attribute", insert_key=key, tag=attribute.text(2, ""), value=attribute.text(1, ""))
-                yield from self.expanded(record, IDENTITY, layer, color, key, f"#{key}", frozenset())
+                yield from sound(record, self.expanded(record, IDENTITY, layer, color, key, f"#{key}", frozenset()))
             elif record.kind in SUPPORTED:
-                yield from self.entity(record, IDENTITY, layer, color, None, None)
+                yield from sound(record, self.entity(record, IDENTITY, layer, color, None, None))
             else:
                 skipped[record.kind] = skipped.get(record.kind, 0) + 1
         for name in sorted(self.reachable(wanted) | wanted):
@@ -534,10 +561,14 @@ class Scanner:
             yield self.row("block", block_name=name, x=x, y=y, n=len(members))
             for record in members if len(members) <= MOST_MEMBERS else ():
                 if record.kind in SUPPORTED:
-                    for r in self.entity(record, IDENTITY, record.text(8, "0"), self.color(record, None), None, None):
+                    for r in sound(record, self.entity(record, IDENTITY, record.text(8, "0"), self.color(record, None), None, None)):
                         yield r | {"row_kind": "member", "block_name": name}
         for kind, n in sorted(skipped.items()):
             yield self.row("skipped", entity_type=kind, n=n)
+        for kind, n in sorted(faulty.items()):
+            yield self.row("faulty", entity_type=kind, n=n)
+        if drawing.left:
+            yield self.row("left", n=drawing.left)
 
     def reachable(self, names: set[str]) -> set[str]:
         """Blocks that inserts lead to, at any depth."""
@@ -552,7 +583,9 @@ class Scanner:
 
 def scan(files: DataFrame, skip_off_layers: bool = False) -> DataFrame:
     """Rows of all drawings in ``files`` (path, content), told apart by ``row_kind``: layer, entity, insert, attribute,
-    block, member (of a block, in its own coordinates), skipped. A file that isn't a drawing gives one row of kind ``error``."""
+    block, member (of a block, in its own coordinates), skipped (records of other types), faulty (records with values that can't be
+    read, by type), and left (lines or bytes that are no tags). So a damaged file gives what is sound in it; one from which nothing can
+    be read gives one row of kind ``error``."""
     ship(files.sparkSession)
     kinds = pa.schema([("path", pa.string()), *((f.name, f.type) for f in _arrow_schema())])
 

@@ -152,3 +152,38 @@ def test_blocks_keep_their_members(spark):
     inserts = store.inserts_of(found, F.lit(7)).withColumn("block_def_id", F.lit(None).cast("long"))
     (shape,) = block_shapes(inserts, blocks).collect()
     assert [(p.x, p.y) for p in shape.points] == [(98.0, 48.0), (108.0, 48.0)]
+
+
+def kinds(found, kind):
+    return {r.get("entity_type"): r["n"] for r in found if r["row_kind"] == kind}
+
+
+def test_damaged_text_files_give_what_is_sound():
+    line = lambda x: tags((0, "LINE"), (8, "A"), (10, x), (20, 0), (11, x + 1), (21, 0))
+    whole = drawing("".join(line(x) for x in range(4)))
+    assert not kinds(rows(whole), "left") and len(entities(whole)) == 4
+    lines = whole.decode().splitlines()
+    at = lines.index("LINE", lines.index("LINE") + 1)  # the second line's kind
+    lost = "\n".join(lines[: at + 3] + lines[at + 4 :]).encode()  # a group code is gone, so pairs are shifted
+    found = rows(lost)
+    ends = sorted(r["maxx"] for r in found if r["row_kind"] == "entity")
+    assert {1, 3, 4} <= set(ends) and kinds(found, "left")[None] > 0
+    noise = "\n".join(lines[: at + 1] + ["???", "garbage", "7"] + lines[at + 1 :]).encode()
+    assert {1, 3, 4} <= {r["maxx"] for r in rows(noise) if r["row_kind"] == "entity"}
+    cut = "\n".join(lines[: at + 4]).encode()
+    assert [r["maxx"] for r in rows(cut) if r["row_kind"] == "entity"][:1] == [1]
+    bad = drawing(line(0) + tags((0, "LWPOLYLINE"), (8, "A"), (10, "x"), (20, 0), (10, 1), (20, 1)) + line(5))
+    found = rows(bad)
+    assert kinds(found, "faulty") == {"LWPOLYLINE": 1} and sorted(r["maxx"] for r in found if r["row_kind"] == "entity") == [1, 6]
+
+
+def test_damaged_binary_files_give_what_is_sound():
+    line = lambda x: tags((0, "LINE"), (8, "A"), (10, x), (20, 0), (11, x + 1), (21, 0))
+    whole = as_binary(drawing("".join(line(x) for x in range(4))))
+    assert len(entities(whole)) == 4 and not kinds(rows(whole), "left")
+    at = whole.index(b"LINE\0", whole.index(b"LINE\0") + 1)
+    broken = whole[: at + 5] + b"\xf0\x7f\xf0\x7f" + whole[at + 5 :]
+    found = rows(broken)
+    assert {1, 3, 4} <= {r["maxx"] for r in found if r["row_kind"] == "entity"} and kinds(found, "left")[None] > 0
+    cut = rows(whole[: at + 20])
+    assert [r["maxx"] for r in cut if r["row_kind"] == "entity"][:1] == [1]
