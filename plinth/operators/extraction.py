@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plinth.operators import beams, columns, schedules, vertical
 from plinth.operators.records import CATEGORIES
 from plinth.operators.relational import Box, Selection, normalized, parsed_boxes, text_items
-from plinth.session import spare
+from plinth.session import spare, staged
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,7 @@ class ExtractionConfig:
     beam_band_y_tol: float | None = None
     include_empty_text_entities: bool = False
     beam_row_merge_y_max: float | None = None
+    beam_row_merge_y_max_mark: float | None = None
     beam_row_merge_max_glue: int | None = None
     beam_row_merge_max_merged: int | None = None
     beam_row_bridge_max_endpoint: int | None = None
@@ -44,6 +45,13 @@ class ExtractionConfig:
     def boxes(self) -> list[Box]:
         return list(self.selection_bboxes) or ([self.selection_bbox] if self.selection_bbox else [])
 
+    @property
+    def joins(self) -> beams.RowJoins:
+        """How a beam table's thin rows are joined. Rows of marks may be further apart than others, 80 at least."""
+        gap = self.beam_row_merge_y_max if self.beam_row_merge_y_max and self.beam_row_merge_y_max > 0 else max(3.5 * self.y_tolerance, 10.0)
+        mark_gap = self.beam_row_merge_y_max_mark if self.beam_row_merge_y_max_mark is not None else max(gap, 80.0)
+        return beams.RowJoins(gap, mark_gap, self.beam_row_merge_max_glue, self.beam_row_merge_max_merged, self.beam_row_bridge_max_endpoint, self.beam_row_bridge_max_mid, self.beam_row_bridge_passes)
+
 
 def _number(kind: type, value: object, least: float | None = None):
     try:
@@ -65,7 +73,7 @@ def configured(raw: dict | None, category: str) -> ExtractionConfig:
         out = replace(out, **{name: str(raw.get(name) or getattr(out, name)).strip().lower()})
     for name in ("y_tolerance", "column_band_y_tol"):
         out = replace(out, **{name: _number(float, raw.get(name) or getattr(out, name)) or getattr(out, name)})
-    for name in ("column_strip_gap", "beam_band_y_tol", "beam_row_merge_y_max"):
+    for name in ("column_strip_gap", "beam_band_y_tol", "beam_row_merge_y_max", "beam_row_merge_y_max_mark"):
         out = replace(out, **{name: _number(float, raw.get(name))})
     for name in sorted(n for n in known if n.startswith(("beam_row_bridge", "beam_row_merge_max"))):
         out = replace(out, **{name: _number(int, raw.get(name), 0)})
@@ -108,7 +116,7 @@ def records(texts: DataFrame, category: str, config: ExtractionConfig) -> DataFr
     if category == "beam" and config.beam_layout.startswith("vertical"):
         return vertical.vertical_schedule(texts, config.beam_band_y_tol or config.column_band_y_tol, config.column_strip_gap)
     if category == "beam":
-        return beams.beam_schedule(texts, config.y_tolerance, config.beam_layout)
+        return beams.beam_schedule(texts, config.y_tolerance, config.beam_layout, config.joins)
     if category == "column" and config.column_layout == "vertical_blocks":
         out = columns.column_schedule(texts, config.column_band_y_tol, config.column_strip_gap)
         none = F.lit(None).cast("int")
@@ -130,7 +138,7 @@ def extract(texts: DataFrame, category: str, raw: dict | None = None) -> tuple[D
         raise ValueError(f"unknown category: {category}")
     config = configured(raw, category)
     found = text_items(texts, selection_of(config))
-    rows = numbered_duplicates(records(found, category, config), category)
+    rows = staged(numbered_duplicates(records(found, category, config), category), "extracted-rows")  # both results read them
     flags = rows.groupBy("commit_id").agg(F.count("*").alias("row_count"), F.array_sort(F.collect_list(F.when(F.col("is_duplicate"), F.col("row")))).alias("duplicate_row_indices"))
     pivoted = F.lit(None).cast("boolean")
     out = rows

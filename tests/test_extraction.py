@@ -50,3 +50,27 @@ def test_unknown_category_and_runs(spark):
     none = spark.createDataFrame([], "id long, commit_id long, category string, rules_version string, row_count long, created_at timestamp")
     one = X.appended_run(none, summary, X.ExtractionConfig(), at)
     assert sorted(r.id for r in X.appended_run(one, summary, X.ExtractionConfig(), at).collect()) == [*range(1, 9)]
+
+
+def beam_rows(spark, raw, rows):
+    df = spark.createDataFrame([(1, i, float(x), float(y), "0", "TEXT", t) for i, (x, y, t) in enumerate(rows)], "commit_id long, id long, x double, y double, layer string, entity_type string, text string")
+    found, _ = X.extract(df, "beam", {"beam_layout": "flat"} | raw)
+    return [len(r.cells) for r in found.orderBy("row").collect()]
+
+
+def test_each_row_setting_counts(spark):
+    thin = [(0, 100, "RG1"), (10, 93, "4-D19"), (20, 93, "2-D19"), (30, 60, "x"), (40, 60, "y")]
+    assert beam_rows(spark, {}, thin) == [3, 2]
+    assert beam_rows(spark, {"beam_row_merge_y_max": 2, "beam_row_bridge_max_endpoint": 2}, thin) == [1, 2, 2]  # nothing is near enough
+    assert beam_rows(spark, {"beam_row_merge_y_max": 50}, thin) == [5]
+    assert beam_rows(spark, {"beam_row_merge_max_glue": 1, "beam_row_bridge_max_endpoint": 1}, thin) == [3, 2]  # two items don't glue, but bridge
+    many = [(i, 100, f"a{i}") for i in range(6)] + [(i, 93, f"b{i}") for i in range(3)]
+    assert beam_rows(spark, {}, many) == [9] and beam_rows(spark, {"beam_row_merge_max_merged": 8}, many) == [6, 3]
+    apart = [(0, 100, "p"), (1, 100, "q"), (2, 100, "r"), (3, 100, "s"), (4, 100, "t"), (0, 95, "u"), (0, 70, "RG5"), (0, 30, "RG6")]
+    assert beam_rows(spark, {}, apart) == [6, 2] and beam_rows(spark, {"beam_row_merge_y_max_mark": 5}, apart) == [6, 1, 1]
+    ladder = [(0, 100, "RG1"), (0, 60, "RG2"), (0, 20, "RG3")]
+    assert beam_rows(spark, {}, ladder) == [2, 1] and beam_rows(spark, {"beam_row_bridge_passes": 3}, ladder) == [3]
+    between = [(0, 100, "RG1"), (0, 80, "p"), (1, 80, "q"), (2, 80, "r"), (3, 80, "s"), (4, 80, "t"), (0, 60, "RG2")]
+    assert beam_rows(spark, {}, between) == [1, 5, 1] and beam_rows(spark, {"beam_row_bridge_max_mid": 9}, between) == [2, 5]
+    ends = [(i, 100, f"RG{i}") for i in range(5)] + [(0, 60, "RG9")]
+    assert beam_rows(spark, {}, ends) == [5, 1] and beam_rows(spark, {"beam_row_bridge_max_endpoint": 6}, ends) == [6]

@@ -123,7 +123,7 @@ def row(*parts):
 
 def test_bundle():
     items = row((10, 3000, "Name"), (10, 2910, "Width"), (10, 2820, "Int. TopBar"), (200, 3000, "BX1"), (200, 2910, "400"), (200, 2820, "5-D22"))
-    (got,) = B.beam_records(items, 5.0, gap=12.0)
+    (got,) = B.beam_records(items, 5.0, joins=B.RowJoins(gap=12.0))
     assert (got["beam_layout"], got["mark"], got["width_mm"], got["int_top_bar"]) == ("row_cluster_bundle", "BX1", "400", "5-D22")
 
 
