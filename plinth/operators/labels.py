@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plinth.functions.members import is_loose_title, is_row_title, is_value, is_zone_title
 from plinth.functions.numbers import median, nearest_rank
-from plinth.functions.signals import stripped
+from plinth.functions.signals import let, stripped
+from plinth.session import spare
 
 
 def bad_splits(items: DataFrame, splits: DataFrame) -> DataFrame:
@@ -28,10 +29,14 @@ def tight_boundaries(items: DataFrame, splits: DataFrame) -> DataFrame:
     ratio, to the middle of five or more short texts there (``|hdr_med_fallback``). It's narrowed only if titles lie close, and
     labels and enough values are left on either side."""
     text, x, b = stripped(F.col("text")), F.col("x"), F.col("boundary")
+    met = items.join(splits, "commit_id")
+    held, kind = spare(met, "label"), spare(met, "title")
+    # What a text is is told once, and only left of the boundary; later stages read the two columns.
     inside = (x <= b) & (text != "")
-    title = inside & (is_row_title(text) | is_loose_title(text))
-    short = inside & (F.length(text) <= 22) & ~is_zone_title(text) & ~is_value(text)
-    stats = items.join(splits, "commit_id").groupBy("commit_id").agg(
+    met = met.withColumn(held, F.when(inside, let(text, lambda t: ~is_zone_title(t) & ~is_value(t))))
+    met = met.withColumn(kind, F.when(F.col(held), let(text, lambda t: is_loose_title(t, F.lit(True)) | is_row_title(t, F.lit(True)))))
+    title, short = F.col(kind), F.col(held) & (F.length(text) <= 22)
+    stats = met.groupBy("commit_id").agg(
         F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("boundary").alias("b"), F.first("mode").alias("m"),
         F.collect_list(F.when(title, x)).alias("titles"), F.collect_list(F.when(short, x)).alias("shorts"),  # a sheet's labels
     )

@@ -186,12 +186,14 @@ SELECT {COLS}, 'LINESTRING (' || a || ' ' || b || ', ' || b || ' ' || c || ')' A
 def wkt_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, s, p = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey")
     raw = F.concat(F.lit("LINESTRING Z ("), _t(n), F.lit(" "), _t(s), F.lit(" 3.5, "), _t(s), F.lit(" "), _t(p), F.lit(" 7.5)"))
-    points = G.wkt_points(raw)
+    points = F.col("points")
     last = F.element_at(points, -1)
     ring = F.array(G.point(n, F.lit(0)), G.point(s, F.lit(1)), G.point(p, F.lit(5)))
-    moved = M.wkt_moved(raw, points, lambda q: G.point(q["x"] + 1, q["y"] * 2))
-    valid = F.when(n == 3, "CIRCLE (1 1, 3)").otherwise(raw).rlike(P.GEOMETRY_PREFIX)
-    return table(spark, sf_dir, "lineitem").select(*KEYS, G.wkt_2d(raw).alias("flat"), F.size(points).alias("n"), last["x"].alias("x1"), last["y"].alias("y1"), last["z"].alias("z1"), M.wkt_kind(raw).alias("kind"), M.polygon_wkt(ring).alias("ring"), M.point_wkt(n.cast("double"), s.cast("double")).alias("point"), moved.alias("moved"), valid.alias("valid"))
+    moved = M.wkt_moved(F.col("raw"), points, lambda q: G.point(q["x"] + 1, q["y"] * 2))
+    valid = F.when(n == 3, "CIRCLE (1 1, 3)").otherwise(F.col("raw")).rlike(P.GEOMETRY_PREFIX)
+    lines = table(spark, sf_dir, "lineitem").withColumn("raw", raw).withColumn("points", G.wkt_points(F.col("raw")))  # read once
+    raw = F.col("raw")
+    return lines.select(*KEYS, G.wkt_2d(raw).alias("flat"), F.size(points).alias("n"), last["x"].alias("x1"), last["y"].alias("y1"), last["z"].alias("z1"), M.wkt_kind(raw).alias("kind"), M.polygon_wkt(ring).alias("ring"), M.point_wkt(n.cast("double"), s.cast("double")).alias("point"), moved.alias("moved"), valid.alias("valid"))
 
 
 @query(f"""
@@ -203,9 +205,10 @@ def circle_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, cx, cy = F.col("l_quantity").cast("double"), F.col("l_suppkey").cast("double"), F.col("l_linenumber").cast("double")
     # A 33-gon's first vertex stands twice: the mean of all vertices is not the centre, so the copy is left out.
     out = table(spark, sf_dir, "lineitem").select(*KEYS, G.circle_points(cx, cy, r).alias("c"), F.array(G.point(cx, cy), G.point(cx + 20, cy), G.point(cx + 20, cy + 5)).alias("l"), cx.alias("cx"), cy.alias("cy"), r.alias("r"))
-    box = G.extent(F.col("c"))
+    out = out.withColumn("box", G.extent(F.col("c"))).withColumn("mid", G.length_centroid(F.col("l")))  # made once
+    box = F.col("box")
     ring = G.closed_ring(F.array(G.point(F.col("cx"), F.col("cy")), G.point(F.col("cx") + 1, F.col("cy")), G.point(F.lit(-1), F.lit(-1))))
-    mid = G.length_centroid(F.col("l"))
+    mid = F.col("mid")
     return out.select(
         *KEYS, F.size("c").alias("n"), F.round(F.element_at("c", 1)["x"], 6).alias("first_x"), F.round(F.element_at("c", 9)["y"], 6).alias("quarter_y"), F.round((box["minx"] + box["maxx"]) / 2, 6).alias("circle_x"), F.round((box["miny"] + box["maxy"]) / 2, 6).alias("circle_y"),
         F.round((box["maxx"] - box["minx"]) / 2, 6).alias("circle_r"), F.round(mid["x"], 6).alias("centroid_x"), F.round(mid["y"], 6).alias("centroid_y"), F.round(F.element_at(ring, -1)["x"], 6).alias("ring_x"),
