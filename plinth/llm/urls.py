@@ -153,7 +153,9 @@ def judge(pages: DataFrame, rules: list[ListRule], id_col: str = "page_id", url_
     labelled = own.filter("listed is not null").select(words.alias("tokens"), F.col("listed.verdict").alias("verdict"))
     open_ = own.filter("listed is null and host != ''").select("url", words.alias("tokens")).dropDuplicates(["url"])  # each distinct URL is judged once
     mined, classes = mine(labelled, settings)
-    out = own.join(staged(mined_verdict(standing(open_, classes), mined), "url-verdicts"), "url", "left").withColumn("mined", F.when(F.col("listed").isNull(), F.col("mined")))
+    # Verdicts are as many as URLs, in files far smaller than the table, so their size on disk mustn't decide for a broadcast.
+    verdicts = staged(mined_verdict(standing(open_, classes), mined), "url-verdicts").hint("merge")
+    out = own.join(verdicts, "url", "left").withColumn("mined", F.when(F.col("listed").isNull(), F.col("mined")))
     return out.select(
         F.col("id").alias(id_col), "host", "path", "listed.rule",
         F.coalesce("listed.verdict", "mined.verdict", F.lit(ALLOW)).alias("verdict"),
