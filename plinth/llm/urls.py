@@ -92,7 +92,8 @@ def telling(labelled: DataFrame, settings: MiningSettings) -> tuple[DataFrame, D
     by = staged(by, "url-tokens")
     classes = by.join(by.groupBy("n", "x", "s").agg(F.min("token").alias("stands")), ["n", "x", "s"]).select("token", "stands")
     short = each.join(classes, "token").groupBy("_row").agg(F.collect_set("stands").alias("tokens"))  # a row's own tokens
-    return rows.select("_row", "verdict").join(short, "_row", "left").select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "verdict"), classes
+    # Tokens shrink to little in a shuffle, whose size mustn't decide for a broadcast either.
+    return rows.select("_row", "verdict").join(short.hint("merge"), "_row", "left").select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "verdict"), classes
 
 
 def standing(urls: DataFrame, classes: DataFrame) -> DataFrame:
