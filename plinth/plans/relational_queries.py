@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plinth.operators import relational as R
+from plinth.operators import relational as R, sketches as K
 from plinth.plans import views as V
 from plinth.plans.catalog import query
 from plinth.session import table
@@ -178,3 +178,16 @@ def json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = table(spark, sf_dir, "events").select("event_id", R.merged_settings(old, new).alias("m"))
     deep = F.from_json("m.sub_tags", "map<string,string>")
     return out.select("event_id", "m.tag", "m.status", F.try_element_at("m", F.lit("note")).alias("note"), deep["b"].alias("deep_b"), deep["a"].alias("deep_a"))
+
+
+@query(f"""
+WITH d AS ({V.TEXTS}), e AS (SELECT layer, count(*) AS n, count(DISTINCT text) AS texts FROM d GROUP BY 1)
+SELECT layer, n, texts, true AS distinct_holds, true AS median_holds FROM e
+""")
+def sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each drawing's layers, merged by layer, beside exact counts: whether both are within their bounds."""
+    items = V.texts(spark, sf_dir)
+    whole = K.merged(K.sketched(items, ["commit_id", "layer"], "text", "y"), ["layer"]).select("layer", "n", K.distinct_count().alias("about"), K.quantile(0.5).alias("median"))
+    exact = items.join(F.broadcast(whole.select("layer", "median")), "layer").groupBy("layer").agg(F.countDistinct("text").alias("texts"), F.avg((F.col("y") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("y") <= F.col("median")).cast("int")).alias("upto"))
+    held = whole.join(exact, "layer")
+    return held.select("layer", "n", "texts", (F.abs(F.col("about") - F.col("texts")) <= 0.05 * F.col("texts")).alias("distinct_holds"), ((F.col("below") <= 0.53) & (F.col("upto") >= 0.47)).alias("median_holds"))

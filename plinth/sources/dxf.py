@@ -587,26 +587,36 @@ def scan(files: DataFrame, skip_off_layers: bool = False) -> DataFrame:
     read, by type), and left (lines or bytes that are no tags). So a damaged file gives what is sound in it; one from which nothing can
     be read gives one row of kind ``error``."""
     ship(files.sparkSession)
-    kinds = pa.schema([("path", pa.string()), *((f.name, f.type) for f in _arrow_schema())])
+    kinds = arrow_schema()
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def kernel(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows: list[dict] = []
-                try:
-                    for row in Scanner(Drawing.parse(content or b""), skip_off_layers).rows():
-                        rows.append({"path": path, **row})
-                        if len(rows) >= 5000:
-                            yield _batch(rows, kinds)
-                            rows = []
-                except (ValueError, KeyError, RecursionError) as error:
-                    rows.append({"path": path, "row_kind": "error", "seq": 0, "value": str(error)})
-                if rows:
-                    yield _batch(rows, kinds)
+                yield from batches(path, content or b"", skip_off_layers, kinds)
 
     return files.select("path", "content").mapInArrow(kernel, f"path string, {SCHEMA}")
 
 
+def batches(path: str, content: bytes, skip_off_layers: bool, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A drawing's rows, 5,000 at a time."""
+    rows: list[dict] = []
+    try:
+        for row in Scanner(Drawing.parse(content), skip_off_layers).rows():
+            rows.append({"path": path, **row})
+            if len(rows) >= 5000:
+                yield _batch(rows, kinds)
+                rows = []
+    except (ValueError, KeyError, RecursionError) as error:
+        rows.append({"path": path, "row_kind": "error", "seq": 0, "value": str(error)})
+    if rows:
+        yield _batch(rows, kinds)
+
+
+def arrow_schema() -> pa.Schema:
+    """The rows' columns, after the path of their file."""
+    return pa.schema([("path", pa.string()), *((f.name, f.type) for f in _arrow_schema())])
+
+
 def _arrow_schema() -> pa.Schema:
     number, text = pa.float64(), pa.string()
     point = pa.list_(pa.struct([("x", number), ("y", number)]))
