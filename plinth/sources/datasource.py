@@ -68,7 +68,9 @@ class _Scans:
         self.skip = options.get("skip_off_layers", "false").lower() == "true"
         self.part = int(options.get("partition_bytes", 64 << 20))
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no files
+            return
         system, _ = _system(self.path)
         schema = dxf.arrow_schema()
         for path in partition.paths:
