@@ -90,7 +90,7 @@ def telling(labelled: DataFrame, settings: MiningSettings) -> tuple[DataFrame, D
     mark = F.xxhash64("_row")
     by = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.xxhash64(mark).cast("decimal(38,0)")).alias("s")).filter(F.col("n") >= settings.support * n)
     by = staged(by, "url-tokens")
-    classes = by.join(by.groupBy("n", "x", "s").agg(F.min("token").alias("stands")), ["n", "x", "s"]).select("token", "stands")
+    classes = staged(by.join(by.groupBy("n", "x", "s").agg(F.min("token").alias("stands")), ["n", "x", "s"]).select("token", "stands"), "url-classes")
     short = each.join(classes, "token").groupBy("_row").agg(F.collect_set("stands").alias("tokens"))  # a row's own tokens
     # Tokens shrink to little in a shuffle, whose size mustn't decide for a broadcast either.
     return rows.select("_row", "verdict").join(short.hint("merge"), "_row", "left").select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "verdict"), classes
