@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plinth.operators import beams, columns, schedules, vertical
+from plinth.operators.numbering import numbered
 from plinth.operators.records import CATEGORIES
 from plinth.operators.relational import Box, Selection, normalized, parsed_boxes, text_items
 from plinth.session import spare, staged
@@ -162,6 +163,5 @@ def appended_run(history: DataFrame, summary: DataFrame, config: ExtractionConfi
     """The history of runs (id, commit_id, category, rules_version, row_count, created_at) and a run for each summary;
     ids follow the greatest one."""
     last = history.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
-    # A call extracts some drawings: few enough rows to be numbered in one task.
-    new = summary.select((F.row_number().over(Window.orderBy("commit_id")) + F.lit(last)).cast("long").alias("id"), "commit_id", "category", F.lit(config.rules_version).alias("rules_version"), "row_count", at.alias("created_at"))
+    new = numbered(summary.select("commit_id", "category", F.lit(config.rules_version).alias("rules_version"), "row_count", at.alias("created_at")), ["commit_id"], "id", last)
     return history.unionByName(new.select(*(F.col(f.name).cast(f.dataType) for f in history.schema.fields)))

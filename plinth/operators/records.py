@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plinth.operators.numbering import numbered
 from plinth.operators.relational import merged_settings, orphaned, without
+from plinth.session import spare
 
 CATEGORIES = ["beam", "column", "wall", "slab"]
 #: Categories that use a selection box.
@@ -18,14 +20,15 @@ BOXED = ["beam", "column"]
 def added(table: DataFrame, requests: DataFrame, unique: str) -> tuple[DataFrame, DataFrame]:
     """(the table with the requests that are new by ``unique``, the refused ones). Among requests with one value
     the first by ``id`` counts; ids of new rows follow the table's greatest."""
+    place, known, ok = (spare([*table.columns, *requests.columns], n) for n in ("place", "known", "accepted"))
     rank = F.row_number().over(Window.partitionBy(unique).orderBy("id"))
-    fresh = requests.withColumn("_n", rank)
-    known = table.select(F.col(unique).alias("_known")).distinct()
-    taken = fresh.join(known, fresh[unique] == F.col("_known"), "left").withColumn("_ok", F.col("_known").isNull() & (F.col("_n") == 1) & F.col(unique).isNotNull())
+    fresh = requests.withColumn(place, rank)
+    taken = fresh.join(table.select(F.col(unique).alias(known)).distinct(), fresh[unique] == F.col(known), "left")
+    taken = taken.withColumn(ok, F.col(known).isNull() & (F.col(place) == 1) & F.col(unique).isNotNull())
     start = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    # Requests are what users send in one call: few enough to be numbered in one task.
-    new = taken.filter("_ok").withColumn("_k", F.row_number().over(Window.orderBy("id"))).withColumn("id", F.lit(start) + F.col("_k")).select(*table.columns)
-    return table.unionByName(new), taken.filter("not _ok").select(*requests.columns)
+    new = numbered(taken.filter(ok).drop(place, known, ok), ["id"], place, start)
+    new = new.drop("id").withColumnRenamed(place, "id").select(*table.columns)
+    return table.unionByName(new), taken.filter(~F.col(ok)).select(*requests.columns)
 
 
 def project_code(prefix: str, at: Column, seed: Column) -> Column:
