@@ -41,6 +41,7 @@ HINTS = frozenset(
     "sidebar rail menu nav navbar navigation topnav breadcrumb breadcrumbs crumbs footer masthead topbar comment comments commentlist disqus reply replies respond discussion share sharing social follow "
     "related recommended recommendations newsletter subscribe subscription signup login search searchbox pager pagination toolbar skip copyright".split()
 )
+READERS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 CALLS = re.compile(r"(\d+ )?(comments?|replies|responses|kommentare?|commentaires?|comentarios?)( \(?\d+\)?)?:?|leave a (reply|comment)|related( \w+)?|share( this)?( \w+)?|advertisements?|newsletter", re.I)
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -157,7 +158,7 @@ class Page:
         words = {w.lower() for k in ("class", "id") if k in told for w in _WORDS.findall(told[k])}
         gone = tag in GONE or bool(words & HINTS) or told.get("role", "").lower() in ROLES
         unseen = "hidden" in told or told.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(told.get("style", "")) is not None
-        self.gone.append("unseen" if unseen else gone)
+        self.gone.append("unseen" if unseen else "readers" if words & READERS else gone)
         self.named.append(tag in ("article", "main") or told.get("role", "").lower() in ("main", "article") or told.get("itemprop", "").lower() == "articlebody")
         if tag not in VOID:
             self.stack.append(node)
@@ -173,8 +174,14 @@ class Page:
 
 
 def _pruned(page: Page) -> np.ndarray:
-    """Which nodes go, with all in them, by what they say of themselves."""
+    """Which nodes go, with all in them, by what they say of themselves. A class like ``no-sidebar`` may stand at what holds the page:
+    words don't count, but for those of readers' comments, where half of all text is inside."""
     n = len(page.tags)
+    size = [0] * n
+    for node, text in page.events:
+        size[node] += len(text or "")
+    for node in range(n - 1, 0, -1):
+        size[page.parents[node]] += size[node]
     holds = list(page.named)  # whether a part that is named as the article is in it
     gone = [False] * n
     chars: dict[int, str] = {}
@@ -184,7 +191,9 @@ def _pruned(page: Page) -> np.ndarray:
     calls = {page.parents[node] for node, text in chars.items() if CALLS.fullmatch(" ".join(text.split()))}
     for node in range(n - 1, 0, -1):
         tag, said = page.tags[node], page.gone[node]
-        inner = holds[node] and not (page.named[node] and tag != "main" and said is True)
+        if said is True and tag not in GONE and 2 * size[node] >= size[0]:
+            said = False
+        inner = holds[node] and not (page.named[node] and tag != "main" and said in (True, "readers"))
         if tag == "main" or tag in ("html", "body"):
             gone[node] = said == "unseen" and tag == "main"
         elif said:

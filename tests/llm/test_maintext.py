@@ -33,6 +33,13 @@ def test_headings_name_comments_and_related_lists():
     assert main_text(page) == f"T {P[0]} {P[1]}"
 
 
+def test_words_at_what_holds_the_page_do_not_count():
+    page = f"<body><div class='menu'>{LINKS}</div><div class='layout no-sidebar'><h1>T</h1><p>{P[0]}</p><p>{P[1]}</p></div><div class='sidebar'><p>{P[2]}</p></div></body>"
+    assert main_text(page) == f"T {P[0]} {P[1]}"
+    page = f"<body><article><h1>T</h1><p>{P[0]}</p></article><div id='comments'><p>{P[1]}</p><p>{P[2]}</p><p>{P[3]}</p></div></body>"
+    assert main_text(page) == f"T {P[0]}"
+
+
 @pytest.mark.parametrize(
     "page, want",
     [
