@@ -138,9 +138,14 @@ def similar_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = edges.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     near = near.union(nodes.join(firsts, "fp").filter("node != first").select("first", "node"))
-    pairs = near.union(similar.candidates(texts, nodes, similar.common_elements(own), words, least, crowd)).distinct()
-    pairs = staged(similar.close(nodes, pairs, least), "pairs")
-    joined = components(similar.similar(texts, nodes, pairs, words, least))
+    found, crowds = similar.candidates(texts, nodes, similar.common_elements(own), words, least, crowd)
+    pairs = staged(similar.close(nodes, near.union(found).distinct(), least), "pairs")
+    linked = staged(similar.similar(texts, nodes, pairs, words, least), "similar")
+    joined = components(linked)
+    # Members of crowds that are apart so far: all their pairs are looked at.
+    apart = staged(similar.close(nodes, similar.crossing(crowds, joined, least), least), "crossing")
+    if not apart.isEmpty():
+        joined = components(linked.union(similar.similar(texts, nodes, apart, words, least)))
     named = nodes.join(joined.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "fp", "n", "best", F.coalesce("component", "node").alias("component"))
     kept = named.groupBy("component").agg(F.min("best").alias("b")).select("component", F.col("b.row").alias("first"))
     named = named.select("key", "fp", "n", "component").join(kept, "component")

@@ -7,10 +7,9 @@ one order of all elements (the prefix filter); the order here is by hash, but el
 last. Every candidate is verified by the whole sets.
 
 An element that up to ``crowd`` sets hold among their first makes all their pairs candidates, less those whose first elements
-share too little for the rest to make up. One that more sets hold is a crowd: each member is compared to two hubs of it, the
-sets with the most such elements. In a group of near copies those are the least changed ones. That finds the group's component:
-two sets similar to each other but not to a hub of their size share an element that the hub lacks, hence one that is rarer
-than the crowd's and, being rarer, among their first. So no pairs are listed within a crowd.
+share too little for the rest to make up. One that more sets hold is a crowd: each member is first compared to two hubs of it, the
+sets with the most such elements. In a group of near copies those are the least changed ones, and mostly join all of it. What hubs
+leave apart is compared in full: all pairs of a crowd's members in different components by then, dealt over tasks (``crossing``).
 
 No text is shuffled. Rows are numbered, and passes over the texts are told by number which rows to look at (``rows``).
 """
@@ -32,6 +31,8 @@ WORDS = 5
 #: Least similarity, as a fraction.
 SIMILARITY = (4, 5)
 CROWD = 32
+#: Members of a crowd that one task compares to all of it.
+TILE = 256
 #: Parts of the range of hashes, a power of two.
 SEGMENTS = 128
 #: One text of so many is looked through for common shingles, of which the most frequent are kept (2 MB).
@@ -121,8 +122,9 @@ def _chosen(texts: DataFrame, folder: str, schema: str, one: Callable[[np.ndarra
     return texts.mapInArrow(tidy(kernel), f"node bigint, value {schema}")
 
 
-def candidates(texts: DataFrame, nodes: DataFrame, common: np.ndarray, words: int = WORDS, least: tuple[int, int] = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """Pairs (a, b) of nodes (node, check, n) that share first elements; a node is the number of a row of ``texts``."""
+def candidates(texts: DataFrame, nodes: DataFrame, common: np.ndarray, words: int = WORDS, least: tuple[int, int] = SIMILARITY, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes (node, check, n) that share first elements; a node is the number of a row of ``texts``. And the members
+    (node, h, c, n, m) of crowds, of whose pairs only those with hubs are listed: sets of n elements, m of the first ones crowds'."""
     held = texts.sparkSession.sparkContext.broadcast(common)
     folder = decided(nodes.filter("n > 0").select(F.col("node").alias("row"), "check"))
     first = staged(_chosen(texts, folder, "array<bigint>", lambda own: prefix(own, held.value, least).view(np.int64), words), "first-elements")
@@ -134,17 +136,43 @@ def candidates(texts: DataFrame, nodes: DataFrame, common: np.ndarray, words: in
     pairs = few.alias("p").join(few.alias("q"), (F.col("p.h") == F.col("q.h")) & (F.col("p.node") < F.col("q.node")) & _sized("p.n", "q.n", least))
     pairs = pairs.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count("*").alias("met"))
     pairs = pairs.join(lengths.selectExpr("node as a", "n as na", "m as ma"), "a").join(lengths.selectExpr("node as b", "n as nb", "m as mb"), "b")
-    # What comes after the first elements, and what two sets must share: shared ones are first in both, or after those of one.
-    after = lambda n: f"(({n} * {least[0]}L + {least[1] - 1}) div {least[1]} - 1)"
-    pairs = pairs.filter(f"(met + least(ma, mb) + greatest({after('na')}, {after('nb')})) * {sum(least)} >= (na + nb) * {least[0]}L").select("a", "b")
+    pairs = pairs.filter(_enough("met + least(ma, mb)", least)).select("a", "b")
     # Hubs: of each crowd the set of whose first elements the greatest share is crowds', then the smallest; and the next one.
-    share = F.col("m") / (F.col("n") - F.expr(after("n")))
-    ranked = many.join(lengths.select("node", "m"), "node").withColumn("rank", F.struct(share.alias("share"), (-F.col("n")).alias("n"), (-F.col("node")).alias("node")))
+    share = F.col("m") / (F.col("n") - F.expr(_after("n", least)))
+    many = many.join(lengths.select("node", "m"), "node")
+    ranked = many.withColumn("rank", F.struct(share.alias("share"), (-F.col("n")).alias("n"), (-F.col("node")).alias("node")))
     top = ranked.groupBy("h").agg(F.max("rank").alias("one"))
     next_ = ranked.join(top, "h").filter(F.col("rank") < F.col("one")).groupBy("h").agg(F.max("rank").alias("two"))
     hubs = top.join(next_, "h").select("h", F.explode(F.array("one", "two")).alias("hub")).select("h", (-F.col("hub.node")).alias("hub"), (-F.col("hub.n")).alias("hn"))
     stars = many.join(hubs, "h").filter((F.col("node") != F.col("hub")) & _sized("n", "hn", least)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    return pairs.union(stars.distinct()).distinct()
+    return pairs.union(stars.distinct()).distinct(), many
+
+
+def crossing(crowds: DataFrame, joined: DataFrame, least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of members (node, h, c, n, m) of one crowd that ``joined`` (node, component) has in different components.
+
+    A pair that shares first elements of no crowd as well was a candidate already, so these share crowds' ones only, enough of them
+    for the rest to make up. A crowd's members are dealt out, and each part meets all of it in a task of its own."""
+    own = crowds.join(joined.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = own.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("h")
+    own = staged(own.join(mixed, "h").withColumn("tiles", F.ceil(F.col("c") / TILE)), "mixed-crowds")
+    side = lambda df, x: df.select("h", "tile", *(F.col(c).alias(f"{k}{x}") for c, k in (("node", ""), ("n", "n"), ("m", "m"), ("component", "g"))))
+    a = side(own.withColumn("tile", F.pmod(F.xxhash64("node", "h"), "tiles")), "a")
+    b = side(own.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))), "b")
+    met = a.join(b.hint("merge"), ["h", "tile"]).filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _sized("na", "nb", least) & F.expr(_enough("least(ma, mb)", least)))
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return shared.filter(_enough("met", least)).select("a", "b")
+
+
+def _after(n: str, least: tuple[int, int]) -> str:
+    """How many elements come after the first ones of a set of n."""
+    return f"(({n} * {least[0]}L + {least[1] - 1}) div {least[1]} - 1)"
+
+
+def _enough(met: str, least: tuple[int, int]) -> str:
+    """Whether sets of na and nb elements that share at most ``met`` first ones can be similar: what else they share comes after the first
+    elements of one."""
+    return f"({met} + greatest({_after('na', least)}, {_after('nb', least)})) * {sum(least)} >= (na + nb) * {least[0]}L"
 
 
 def _sized(a: str, b: str, least: tuple[int, int]):

@@ -122,3 +122,26 @@ def test_moved_rows_are_an_error(spark):
 @pytest.mark.parametrize("rows", [[], [(None, None)]])
 def test_empty(spark, rows):
     assert keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+
+
+def crowded_pairs(seed=7):
+    """Families of texts of 100 words that share 75, and pairs within that share 14 more: only a pair is similar, and its first
+    elements may all be the family's."""
+    rng = random.Random(seed)
+    texts = []
+    for family in range(12):
+        held = [f"s{family}x{i}" for i in range(75)]
+        for pair in range(15):
+            both = [f"p{family}x{pair}x{i}" for i in range(14)]
+            texts += [held + both + [f"o{rng.randrange(10**12)}" for _ in range(11)] for _ in range(2)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("tile", [4, 256])
+def test_crowds_lose_no_link_that_hubs_do_not_show(spark, monkeypatch, tile):
+    monkeypatch.setattr(similar, "TILE", tile)
+    rows = crowded_pairs()
+    sets = [shingles(t, 1) for _, t in rows]
+    assert all((5 * len(a & b) >= 4 * len(a | b)) == (i // 2 == j // 2) for i, a in enumerate(sets[:60]) for j, b in enumerate(sets[:60]))
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string"), words=1, crowd=8)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, len(rows), 2))
