@@ -58,17 +58,23 @@ def _unit(texts: pa.Array, langs: pa.Array, sources: pa.Array) -> list:
     place = {name: i for i, name in enumerate(names)}
     group = np.array([place[x["lang"], x["source"]] for x in pairs.to_pylist()], np.int64)
     data, offsets = utf8(texts)
-    data = LOWER[data]
-    starts, ends, bounds = word_spans(data, offsets, LETTERS)
-    code, first = distinct_spans(data, starts, ends)
-    raw = data.tobytes()
-    terms = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())]
+    codes, parts = {}, []
+    for lo, hi in groups(offsets):  # what words take beside the text is held for one run of texts at a time
+        own = LOWER[data[offsets[lo] : offsets[hi]]]
+        starts, ends, bounds = word_spans(own, offsets[lo : hi + 1] - offsets[lo], LETTERS)
+        code, first = distinct_spans(own, starts, ends)
+        raw, many = own.tobytes(), max(len(first), 1)
+        shared = np.fromiter((codes.setdefault(raw[i:j], len(codes)) for i, j in zip(starts[first].tolist(), ends[first].tolist())), np.int32, len(first))
+        pair, n = np.unique(np.repeat(np.arange(lo, hi), np.diff(bounds)) * many + code, return_counts=True)
+        parts.append(((pair // many).astype(np.int32), shared[pair % many], n.astype(np.int32)))
+    terms, many = list(codes), max(len(codes), 1)
     order = sorted(range(len(terms)), key=terms.__getitem__)
-    rank = np.empty(len(terms), np.int64)
+    rank = np.empty(len(terms), np.int32)
     rank[order] = np.arange(len(terms))
-    doc, many = np.repeat(np.arange(len(group)), np.diff(bounds)), max(len(terms), 1)
-    pair, n = np.unique(doc * many + rank[code], return_counts=True)
-    doc, code = pair // many, pair % many
+    doc, code, n = (np.concatenate(x) for x in zip(*parts))
+    code = rank[code]
+    by = np.lexsort((code, doc))
+    doc, code, n = doc[by], code[by], n[by]
     cell, at = np.unique(group[doc] * many + code, return_inverse=True)
     total, docs = np.zeros(len(cell), np.int64), np.bincount(at, minlength=len(cell))
     np.add.at(total, at, n)

@@ -83,3 +83,19 @@ def test_counts_beyond_64_bits(spark):
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, None)]])
 def test_empty(spark, rows):
     assert audit(spark.createDataFrame(rows, SCHEMA)).collect() == []
+
+
+def test_units_hold_what_words_take_for_a_run_of_texts_only(monkeypatch):
+    """A unit of several runs is the same as one of a single run."""
+    import pyarrow as pa
+
+    from plinth.llm import divergence
+
+    texts = [pa.array(["b a c", "", "A b b 1", "zz a", "c c c"]), pa.array(["x", "x", "", "y", "x"]), pa.array(["s", "t", "s", "s", "s"])]
+    spans = []
+    old = divergence.word_spans
+    monkeypatch.setattr(divergence, "word_spans", lambda data, *a: (spans.append(len(data)), old(data, *a))[1])
+    whole = divergence._unit(*texts)
+    monkeypatch.setattr(divergence, "groups", lambda offsets: [(0, 2), (2, 3), (3, 5)])
+    assert divergence._unit(*texts) == whole
+    assert spans == [21, 5, 7, 9]
