@@ -247,6 +247,9 @@ def fit(rows: list[tuple[int, str, list]], settings: LanguageSettings = Language
     x = Sparse([f for _, _, own in rows for f in own[:REAL]])
     labels = np.repeat([number[l] for _, l, _ in rows], REAL)
     later = np.repeat([for_calibration(h) for h, _, _ in rows], REAL)
+    fakes = sum(len(own) - REAL for _, _, own in rows)
+    shuffled = Sparse([f for _, _, own in rows for f in own[REAL:]]) if fakes else None
+    del rows  # the driver holds each feature once from here on
     if later.all() or not later.any():  # too few rows to set some apart
         later = np.zeros(len(labels), bool)
     train = np.flatnonzero(~later)
@@ -279,11 +282,9 @@ def fit(rows: list[tuple[int, str, list]], settings: LanguageSettings = Language
     temperature = float(temperatures[int(np.argmin(loss))])
     p = softmax(z / temperature)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-    shuffled = [f for _, _, own in rows for f in own[REAL:]]
     if not len(right):
         return LanguageModel(languages, table, temperature, 0.0)
-    none = Sparse(shuffled).means(np.arange(len(shuffled)), table[:, :-1].T) if shuffled else np.zeros((0, len(languages)))
-    none = softmax(none / temperature).max(axis=1) if len(none) else np.zeros(0)
+    none = np.concatenate([np.zeros(0), *(softmax(shuffled.means(np.arange(a, min(a + 256, fakes)), table[:, :-1].T) / temperature).max(axis=1) for a in range(0, fakes, 256))])
     # The least sum of both kinds of errors, among thresholds that reject no more right ones than allowed.
     steps = np.unique(right[: int(settings.false_rejects * len(right)) + 1])
     wrong = [np.searchsorted(right, t) / len(right) + (none >= t).sum() / max(len(none), 1) for t in steps]
