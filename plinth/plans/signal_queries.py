@@ -100,7 +100,7 @@ WITH d AS ({V.TEXTS}) SELECT commit_id, count(*) AS n, CAST(arg_max(regexp_extra
 """)
 def signal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.with_signals(spread(V.texts(spark, sf_dir)), "text", "s")
-    items = F.transform(F.array_sort(F.collect_list(F.struct("x", "id", "text", "s"))), lambda i: i["s"])
+    items = F.transform(F.sort_array(F.collect_list(F.struct("x", "id", "text", "s"))), lambda i: i["s"])
     out = rows.groupBy("commit_id").agg(F.count("*").alias("n"), S.let(items, S.merged_signals).alias("m"))
     return out.select("commit_id", "n", "m.rebar_d", "m.spacing")
 
