@@ -335,28 +335,37 @@ NARROW_WORDS = [
 ]
 
 
+_JOINTS = re.compile(r"[\s　_\-./－–]+")
+
+
 def compact(text: str) -> str:
-    return re.sub(r"[\s　_\-./－–]+", "", text.strip().lower())
+    return _JOINTS.sub("", text.strip().lower())
 
 
-SHORT = {key: [compact(a) for a in aliases] for key, aliases in HEADER_WORDS.items()}
+SHORT = {key: tuple(compact(a) for a in aliases) for key, aliases in HEADER_WORDS.items()}
+_BARS = [(bar, re.compile(word)) for bar, word in BAR_WORDS]
+_ZONES = [(zone, re.compile(word), re.compile(local)) for zone, (word, local, _) in ZONE_WORDS.items()]
+_NARROW = [(key, re.compile(word), re.compile(local)) for key, word, local in NARROW_WORDS]
 
 
 @lru_cache(1 << 16)
 def wide_key(cell: str) -> str | None:
     """The key of a wide table's column."""
-    c, plain = compact(cell), ALL_SPACES.sub(" ", cell.lower())
+    c = compact(cell)
     if not c:
         return None
     for key, aliases in SHORT.items():
-        if any(c.startswith(a) or c.endswith(a) for a in aliases):
+        if c.startswith(aliases) or c.endswith(aliases):
             return key
     if "side" in c and ("bar" in c or "철근" in cell):
         return "side_bar"
-    zones = [z for z, (word, local, _) in ZONE_WORDS.items() if re.search(word, plain) or re.search(local, cell)]
+    bar = next((b for b, word in _BARS if word.search(c)), None)
+    if not bar:
+        return None  # most cells: their zones don't matter
+    plain = ALL_SPACES.sub(" ", cell.lower())
+    zones = [z for z, word, local in _ZONES if word.search(plain) or local.search(cell)]
     zone = zones[0] if len(zones) == 1 else next((z for z, (_, _, short) in ZONE_WORDS.items() if c in short), None)
-    bar = next((b for b, word in BAR_WORDS if re.search(word, c)), None)
-    return f"{zone}_{bar}" if zone and bar else None
+    return f"{zone}_{bar}" if zone else None
 
 
 @lru_cache(1 << 16)
@@ -367,7 +376,7 @@ def narrow_key(cell: str) -> str | None:
         return None
     if c in "name" or "부호" in cell:
         return "name"
-    return next((key for key, word, local in NARROW_WORDS if re.search(word, c) or re.search(local, cell)), None)
+    return next((key for key, word, local in _NARROW if word.search(c) or local.search(cell)), None)
 
 
 Keys = list[str | None]
