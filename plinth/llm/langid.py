@@ -10,14 +10,15 @@ texts of no language.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plinth.llm.common import groups, prepare, release, tidy, utf8
+from plinth.llm.common import groups, prepare, tidy, utf8
 
 UNKNOWN = "und"
 
@@ -186,14 +187,15 @@ def counts(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (at.astype(np.int32), (n / max(len(seen), 1)).astype(np.float32)) if len(at) else (np.zeros(1, np.int32), np.zeros(1, np.float32))
 
 
-def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, settings: LanguageSettings) -> list[tuple[int, str, list]]:
-    """(hash, language, features) of the drawn rows that a fit may see, in the order of that hash, which is of id and text: rows
-    that repeat both are one. Exactly ``settings.each`` rows of a language are drawn, or all it has, however many that are."""
+def drawn_features(df: DataFrame, id_col: str, text_col: str, lang_col: str, settings: LanguageSettings) -> DataFrame | None:
+    """(h, l, bucket, share): hash, language and features of the drawn rows that a fit may see; none without a labelled row. The
+    hash is of id and text: rows that repeat both are one. Exactly ``settings.each`` rows of a language are drawn, or all it has,
+    however many that are."""
     rows = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.filter(F.col("i").isNotNull() & F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out("i"))
     known = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(settings.most_languages).collect()
     if not known:
-        return []
+        return None
     each = settings.each(len(known))
     # A draw at twice the rate and some more falls short of so many rows with no chance worth naming; the rest are cut exactly.
     below = [(r["l"], draw_threshold(r["n"], 2 * each + 200)) for r in known]
@@ -210,13 +212,21 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, settings: L
             parts = [pa.array([[x[j].tobytes() for x in row] for row in own], pa.list_(pa.binary())) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), *parts], ["h", "l", "bucket", "share"])
 
-    found = drawn.select("l", "h", "t").mapInArrow(tidy(kernel), "h bigint, l string, bucket array<binary>, share array<binary>")
-    out = []
-    for r in found.toLocalIterator():
-        out.append((r["h"], r["l"], [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32)) for b, w in zip(r["bucket"], r["share"])]))
+    return drawn.select("l", "h", "t").mapInArrow(tidy(kernel), "h bigint, l string, bucket array<binary>, share array<binary>")
+
+
+def _read(rows: Iterable) -> list[tuple[int, str, list]]:
+    """(hash, language, features) of rows of ``drawn_features``, in the order of the hash."""
+    out = [(r["h"], r["l"], [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32)) for b, w in zip(r["bucket"], r["share"])]) for r in rows]
     return sorted(out, key=lambda x: x[:2])
 
 
+def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, settings: LanguageSettings) -> list[tuple[int, str, list]]:
+    """The rows of ``drawn_features`` on the driver."""
+    found = drawn_features(df, id_col, text_col, lang_col, settings)
+    return _read(found.toLocalIterator()) if found is not None else []
+
+
 class Sparse:
     """Mean one-hot vectors of texts' subwords, row by row: buckets and weights."""
 
@@ -249,7 +259,7 @@ def fit(rows: list[tuple[int, str, list]], settings: LanguageSettings = Language
     later = np.repeat([for_calibration(h) for h, _, _ in rows], REAL)
     fakes = sum(len(own) - REAL for _, _, own in rows)
     shuffled = Sparse([f for _, _, own in rows for f in own[REAL:]]) if fakes else None
-    del rows  # the driver holds each feature once from here on
+    del rows  # each feature is held once from here on
     if later.all() or not later.any():  # too few rows to set some apart
         later = np.zeros(len(labels), bool)
     train = np.flatnonzero(~later)
@@ -294,11 +304,19 @@ def fit(rows: list[tuple[int, str, list]], settings: LanguageSettings = Language
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: LanguageSettings = LanguageSettings()) -> LanguageModel:
     """A model of the labelled rows of ``df`` that may be seen. Rows with a null id, text or language teach nothing; without
-    any others the model knows no language and calls every text ``und``."""
+    any others the model knows no language and calls every text ``und``. One task fits the drawn rows, whose number is bounded, so
+    the driver gets the model alone."""
     prepare(df)
-    model = fit(sample(df, id_col, text_col, lang_col, settings), settings)
-    release()
-    return model
+    found = drawn_features(df, id_col, text_col, lang_col, settings)
+    if found is None:
+        return fit([], settings)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit(_read(row for batch in batches for row in batch.to_pylist()), settings)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    (row,) = found.repartition(1).mapInArrow(tidy(kernel), "model binary").collect()
+    return pickle.loads(row["model"])
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

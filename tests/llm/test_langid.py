@@ -134,3 +134,13 @@ def test_threshold_and_its_figure():
     assert 0 < model.threshold <= 0.5 and 0 <= model.rejected <= 1
     strict = fit(rows, replace(SMALL, most_threshold=1.0))
     assert strict.threshold >= model.threshold and strict.rejected >= model.rejected
+
+
+def test_the_driver_fits_nothing(spark, monkeypatch):
+    """The check: drawn rows and their fit are one task's, so the driver's memory holds the model alone."""
+    df = spark.createDataFrame(corpus(120), "doc_id long, text string, lang string, truth string")
+    here = fit(sample(df, "doc_id", "text", "lang", SMALL), SMALL)
+    monkeypatch.setattr("plinth.llm.langid.sample", None)
+    there = train(df, settings=SMALL)
+    assert there.languages == here.languages and np.array_equal(there.table, here.table)
+    assert (there.temperature, there.threshold) == (here.temperature, here.threshold)
