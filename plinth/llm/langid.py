@@ -27,7 +27,7 @@ UNKNOWN = "und"
 class LanguageSettings:
     """``per_language``: the most labelled rows that are drawn of a language, by a hash of id and text; ``most_languages``: how
     many languages are learned, those with the most labelled rows first; ``most_rows``: the most rows in all, shared evenly. A row
-    is counts of its whole text by bucket, so together they bound what the driver holds."""
+    is counts of its whole text by bucket, so together they bound what the fit holds."""
 
     per_language: int = 800
     most_languages: int = 200
