@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterable, Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,6 +150,8 @@ def draw_threshold(count: int, wanted: int) -> int:
     return (1 << 63) - 1 if count <= wanted else (wanted << 63) // count
 
 
+#: Sampled rows whose features a task holds at once before it sends them on.
+ROWS_AT_ONCE = 64
 #: Row numbers of a sampled text's features: the text, two short runs of its words, and, for calibration, the same shuffled.
 REAL = 3
 
@@ -208,9 +211,11 @@ def drawn_features(df: DataFrame, id_col: str, text_col: str, lang_col: str, set
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [features(t, h, buckets) for t, h in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
-            parts = [pa.array([[x[j].tobytes() for x in row] for row in own], pa.list_(pa.binary())) for j in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), *parts], ["h", "l", "bucket", "share"])
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(low, ROWS_AT_ONCE)
+                own = [features(t, h, buckets) for t, h in zip(some.column(2).to_pylist(), some.column(1).to_pylist())]
+                parts = [pa.array([[x[j].tobytes() for x in row] for row in own], pa.list_(pa.binary())) for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([some.column(1), some.column(0), *parts], ["h", "l", "bucket", "share"])
 
     return drawn.select("l", "h", "t").mapInArrow(tidy(kernel), "h bigint, l string, bucket array<binary>, share array<binary>")
 
@@ -228,38 +233,88 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, settings: L
 
 
 class Sparse:
-    """Mean one-hot vectors of texts' subwords, row by row: buckets and weights."""
-
-    def __init__(self, own: list[tuple[np.ndarray, np.ndarray]]):
-        self.bucket, self.weight = (np.concatenate(x) for x in zip(*own))
-        self.edge = np.concatenate([[0], np.cumsum([len(x) for x, _ in own])])
+    """Mean one-hot vectors of texts' subwords, row by row: buckets, in two bytes each where that is enough, and weights. Parts are
+    taken from the list as they are copied, so that none is held twice."""
+
+    def __init__(self, own: list[tuple[np.ndarray, np.ndarray]], edge: np.ndarray | None = None, buckets: int = 1 << 31):
+        edge = np.concatenate([[0], np.cumsum([len(x) for x, _ in own])]).astype(np.int64) if edge is None else edge
+        self.start, self.size = edge[:-1], np.diff(edge)
+        self.bucket, self.weight = np.empty(edge[-1], np.uint16 if buckets <= 1 << 16 else np.int32), np.empty(edge[-1], np.float32)
+        at = 0
+        own.reverse()
+        while own:
+            bucket, weight = own.pop()
+            self.bucket[at : at + len(bucket)], self.weight[at : at + len(bucket)] = bucket, weight
+            at += len(bucket)
+
+    def picked(self, at: np.ndarray) -> Sparse:
+        """Some of the rows, in the order given. Buckets and weights are shared, not copied."""
+        out = copy(self)
+        out.start, out.size = self.start[at], self.size[at]
+        return out
 
     def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets and weights of some rows, and where each row begins among them."""
-        size = self.edge[at + 1] - self.edge[at]
+        size = self.size[at]
         first = np.cumsum(size) - size
-        pick = np.repeat(self.edge[at] - first, size) + np.arange(size.sum())
-        return self.bucket[pick], self.weight[pick], first
+        pick = np.repeat(self.start[at] - first, size) + np.arange(size.sum())
+        return self.bucket[pick].astype(np.int32), self.weight[pick], first
 
     def means(self, at: np.ndarray, table: np.ndarray) -> np.ndarray:
         bucket, weight, first = self.rows(at)
         return np.add.reduceat(table[bucket] * weight[:, None], first, axis=0)
 
 
+@dataclass
+class Drawn:
+    """Drawn rows in the order of hash and language, as a fit takes them: each row's runs, and those for calibration shuffled."""
+
+    hashes: list[int]
+    names: list[str]
+    runs: Sparse
+    shuffled: Sparse
+
+
+def _in_order(hashes: list[int], names: list[str], each: np.ndarray, held: Sparse) -> Drawn:
+    """``each``: how many features a row has in ``held``."""
+    order = np.array(sorted(range(len(names)), key=lambda i: (hashes[i], names[i])), np.int64)
+    first, extra = (np.cumsum(each) - each)[order], (each - REAL)[order]
+    more = np.repeat(first + REAL - (np.cumsum(extra) - extra), extra) + np.arange(extra.sum())
+    return Drawn([hashes[i] for i in order], [names[i] for i in order], held.picked((first[:, None] + np.arange(REAL)).ravel()), held.picked(more))
+
+
+def gathered(batches: Iterable[pa.RecordBatch], buckets: int) -> Drawn:
+    """What ``drawn_features`` gives, batch by batch: numbers go from Arrow's buffers into one array, without an object for a row."""
+    hashes, names, each, sizes, own = [], [], [], [], []
+    narrow = np.uint16 if buckets <= 1 << 16 else np.int32
+    for batch in batches:
+        hashes += batch.column(0).to_pylist()
+        names += batch.column(1).to_pylist()
+        each.append(batch.column(2).value_lengths().to_numpy().astype(np.int64))
+        (bucket, ends), (share, _) = (utf8(batch.column(c).flatten()) for c in (2, 3))
+        sizes.append(np.diff(ends) // 4)
+        own.append((np.frombuffer(bucket, np.int32).astype(narrow), np.frombuffer(share, np.float32).copy()))
+    edge = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int64)
+    return _in_order(hashes, names, np.concatenate([np.zeros(0, np.int64), *each]), Sparse(own, edge, buckets))
+
+
 def fit(rows: list[tuple[int, str, list]], settings: LanguageSettings = LanguageSettings()) -> LanguageModel:
-    """Train on five sixths of the sampled rows, calibrate on the rest."""
-    languages = sorted({l for _, l, _ in rows})
+    """A model of sampled rows (hash, language, features)."""
+    each = np.array([len(own) for *_, own in rows], np.int64)
+    return fitted(_in_order([h for h, *_ in rows], [l for _, l, _ in rows], each, Sparse([f for *_, own in rows for f in own], buckets=settings.buckets)), settings)
+
+
+def fitted(drawn: Drawn, settings: LanguageSettings = LanguageSettings()) -> LanguageModel:
+    """Train on five sixths of the drawn rows, calibrate on the rest."""
+    languages = sorted(set(drawn.names))
     blank = LanguageModel(languages, np.zeros((len(languages), settings.buckets + 1), np.float32), 1.0, 0.0)
-    if not rows:
+    if not languages:
         return blank
     rng = np.random.default_rng(20)
     number = {l: i for i, l in enumerate(languages)}
-    x = Sparse([f for _, _, own in rows for f in own[:REAL]])
-    labels = np.repeat([number[l] for _, l, _ in rows], REAL)
-    later = np.repeat([for_calibration(h) for h, _, _ in rows], REAL)
-    fakes = sum(len(own) - REAL for _, _, own in rows)
-    shuffled = Sparse([f for _, _, own in rows for f in own[REAL:]]) if fakes else None
-    del rows  # each feature is held once from here on
+    x, shuffled, fakes = drawn.runs, drawn.shuffled, len(drawn.shuffled.size)
+    labels = np.repeat([number[l] for l in drawn.names], REAL)
+    later = np.repeat([for_calibration(h) for h in drawn.hashes], REAL)
     if later.all() or not later.any():  # too few rows to set some apart
         later = np.zeros(len(labels), bool)
     train = np.flatnonzero(~later)
@@ -312,7 +367,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return fit([], settings)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = fit(_read(row for batch in batches for row in batch.to_pylist()), settings)
+        model = fitted(gathered(batches, settings.buckets), settings)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     (row,) = found.repartition(1).mapInArrow(tidy(kernel), "model binary").collect()

@@ -144,3 +144,28 @@ def test_the_driver_fits_nothing(spark, monkeypatch):
     there = train(df, settings=SMALL)
     assert there.languages == here.languages and np.array_equal(there.table, here.table)
     assert (there.temperature, there.threshold) == (here.temperature, here.threshold)
+
+
+def test_a_fit_holds_each_feature_once(monkeypatch):
+    """The check: one task holds all drawn rows' features, so they come batch by batch and are held in as few bytes as they need."""
+    import pyarrow as pa
+
+    from plinth.llm import langid
+
+    buckets = 1 << 12
+    rows = [(h, l, features(t * 3, h, buckets)) for h, (_, t, _, l) in zip(random.Random(3).sample(range(10**6), 300), corpus(300))]
+    raw = sum(b.nbytes + w.nbytes for *_, own in rows for b, w in own)
+
+    def batches():
+        for low in range(0, len(rows), 7):
+            some = rows[low : low + 7]
+            parts = [pa.array([[f[j].tobytes() for f in own] for *_, own in some], pa.list_(pa.binary())) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, *_ in some]), pa.array([l for _, l, _ in some]), *parts], ["h", "l", "bucket", "share"])
+
+    settings = replace(SMALL, buckets=buckets)
+    drawn = langid.gathered(batches(), buckets)
+    assert drawn.runs.bucket is drawn.shuffled.bucket and drawn.runs.weight is drawn.shuffled.weight
+    assert drawn.runs.bucket.nbytes + drawn.runs.weight.nbytes == raw * 6 // 8  # eight bytes a feature come in, six stay
+    got, whole = langid.fitted(drawn, settings), fit(sorted(rows, key=lambda x: x[:2]), settings)
+    assert np.array_equal(got.table, whole.table) and (got.temperature, got.threshold, got.rejected) == (whole.temperature, whole.threshold, whole.rejected)
+    assert langid.fitted(langid.gathered(iter([]), buckets), settings).languages == []
