@@ -38,6 +38,8 @@ LEAST_DOCS = 3
 FIRST_WIDTH = 4
 #: Bytes of text that make a unit, about.
 UNIT_BYTES = 8 << 20
+#: Numbers below this are told apart by a table of them, greater ones by sorting.
+DENSE = 1 << 21
 #: Bits of the filter for each prefix that is alive.
 BITS_EACH = 16
 #: Probabilities are whole parts of this.
@@ -51,6 +53,12 @@ _UNIT = "langs array<string>, sources array<string>, terms binary, term_ends bin
 _NAMES = [c.split()[0] for c in _UNIT.split(", ")]
 
 
+def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some spans one after the other, and each one's size."""
+    size = ends - starts
+    return data[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+
 def _unit(texts: pa.Array, langs: pa.Array, sources: pa.Array) -> list:
     """The columns of one unit."""
     pairs = pa.StructArray.from_arrays([langs, sources], ["lang", "source"])
@@ -58,28 +66,32 @@ def _unit(texts: pa.Array, langs: pa.Array, sources: pa.Array) -> list:
     place = {name: i for i, name in enumerate(names)}
     group = np.array([place[x["lang"], x["source"]] for x in pairs.to_pylist()], np.int64)
     data, offsets = utf8(texts)
-    codes, parts = {}, []
+    parts, words, before = [], [], 0
     for lo, hi in groups(offsets):  # what words take beside the text is held for one run of texts at a time
         own = LOWER[data[offsets[lo] : offsets[hi]]]
         starts, ends, bounds = word_spans(own, offsets[lo : hi + 1] - offsets[lo], LETTERS)
         code, first = distinct_spans(own, starts, ends)
-        raw, many = own.tobytes(), max(len(first), 1)
-        shared = np.fromiter((codes.setdefault(raw[i:j], len(codes)) for i, j in zip(starts[first].tolist(), ends[first].tolist())), np.int32, len(first))
-        pair, n = np.unique(np.repeat(np.arange(lo, hi), np.diff(bounds)) * many + code, return_counts=True)
-        parts.append(((pair // many).astype(np.int32), shared[pair % many], n.astype(np.int32)))
-    terms, many = list(codes), max(len(codes), 1)
-    order = sorted(range(len(terms)), key=terms.__getitem__)
-    rank = np.empty(len(terms), np.int32)
-    rank[order] = np.arange(len(terms))
+        pair, n = np.unique(np.repeat(np.arange(lo, hi), np.diff(bounds)) * max(len(first), 1) + code, return_counts=True)
+        doc, code = np.divmod(pair, max(len(first), 1))
+        parts.append((doc.astype(np.int32), (code + before).astype(np.int32), n.astype(np.int32)))
+        words.append(_spelled(own, starts[first], ends[first]))
+        before += len(first)
+    raw, size = (np.concatenate(x) for x in zip(*words))
+    known, first = distinct_spans(raw, np.cumsum(size) - size, np.cumsum(size))
+    terms, size = _spelled(raw, (np.cumsum(size) - size)[first], np.cumsum(size)[first])
+    terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(terms)])
+    order, many = pc.array_sort_indices(terms), max(len(size), 1)
+    rank = np.empty(len(size), np.int32)
+    rank[order.to_numpy()] = np.arange(len(size))
     doc, code, n = (np.concatenate(x) for x in zip(*parts))
-    code = rank[code]
-    by = np.lexsort((code, doc))
+    code = rank[known[code]]
+    by = np.argsort(doc.astype(np.int64) * many + code)
     doc, code, n = doc[by], code[by], n[by]
     cell, at = np.unique(group[doc] * many + code, return_inverse=True)
-    total, docs = np.zeros(len(cell), np.int64), np.bincount(at, minlength=len(cell))
-    np.add.at(total, at, n)
+    total, docs = np.bincount(at, n, len(cell)).astype(np.int64), np.bincount(at, minlength=len(cell))  # less than 2^53: exact
+    spelled, ends = utf8(terms.take(order))
     blobs = [
-        b"".join(terms[i] for i in order), np.cumsum([len(terms[i]) for i in order], dtype=np.int64), group, np.searchsorted(doc, np.arange(len(group)), "right"),
+        spelled.tobytes(), ends[1:], group, np.searchsorted(doc, np.arange(len(group)), "right"),
         code.astype(np.int32), cell // many, (cell % many).astype(np.int32), total, docs,
     ]
     return [[x[0] for x in names], [x[1] for x in names], *(x if isinstance(x, bytes) else x.tobytes() for x in blobs)]
@@ -125,6 +137,36 @@ def _keys(row: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return span_hashes(data, starts, np.minimum(ends, starts + width)), ends - starts, langs
 
 
+def _seen(numbers: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in ascending order, and the place of each number among them."""
+    if below > DENSE:
+        return np.unique(numbers, return_inverse=True)
+    there = np.zeros(below, bool)
+    there[numbers] = True
+    return np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[numbers]
+
+
+def _prefixes(row: dict, width: int, before: tuple[int, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a unit: prints of the prefixes that are alive, the documents that hold each, and the length of its longest term. Prints
+    and what is alive are found once for each term and language, not for each document that holds a term."""
+    prefix, size, langs = _keys(row, width)
+    code, group = _array(row, "codes", np.int32), _array(row, "doc_group", np.int64)
+    names, lang = np.unique(langs, return_inverse=True)
+    doc, many = np.repeat(np.arange(len(group), dtype=np.int32), np.diff(_array(row, "doc_ends", np.int64), prepend=0)), max(len(size), 1)
+    cell, at = _seen((lang[group] * many)[doc] + code, len(names) * many)
+    lang, term = names[cell // many], cell % many
+    if before:
+        alive = passes(mix(_keys(row, before[0])[0][term] ^ lang), before[1]) if len(cell) else np.zeros(0, bool)
+        doc, at = doc[alive[at]], (np.cumsum(alive) - 1)[at[alive[at]]]
+        lang, term = lang[alive], term[alive]
+    keys, of = np.unique(mix(prefix[term] ^ lang), return_inverse=True)
+    key, longest = of[at], np.zeros(len(keys), np.int64)
+    np.maximum.at(longest, of, size[term])
+    fresh = np.ones(len(key), bool)  # terms stand in byte order, so those of one prefix are neighbours
+    fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    return keys, np.bincount(key[fresh], minlength=len(keys)), longest
+
+
 def prefix_counts(found: DataFrame, width: int, before: tuple[int, Broadcast] | None) -> DataFrame:
     """(print, docs, longest): for each prefix of ``width`` bytes and language, shorter terms whole, the documents that hold it, and
     the length of its longest term, among the terms that the level ``before`` (width, filter) left."""
@@ -133,23 +175,9 @@ def prefix_counts(found: DataFrame, width: int, before: tuple[int, Broadcast] |
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
-                prefix, size, langs = _keys(row, width)
-                code, group = _array(row, "codes", np.int32), _array(row, "doc_group", np.int64)
-                many = np.diff(_array(row, "doc_ends", np.int64), prepend=0)
-                doc = np.repeat(np.arange(len(group)), many)
-                lang = langs[group][doc]
-                if before:
-                    alive = passes(mix(_keys(row, before[0])[0][code] ^ lang), before[1].value) if len(code) else np.zeros(0, bool)
-                    code, doc, lang = code[alive], doc[alive], lang[alive]
-                if not len(code):
-                    continue
-                key = mix(prefix[code] ^ lang)
-                fresh = np.ones(len(key), bool)  # terms stand in byte order, so those of one prefix are neighbours
-                fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                keys, at = np.unique(key, return_inverse=True)
-                longest = np.zeros(len(keys), np.int64)
-                np.maximum.at(longest, at, size[code])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at[fresh], minlength=len(keys))), pa.array(longest)], ["print", "docs", "longest"])
+                keys, docs, longest = _prefixes(row, width, before and (before[0], before[1].value))
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs), pa.array(longest)], ["print", "docs", "longest"])
 
     names = ["langs", "terms", "term_ends", "doc_group", "doc_ends", "codes"]
     counts = found.select(*names).mapInArrow(tidy(kernel), "print bigint, docs bigint, longest bigint")

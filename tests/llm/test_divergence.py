@@ -99,3 +99,26 @@ def test_units_hold_what_words_take_for_a_run_of_texts_only(monkeypatch):
     monkeypatch.setattr(divergence, "groups", lambda offsets: [(0, 2), (2, 3), (3, 5)])
     assert divergence._unit(*texts) == whole
     assert spans == [21, 5, 7, 9]
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 21])
+def test_prefixes_are_looked_up_once_a_term_and_language(monkeypatch, dense):
+    """The check: time goes with a unit's terms, not with the documents that hold them."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(divergence, "DENSE", dense)
+    rng = random.Random(5)
+    words = ["alpha", "alphabet", "alpine", "beta", "betatron", "gamma", "gam"]
+    rows = [(" ".join(rng.choice(words) for _ in range(rng.randrange(8))), "xy"[i % 2], "st"[i % 3 % 2]) for i in range(60)]
+    (unit,) = divergence._units(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["t", "l", "s"])]))
+    row = {n: unit.column(k)[0] for k, n in enumerate(unit.schema.names)}
+    asked = []
+    monkeypatch.setattr(divergence, "passes", lambda prints, held: (asked.append(len(prints)), np.ones(len(prints), bool))[1])
+    for before in (None, (2, np.zeros(4, np.uint64))):
+        _, docs, longest = divergence._prefixes(row, 4, before)
+        want = {}
+        for text, lang, _ in rows:
+            for prefix in {w[:4] for w in text.split()}:
+                want.setdefault((lang, prefix), [0, max(len(w) for t, l, _ in rows if l == lang for w in t.split() if w[:4] == prefix)])[0] += 1
+        assert sorted(zip(docs.tolist(), longest.tolist())) == sorted(map(tuple, want.values()))
+    assert asked == [2 * len(words)]
