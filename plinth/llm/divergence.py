@@ -38,6 +38,8 @@ LEAST_DOCS = 3
 FIRST_WIDTH = 4
 #: Bytes of text that make a unit, about.
 UNIT_BYTES = 8 << 20
+#: Units that are read and written together; a task counts the prefixes of those together before they are shuffled.
+UNITS_HELD = 4
 #: Numbers below this are told apart by a table of them, greater ones by sorting.
 DENSE = 1 << 21
 #: Bits of the filter for each prefix that is alive.
@@ -119,10 +121,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def units(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Units of ``df``, staged: null texts, languages and sources count as empty."""
+    """Units of ``df``, staged, a few in memory at a time: null texts, languages and sources count as empty."""
     prepare(df)
     chosen = [F.coalesce(df[c].cast("string"), F.lit("")).alias(c_) for c, c_ in ((text_col, "t"), (lang_col, "l"), (source_col, "s"))]
-    return staged(df.select(*chosen).mapInArrow(tidy(_units), _UNIT), "term-units")
+    return staged(df.select(*chosen).mapInArrow(tidy(_units), _UNIT), "term-units", group_rows=UNITS_HELD)
 
 
 def _array(row: dict, name: str, kind: type) -> np.ndarray:
